@@ -9,3 +9,23 @@ from pyspark.sql import functions as F
 def opaque(value: Column) -> Column:
     """The same value, which the optimizer neither copies into a filter above it nor evaluates twice."""
     return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def sketch(df, value: Column, bits: int = 1 << 20):
+    """A test that is true for every 64-bit ``value`` of ``df`` and false for most others.
+
+    The sketch has ``bits`` bits, whatever the input; a full one lets all rows pass, so it saves work and never changes a result.
+    """
+    place = df.select(F.pmod(value, F.lit(bits)).alias("p"))
+    words = place.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m"))
+    masks = [0] * (bits // 64)
+    for row in words.collect():
+        masks[row["w"]] = row["m"]
+    table = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
+
+    def may_hold(x: Column) -> Column:
+        at = F.pmod(x, F.lit(bits))
+        mask = F.get(table, F.floor(at / 64).cast("int"))
+        return F.call_function("shiftright", mask, F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return may_hold
