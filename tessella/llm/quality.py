@@ -86,14 +86,14 @@ def _covered(windows: Column) -> tuple[Column, Column]:
     return F.aggregate(F.array(starts(F.col("_placed"))), F.lit(0), lambda a, at: a + count(at)), placed
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Word counts of every document, beside ``_hashes``, the hashes of its words."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple | list = ()) -> DataFrame:
+    """Word counts of every document, beside ``_hashes``, the hashes of its words, and the columns to ``carry`` along."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("_text"))
+    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("_text"), *carry)
     base = base.withColumn("_words", words_of(F.col("_text")))
     lines = F.filter(F.split("_text", "\n"), lambda line: F.btrim(line, F.lit(_BLANK)) != "")
     base = base.select(
-        "doc_id",
+        "doc_id", *carry,
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
@@ -101,18 +101,18 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         opaque(F.transform("_words", lambda w: F.xxhash64(w))).alias("_hashes"),
     )
     base = base.select(
-        "doc_id", "n_words", "word_chars", "n_symbols",
+        "doc_id", *carry, "n_words", "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         "_hashes", opaque(windows_of_three(F.col("_hashes"))).alias("_windows"),
     )
     covered, placed = _covered(F.col("_windows"))
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
     base = base.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "_hashes",
+        "doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "_hashes",
         opaque(F.when(repeats, placed)).alias("_placed"),
     )
     return base.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.when(F.col("_placed").isNull(), F.lit(0)).otherwise(covered).cast("bigint").alias("n_repeat_words"),
         "_hashes",
     )
@@ -155,11 +155,16 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
 
 
 def assess(
-    docs: DataFrame, weights: list[float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    weights: list[float],
+    threshold: float = THRESHOLD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: tuple | list = (),
 ) -> DataFrame:
-    """Statistics, score and verdict of every document."""
+    """Statistics, score and verdict of every document, behind the columns to ``carry`` along."""
     table = F.split(F.lit(",".join(f"{w:g}" for w in weights)), ",").cast("array<double>")
-    found = statistics(docs, id_col, text_col).withColumn("_features", opaque(features(F.col("_hashes"))))
+    found = statistics(docs, id_col, text_col, carry).withColumn("_features", opaque(features(F.col("_hashes"))))
     total = F.aggregate("_features", F.lit(0.0), lambda a, b: a + F.get(table, b))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     score = F.when(F.size("_features") > 0, F.round(total / F.size("_features"), 6))
@@ -167,6 +172,6 @@ def assess(
         found.select("*", opaque(score).alias("llr"), opaque(failed).alias("base_failed"))
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
         .select(
-            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"
+            "doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"
         )
     )
