@@ -40,7 +40,10 @@ def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
 
 
 def keys_of(line: Column, length: Column, edits: int) -> Column:
-    """Every key of a line: its own segments (mine = 1), and those of lines 0 to ``edits`` shorter where they might stand in it."""
+    """Every key of a line: its own segments (mine), and those of lines 0 to ``edits`` shorter where they might stand in it.
+
+    Lines have several times ``edits`` letters, so no place falls before their start.
+    """
     out = []
     for shorter in range(edits + 1):
         other = length - shorter
@@ -52,8 +55,8 @@ def keys_of(line: Column, length: Column, edits: int) -> Column:
                 piece = F.substring(line, (start + shift + 1).cast("int"), size.cast("int"))
                 own = shorter == 0 and shift == 0
                 key = F.xxhash64(F.lit(i), other, piece)
-                out.append(F.when(start + shift >= 0, F.struct(key.alias("key"), F.lit(own).alias("mine"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                out.append(F.struct(key.alias("key"), F.lit(own).alias("mine")))
+    return F.array(*out)
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -115,10 +118,29 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(m - n) <= edits) & F.when(tiny, F.levenshtein(a, b) <= edits).otherwise(final <= edits)
 
 
+def common_start(a: Column, b: Column) -> Column:
+    """Letters that two strings have in common before they first differ."""
+    unlike = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y)), F.lit(True))
+    return F.when(unlike == 0, F.length(a)).otherwise(unlike - 1).cast("int")
+
+
+def unlike_middles(pairs: DataFrame) -> DataFrame:
+    """Columns la and lb without what they begin and end with alike, which changes no edit distance."""
+    for _ in range(2):
+        pairs = pairs.withColumn("n", opaque(common_start(F.col("la"), F.col("lb"))))
+        pairs = pairs.withColumn("la", F.reverse(F.expr("substring(la, n + 1)"))).withColumn("lb", F.reverse(F.expr("substring(lb, n + 1)")))
+    return pairs.drop("n")
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each letter from a to z occurs, and all else."""
+    each = [(F.length(text) - F.length(F.replace(text, F.lit(c)))).cast("int") for c in ascii_lowercase]
+    return F.array(*each, (F.length(text) - sum(each[1:], each[0])).cast("int"))
+
+
 def counts_apart(a: Column, b: Column) -> Column:
-    """By how much the counts of the letters a to z differ in all; an edit adds two at most."""
-    each = [F.length(F.replace(x, F.lit(c))) for c in ascii_lowercase for x in (a, b)]
-    return sum((F.abs((F.length(a) - each[i]) - (F.length(b) - each[i + 1])) for i in range(0, len(each), 2)), F.lit(0))
+    """By how much two such arrays differ in all; an edit adds two at most."""
+    return sum((F.abs(F.get(a, i) - F.get(b, i)) for i in range(len(ascii_lowercase) + 1)), F.lit(0))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -131,14 +153,16 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 def _near(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """Pairs of different line texts (h1, h2 and o1, o2) within ``edits`` edits."""
-    counts = [(F.length("line") - F.length(F.replace("line", F.lit(c)))).cast("smallint").alias(f"n{i}") for i, c in enumerate(COUNTED)]
-    long = lines.withColumn("chars", F.length("line")).where(F.col("chars") >= min_chars)
-    keyed = long.select("h1", *counts, opaque(keys_of(F.col("line"), F.col("chars"), edits)).alias("keys"))
     names = [f"n{i}" for i in range(len(COUNTED))]
-    keyed = keyed.select("h1", *names, F.explode("keys").alias("k")).select("h1", *names, "k.key", "k.mine").distinct()
-    keyed = settle(keyed, "line-keys")
-    often = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("mine").alias("indexed")).where("n > 1 and indexed").select("key")
-    shared = settle(keyed.join(often, "key", "left_semi"), "line-keys-shared")
+    counts = [(F.length("line") - F.length(F.replace("line", F.lit(c)))).cast("smallint").alias(n) for n, c in zip(names, COUNTED)]
+    long = lines.withColumn("chars", F.length("line")).where(F.col("chars") >= max(min_chars, 4 * (edits + 1)))
+    keyed = long.select("h1", "line", F.inline(keys_of(F.col("line"), F.col("chars"), edits)))
+    # which keys two texts share is found from the keys alone; only lines with such keys are keyed again
+    often = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("mine").alias("indexed"))
+    often = settle(often.where("low < high and indexed").select("key"), "line-keys-often")
+    may = sketch(often, F.col("key"))
+    again = keyed.where(may(F.col("key"))).select("h1", *counts, "key", "mine").distinct()
+    shared = settle(again.join(often, "key", "left_semi"), "line-keys-shared")
     index = shared.where("mine").select("key", F.col("h1").alias("o1"), *[F.col(c).alias(f"o_{c}") for c in names])
     apart = sum((F.abs(F.col(c) - F.col(f"o_{c}")) for c in names), F.lit(0))
     probes = shared.select("key", "h1", *names)
@@ -148,12 +172,13 @@ def _near(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     wanted = found.select(F.explode(F.array("a1", "b1")).alias("w1")).distinct()
     may = sketch(wanted, F.col("w1"))
     held = long.where(may(F.col("h1"))).join(wanted, F.col("h1") == F.col("w1"), "left_semi").select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
-    held = settle(held, "line-texts")
-    left = held.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("la"))
-    right = held.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("lb"))
-    pairs = found.join(left, "a1").join(right, "b1").where(counts_apart(F.col("la"), F.col("lb")) <= 2 * edits)
+    held = settle(held.withColumn("counts", letter_counts(F.col("line"))), "line-texts")
+    left = held.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("la"), F.col("counts").alias("ca"))
+    right = held.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("lb"), F.col("counts").alias("cb"))
+    pairs = found.join(left, "a1").join(right, "b1").where(counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits)
     # few rows with much work each: dealt out by number, not by size
     pairs = pairs.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a1", "b1")
+    pairs = unlike_middles(pairs)
     return pairs.withColumn("fine", opaque(within(F.col("la"), F.col("lb"), edits))).where("fine").select("a1", "a2", "b1", "b2")
 
 
