@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tessella.plans import relational, sequences, spatial, statistics, texts  # noqa: F401  registers their queries
+from tessella.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
