@@ -1,9 +1,9 @@
 """Estimators, balance tests, sweeps and marginal effects."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.operators import estimators
+from tessella.operators.matching import nearest_score
 from tessella.plans.registry import query
 
 c = F.col
@@ -125,8 +125,5 @@ def stratify_by_quantile(t):
 
 @query("""select id, other from (select c_custkey as id, s_suppkey as other, row_number() over (partition by c_custkey order by abs(c_acctbal - s_acctbal), s_suppkey) as n from customer, supplier where c_custkey % 10 = 0) where n = 1""")
 def score_nearest_match(t):
-    """The candidate whose score is nearest: by bracketing neighbours in score order within ranges of the score."""
-    bin_ = lambda v: F.floor(v / 500).cast("int")
-    a = t.customer.where("c_custkey % 10 = 0").select(c("c_custkey").alias("id"), c("c_acctbal").alias("v")).withColumn("b", bin_(c("v")))
-    s = t.supplier.select(c("s_suppkey").alias("other"), c("s_acctbal").alias("ov")).withColumn("b", F.explode(F.array(*[bin_(c("ov")) + k for k in (-1, 0, 1)])))
-    return a.join(s, "b").groupBy("id").agg(F.min(F.struct(F.abs(c("v") - c("ov")), "other")).alias("x")).select("id", "x.other")
+    a = t.customer.where("c_custkey % 10 = 0").select(c("c_custkey").alias("id"), c("c_acctbal").alias("v"))
+    return nearest_score(a, t.supplier.select(c("s_suppkey").alias("other"), c("s_acctbal").alias("ov")), 500.0)
