@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.native import sketch
 from tessella.llm.words import slices
 from tessella.session import settle, ship
 
-GRAM = 200
+GRAM = 260
 SLICE = 1 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MAX = np.uint64(2**64 - 1)
@@ -252,7 +253,9 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     rows = settle(_anchor_rows(texts, length), "anchors")
     shown = rows.where("shown")
     often = shown.groupBy("a").agg(F.count("*").alias("n"), F.max("twice").alias("t")).where("n > 1 or t").select("a")
-    again = settle(rows.join(often, "a", "left_semi"), "again")
+    often = settle(often, "anchors-often")
+    may = sketch(often, F.col("a"))
+    again = settle(rows.where(may(F.col("a"))).join(often, "a", "left_semi"), "again")
     contexts = again.groupBy("a", "c1", "c2").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "k1", "place")).alias("one")
     )
