@@ -15,10 +15,14 @@ no part.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.native import opaque
+from tessella.session import settle
 
 # Phrases and their labels.
 BASE = {
@@ -49,35 +53,50 @@ INDEXED, LOOKED_UP, AGREEING = 4, 8, 2
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words_of(text: Column) -> Column:
-    """Words after A-Z are lower-cased; other letters' case is of no account here."""
+def spaced(text: Column) -> Column:
+    """Words after A-Z are lower-cased, each with a space before and after; other letters' case is of no account here."""
     # lower() also makes ASCII letters of two signs, which must stay themselves
     odd = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    low = F.when(text.rlike("[İK]"), odd).otherwise(F.lower(text))
-    bare = F.btrim(F.regexp_replace(low, _OTHER, " "))
+    low = F.when(text.rlike("[\u0130\u212a]"), odd).otherwise(F.lower(text))
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(low, _OTHER, " ")), F.lit(" "))
+
+
+def words_of(line: Column) -> Column:
+    """The words of a ``spaced`` text."""
+    bare = F.btrim(line)
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " "))
 
 
 def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each file's number of words, the words it shares with templates and phrases, and its ``line`` where it may match.
+
+    A file may match if it holds every word of a key phrase or of a base phrase; no other file can have a label.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
+    known = sorted({w for _, _, t in TEMPLATES for w in t.split()} | {w for phrase in BASE for w in phrase.split()})
+    phrases = sorted({key for _, key, _ in TEMPLATES} | set(BASE))
+    read = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.xxhash64(text).alias("k1"),
         F.xxhash64(F.lit(1), text).alias("k2"),
-        opaque(words_of(text)).alias("words"),
-    )
+        opaque(spaced(text)).alias("line"),
+    ).withColumn("words", opaque(words_of(F.col("line"))))
+    read = read.select(
+        "doc_id", "k1", "k2", "line",
+        F.size("words").cast("bigint").alias("n_words"),
+        opaque(F.array_intersect("words", _literal(known))).alias("held"),
+    )
+    may = [F.size(F.array_except(_literal(phrase.split()), F.col("held"))) == 0 for phrase in phrases]
+    return read.withColumn("line", F.when(reduce(or_, may), F.col("line")))
 
 
 def _literal(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, dict[str, int]]:
-    """The number of files, and of those that hold each template word. As many rows as templates have words."""
-    vocabulary = sorted({w for _, _, t in TEMPLATES for w in t.split()})
-    found = _scanned(docs, id_col, text_col).select(
-        F.explode(F.concat(F.array_intersect("words", _literal(vocabulary)), F.array(F.lit("")))).alias("w")
-    )
+def frequencies(scanned: DataFrame) -> tuple[int, dict[str, int]]:
+    """The number of files, and of those that hold each known word. As many rows as templates and phrases have words."""
+    found = scanned.select(F.explode(F.concat("held", F.array(F.lit("")))).alias("w"))
     counts = {r["w"]: r["count"] for r in found.groupBy("w").count().collect()}
     return counts.pop("", 0), counts
 
@@ -93,9 +112,8 @@ def index_of(files: int, counts: dict[str, int]) -> list[tuple]:
     return postings
 
 
-def base_places(words: Column) -> Column:
-    """Each base phrase's label and places, sorted by place; only files that hold a phrase are looked through."""
-    joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+def base_places(line: Column, words: Column) -> Column:
+    """Each base phrase's label and places; only files that hold a phrase are looked through."""
     empty = F.array().cast("array<struct<at:int,label:string>>")
 
     def places(phrase: str, label: str) -> Column:
@@ -109,7 +127,7 @@ def base_places(words: Column) -> Column:
         return F.transform(found, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
 
     found = [
-        F.when(F.contains(joined, F.lit(f" {phrase} ")), places(phrase, label)).otherwise(empty)
+        F.when(F.contains(line, F.lit(f" {phrase} ")), places(phrase, label)).otherwise(empty)
         for phrase, label in BASE.items()
     ]
     return F.concat(*found)
@@ -165,17 +183,19 @@ def _matches(scanned: DataFrame, postings: list[tuple]) -> DataFrame:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words, base phrases, labels and score of every file."""
-    scanned = _scanned(docs, id_col, text_col)
-    postings = index_of(*frequencies(docs, id_col, text_col))
-    own = scanned.withColumn("places", opaque(base_places(F.col("words")))).select(
-        "doc_id", "k1", "k2",
-        F.size("words").cast("bigint").alias("n_words"),
+    scanned = settle(_scanned(docs, id_col, text_col), "scanned")
+    postings = index_of(*frequencies(scanned))
+    words = F.when(F.col("line").isNotNull(), words_of(F.col("line"))).otherwise(F.array().cast("array<string>"))
+    placed = scanned.withColumn("words", opaque(words)).withColumn("places", opaque(base_places(F.col("line"), F.col("words"))))
+    own = placed.select(
+        "doc_id", "k1", "k2", "n_words",
         F.size("places").cast("bigint").alias("n_base"),
         F.array_min(F.transform("places", lambda p: p["at"])).cast("bigint").alias("first_word"),
         F.array_max(F.transform("places", lambda p: p["at"])).cast("bigint").alias("last_word"),
         F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"]))).alias("base"),
     )
-    more = _matches(scanned, postings).select(
+    likely = scanned.where("line is not null").select("doc_id", "k1", "k2", opaque(words_of(F.col("line"))).alias("words"))
+    more = _matches(likely, postings).select(
         F.col("doc_id").alias("m_id"), F.col("k1").alias("m1"), F.col("k2").alias("m2"), "more_labels", "best"
     )
     joined = own.join(more, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left")
