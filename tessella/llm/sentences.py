@@ -111,9 +111,10 @@ def remove_repeated_sentences(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("k1"), text.alias("text"))
     rows = settle(_run_rows(texts, span_words), "runs")
-    often = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    # both tables of a join are read from shuffles of their own, so a run that a large share of all texts hold is split
+    often = settle(rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "runs-often")
     again = settle(rows.join(often, ["h1", "h2"], "left_semi"), "runs-again")
-    heads = again.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k1", "first")).alias("head"))
+    heads = settle(again.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k1", "first")).alias("head")), "runs-heads")
     later = again.join(heads, ["h1", "h2"]).where(~F.struct("doc_id", "k1", "first").eqNullSafe(F.col("head")))
     spans = later.groupBy(F.col("doc_id").alias("s_id"), F.col("k1").alias("s1")).agg(
         F.collect_set(F.struct("first", "end")).alias("spans")
