@@ -78,10 +78,28 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled.settled_at = path
+    return settled
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete tables that ``settle`` returned. Nothing still to be computed may read them.
+
+    Spark removes the shuffle files of plans that nobody holds when the driver collects its garbage,
+    by itself twice an hour; that is asked for here, so that a long job's disk holds one step's shuffles.
+    """
+    for df in settled:
+        _delete(df.sparkSession, df.settled_at)
+    if settled:
+        settled[0].sparkSession._jvm.System.gc()
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every table that ``settle`` wrote in this application."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    _delete(spark, scratch_root(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
