@@ -10,7 +10,9 @@ from prefix hashes in constant time, at places chosen by content:
 2. Contexts. An anchor whose whole context (all strings of ``length`` bytes around it) occurs again is
    repeated throughout. Only those at the edge of a repetition go on, with one anchor for each other
    context of the same group.
-3. Suffixes. The suffixes at the edges are hashed over ``length`` bytes, each by two independent
+3. Common extensions. The starts around an edge's anchor fall into ``CELLS`` ranges. What all strings that start
+   in a range have in common must occur again, or none of them does; ranges where it doesn't are left out.
+4. Suffixes. The suffixes at the edges are hashed over ``length`` bytes, each by two independent
    polynomials, and equal ones are brought together; a collision must agree in 128 bits of contexts or 96 of suffixes.
 
 Only counts and places travel: groups are counted with map-side sums, so a passage that a third of
@@ -33,9 +35,11 @@ from pyspark.sql import functions as F
 
 from tessella.llm.native import sketch
 from tessella.llm.words import slices
-from tessella.session import settle, ship
+from tessella.session import discard, settle, ship
 
 GRAM = 260
+#: Ranges of starts around an anchor that are ruled out together.
+CELLS = 4
 SLICE = 1 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MAX = np.uint64(2**64 - 1)
@@ -115,6 +119,12 @@ def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: Prefix
     return places, gram[places]
 
 
+def cell_bounds(length: int) -> list[tuple[int, int]]:
+    """For each range of starts around an anchor: how far before the anchor it ends and begins."""
+    width = -(-(length - GRAM + 1) // CELLS)
+    return [(low, min(low + width, length - GRAM + 1) - 1) for low in range(0, length - GRAM + 1, width)]
+
+
 def _gathered(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of a batch's texts, one after the other, and where each begins and ends."""
     raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
@@ -127,11 +137,9 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-_ANCHOR = "doc_id bigint, k1 bigint, s0 int, s1 int, place int, a bigint, c1 bigint, c2 bigint, twice boolean, shown boolean"
-
-
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     """Anchors with their contexts' hashes. Contexts that a task meets again are marked ``twice``; one of each is ``shown`` to other tasks."""
+    names = [f"q{i}" for i in range(len(cell_bounds(length)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessella.llm import substrings as own
@@ -148,14 +156,20 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
             high = np.minimum(end[doc], at + length)
             cut = (at - low).astype(np.uint64) * np.uint64(1 << 20) + (high - at).astype(np.uint64)
             first, last = low - begin[doc], np.minimum(at, end[doc] - length) - begin[doc]
+            cells = []
+            for i, (near, far) in enumerate(own.cell_bounds(length)):
+                inside = (at - near >= begin[doc]) & (at + length - far <= end[doc])
+                core = own.mixed(h1.of(np.where(inside, at - near, at), np.where(inside, at + length - far, at)) + np.uint64(i))
+                cells.append(pa.array(core.view(np.int64), mask=~inside))
             kept.append(
                 pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array(doc)), batch.column("k1").take(pa.array(doc)),
                         *[pa.array(x.astype(np.int32)) for x in (first, last, at - begin[doc])],
                         own._signed(gram), own._signed(own.mixed(h1.of(low, high) + cut)), own._signed(own.mixed(h2.of(low, high) + cut)),
+                        *cells,
                     ],
-                    ["doc_id", "k1", "s0", "s1", "place", "a", "c1", "c2"],
+                    ["doc_id", "k1", "s0", "s1", "place", "a", "c1", "c2", *names],
                 )
             )
         if not kept:
@@ -171,11 +185,12 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
         table = table.append_column("twice", pa.array(twice)).append_column("shown", pa.array(shown))
         yield from table.combine_chunks().to_batches(50_000)
 
-    return texts.mapInArrow(run, _ANCHOR)
+    schema = "doc_id bigint, k1 bigint, s0 int, s1 int, place int, a bigint, c1 bigint, c2 bigint, "
+    return texts.mapInArrow(run, schema + "".join(f"{n} bigint, " for n in names) + "twice boolean, shown boolean")
 
 
 def _suffix_rows(located: DataFrame, length: int) -> DataFrame:
-    """Hashes of the first ``length`` bytes of the suffixes around each text's ``places``."""
+    """Hashes of the first ``length`` bytes of the suffixes in each text's ``ranges`` around its anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessella.llm import substrings as own
@@ -184,12 +199,13 @@ def _suffix_rows(located: DataFrame, length: int) -> DataFrame:
             data, begin, end = own._gathered(batch)
             h1, h2 = own.PrefixHashes(data, 0), own.PrefixHashes(data, 1)
             starts, docs = [], []
-            for i, places in enumerate(batch.column("places").to_pylist()):
+            for i, ranges in enumerate(batch.column("ranges").to_pylist()):
                 size = int(end[i] - begin[i])
                 mark = np.zeros(size + 1, dtype=np.int32)
-                p = np.array(places, dtype=np.int64)
-                np.add.at(mark, np.maximum(0, p - (length - own.GRAM)), 1)
-                np.add.at(mark, np.minimum(p, size - length) + 1, -1)
+                place, cell = np.divmod(np.array(ranges, dtype=np.int64), own.CELLS)
+                near, far = np.array(own.cell_bounds(length), dtype=np.int64)[cell].T
+                np.add.at(mark, np.maximum(0, place - far), 1)
+                np.add.at(mark, np.minimum(place - near, size - length) + 1, -1)
                 s = np.flatnonzero(np.cumsum(mark) > 0)
                 starts.append(s)
                 docs.append(np.full(len(s), i))
@@ -256,8 +272,10 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     often = settle(often, "anchors-often")
     may = sketch(often, F.col("a"))
     again = settle(rows.where(may(F.col("a"))).join(often, "a", "left_semi"), "again")
+    discard(rows, often)
+    cells = [f"q{i}" for i in range(len(cell_bounds(length)))]
     contexts = again.groupBy("a", "c1", "c2").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "k1", "place")).alias("one")
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "k1", "place", *cells)).alias("one")
     )
     contexts = settle(contexts, "contexts")
     groups = contexts.groupBy("a").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1")
@@ -265,12 +283,19 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     through = again.join(contexts.where("n > 1").select("a", "c1", "c2"), ["a", "c1", "c2"], "left_semi").select(
         "doc_id", "k1", F.explode(F.array("s0", "s1")).alias("start")
     )
-    places = edges.groupBy("doc_id", "k1").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc_id", "e_id").withColumnRenamed("k1", "e1")
-    located = texts.join(places.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("k1") == F.col("e1"))).select("doc_id", "k1", "text", "places")
+    through = settle(through, "through")
+    ranges = F.array(*[F.struct((F.col("place").cast("bigint") * CELLS + i).alias("range"), F.col(q).alias("q")) for i, q in enumerate(cells)])
+    edges = settle(edges.select("doc_id", "k1", F.inline(ranges)).where(F.col("q").isNotNull()), "edges")
+    open_ = edges.groupBy("q").agg(F.count("*").alias("n")).where("n > 1").select("q")
+    by_text = edges.join(open_, "q", "left_semi").groupBy(F.col("doc_id").alias("e_id"), F.col("k1").alias("e1")).agg(F.collect_list("range").alias("ranges"))
+    located = texts.join(by_text.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("k1") == F.col("e1"))).select("doc_id", "k1", "text", "ranges")
+    discard(again, contexts)
     suffixes = settle(_suffix_rows(located, length), "suffixes")
     equal = suffixes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     found = suffixes.join(equal, ["h1", "h2"], "left_semi").select("doc_id", "k1", "start")
-    return found.unionByName(through).groupBy("doc_id", "k1").agg(F.collect_set("start").alias("starts"))
+    starts = settle(found.unionByName(through).groupBy("doc_id", "k1").agg(F.collect_set("start").alias("starts")), "starts")
+    discard(through, edges, suffixes)
+    return starts
 
 
 def remove_repeats(
