@@ -1,11 +1,13 @@
 """Closed forms against literal loops, similarities against DuckDB, estimators against known answers."""
 
 import random
+from pathlib import Path
 
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessella import session
 from tessella.functions.similarity import damerau_levenshtein_of, jaro_winkler_of
 from tessella.operators import describe, estimators, sequence
 from tessella.plans import reports
@@ -80,3 +82,10 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, 2.5), (2, None)]
     a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(1, "y"), (2, "z")], "k int, v string")
     assert sorted(map(tuple, readers.append_missing(a, b, ["k"]).collect())) == [(1, "x"), (2, "z")]
+
+
+def test_settled_tables_are_deleted(spark):
+    kept, done = (session.settle(spark.range(n), "t") for n in (3, 4))
+    session.discard(done)
+    assert kept.count() == 3
+    assert not Path(done.settled_at.removeprefix("file://")).exists()
