@@ -5,12 +5,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessella.llm import bpe, licenses, lines, near, packing, quality, sentences, substrings, token_counts, topk
+from tessella.llm import bpe, byte_tokens, licenses, lines, near, packing, quality, sentences, substrings, token_counts, topk
 from tessella.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id bigint, text string, lang string, k1 bigint, node string, a int, n int, words string, place int, h1 int"
@@ -220,3 +221,12 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and max(r["offset"] + r["length"] for r in rows) <= 2048
+
+
+def test_byte_tokens_equal_the_library():
+    path = tokenizer_path("byte_bpe_50k.json")
+    rng = np.random.default_rng(1)
+    parts = [" ", " ", "a", "B", "\n", "\t", "é", "1", ",", "'s", "Ġ", "\u3000", "<|endoftext|>"]
+    odd = ["", " ", "a  b", " lead", "x\n y", "Ġ Ġx ĠĠ", " \nbar foo"] + ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(500)]
+    got = [x.tolist() for x in byte_tokens.ByteTokens(path).encode(pa.array(odd))]
+    assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(odd, add_special_tokens=False)]
