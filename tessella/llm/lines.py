@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.native import opaque, sketch
-from tessella.session import settle
+from tessella.session import discard, settle
 
 EDITS, MIN_CHARS = 2, 30
 #: Letters whose counts are compared before a candidate is verified; each edit changes two counts by one at most.
@@ -163,12 +163,14 @@ def _near(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     may = sketch(often, F.col("key"))
     again = keyed.where(may(F.col("key"))).select("h1", *counts, "key", "mine").distinct()
     shared = settle(again.join(often, "key", "left_semi"), "line-keys-shared")
+    discard(often)
     index = shared.where("mine").select("key", F.col("h1").alias("o1"), *[F.col(c).alias(f"o_{c}") for c in names])
     apart = sum((F.abs(F.col(c) - F.col(f"o_{c}")) for c in names), F.lit(0))
     probes = shared.select("key", "h1", *names)
     on = (probes["key"] == index["key"]) & (F.col("h1") != F.col("o1")) & (apart <= 2 * edits)
     found = probes.join(index, on).select(F.least("h1", "o1").alias("a1"), F.greatest("h1", "o1").alias("b1")).distinct()
     found = settle(found, "line-pairs")
+    discard(shared)
     wanted = found.select(F.explode(F.array("a1", "b1")).alias("w1")).distinct()
     may = sketch(wanted, F.col("w1"))
     held = long.where(may(F.col("h1"))).join(wanted, F.col("h1") == F.col("w1"), "left_semi").select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
@@ -179,7 +181,10 @@ def _near(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     # few rows with much work each: dealt out by number, not by size
     pairs = pairs.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a1", "b1")
     pairs = unlike_middles(pairs)
-    return pairs.withColumn("fine", opaque(within(F.col("la"), F.col("lb"), edits))).where("fine").select("a1", "a2", "b1", "b2")
+    fine = pairs.withColumn("fine", opaque(within(F.col("la"), F.col("lb"), edits))).where("fine").select("a1", "a2", "b1", "b2")
+    fine = settle(fine, "line-near")
+    discard(found, held)
+    return fine
 
 
 def dedup_lines(
@@ -191,11 +196,12 @@ def dedup_lines(
     lines = _lines(texts)
     order = F.struct("doc_id", "k1", "place")
     places = settle(lines.select("doc_id", "k1", "place", "h1", "h2"), "line-places")
-    near = settle(_near(lines, edits, min_chars), "line-near")
+    near = _near(lines, edits, min_chars)
     often = places.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     linked = near.select(F.explode(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")))).alias("x")).select("x.*").distinct()
     # only lines that have an equal or near one need a first copy
     some = settle(places.join(often.unionByName(linked).distinct(), ["h1", "h2"], "left_semi"), "line-places-some")
+    discard(places)
     firsts = settle(some.groupBy("h1", "h2").agg(F.min(order).alias("first")), "line-firsts")
     a = firsts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("fa"))
     b = firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("fb"))
