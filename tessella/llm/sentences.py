@@ -1,9 +1,10 @@
 """Removal of repeated passages by sliding sentence spans.
 
-From every sentence on, the run of consecutive sentences that first holds ``span_words`` words is
-hashed (128 bits; case and white space do not count). Runs are joined globally: of equal runs the first, by
-document and place, stays, and every sentence that a later one covers is removed. A text's last sentences, which make no
-such run alone, are covered by the run that ends the text; a text of fewer words is one run.
+From every sentence on, the run of consecutive sentences that first holds ``span_words`` words is hashed, and so is the
+shortest such run that ends with it (128 bits; case and white space do not count). Runs are joined globally: of equal
+runs the first, by document and place, stays, and every sentence that a later one covers is removed. The last sentences of a
+text or of a passage, which begin no such run of their own, are covered by the runs that end with them; a text of fewer words
+is one run. A blank sentence goes with the one before it, at a text's start with the one behind it.
 
 Defined results: null and empty texts have no sentences; texts without a word keep theirs; a row's null id stays
 null and comes first in order; rows equal in id and text count as one document and are cut alike; other columns
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.words import slices
-from tessella.session import settle, ship
+from tessella.session import discard, settle, ship
 
 _SENTENCE = regex.compile(r"(?:[^.!?\n]|[.!?]+(?=[^\s.!?]))*+(?:[.!?]+|\n|\Z)\s*")
 
@@ -39,22 +40,36 @@ def runs(parts: list[str], span_words: int) -> list[tuple[int, int, bytes]]:
     before = [0]
     for n in size:
         before.append(before[-1] + n)
-    total = before[-1]
-    if not total:
+    worded = [i for i, n in enumerate(size) if n]
+    if not worded:
         return []
-    out = []
-    end = 0
-    for first in range(len(parts)):
-        if not size[first]:
-            continue
-        end = max(end, first + 1)
-        while end < len(parts) and before[end] - before[first] < span_words:
-            end += 1
-        if first and before[end] - before[first] < span_words:
+    # where a run that ends with a sentence ends: behind the blank sentences that follow it
+    ends = dict(zip(worded, [*worded[1:], len(parts)]))
+    spans = set()
+    if before[-1] < span_words:
+        spans.add((worded[0], worded[-1]))
+    last = 0
+    for first in worded:
+        while last < len(worded) and before[worded[last] + 1] - before[first] < span_words:
+            last += 1
+        if last == len(worded):
             break
-        # blank sentences at the end of a text belong to its last run
-        out.append((first, end, xxhash.xxh3_128_digest(" ".join(p for p in plain[first:end] if p).encode())))
-    return out
+        spans.add((first, worded[last]))
+    first = 0
+    for end in worded:
+        if before[end + 1] < span_words:
+            continue
+        while first + 1 < len(worded) and before[end + 1] - before[worded[first + 1]] >= span_words:
+            first += 1
+        spans.add((worded[first], end))
+    return [
+        (
+            0 if first == worded[0] else first,
+            ends[end],
+            xxhash.xxh3_128_digest(" ".join(p for p in plain[first : end + 1] if p).encode()),
+        )
+        for first, end in sorted(spans)
+    ]
 
 
 def _run_rows(texts: DataFrame, span_words: int) -> DataFrame:
@@ -114,6 +129,7 @@ def remove_repeated_sentences(
     # both tables of a join are read from shuffles of their own, so a run that a large share of all texts hold is split
     often = settle(rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "runs-often")
     again = settle(rows.join(often, ["h1", "h2"], "left_semi"), "runs-again")
+    discard(rows, often)
     heads = settle(again.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k1", "first")).alias("head")), "runs-heads")
     later = again.join(heads, ["h1", "h2"]).where(~F.struct("doc_id", "k1", "first").eqNullSafe(F.col("head")))
     spans = later.groupBy(F.col("doc_id").alias("s_id"), F.col("k1").alias("s1")).agg(

@@ -165,6 +165,34 @@ def test_sentences(docs):
     assert got[6]["text"] == "" and got[1]["n_sentences"] == 0
 
 
+def said(tag, n):
+    return " ".join(f"{tag}{i}" for i in range(n)) + ". "
+
+
+def test_sentences_cover_the_ends_of_texts_and_passages(spark):
+    text = said("a", 25) + said("b", 5)
+    passage = said("p", 12) + said("q", 12) + said("r", 3)
+    rows = [
+        (1, text), (2, text), (3, said("c", 30) + passage + said("d", 30)), (4, said("e", 30) + passage + said("f", 30)),
+        (5, "\n\nshort text"), (6, "\n\nshort text"), (7, "\n\n" + said("g", 25)), (8, "\n\n" + said("g", 25)),
+    ]
+    got = {r["doc_id"]: r["text"] for r in sentences.remove_repeated_sentences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = dict(rows) | {2: "", 4: said("e", 30) + said("f", 30), 6: "", 8: ""}
+    assert got == want
+
+
+def test_runs_are_the_shortest_from_and_to_every_sentence():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        sizes = rng.integers(1, 15, rng.integers(1, 9)).tolist()
+        k, want = len(sizes), set()
+        for a in range(k):
+            for b in range(a + 1, k + 1):
+                if sum(sizes[a:b]) >= 20 and (sum(sizes[a : b - 1]) < 20 or sum(sizes[a + 1 : b]) < 20):
+                    want.add((a, b))
+        assert {(a, b) for a, b, _ in sentences.runs([said("w", n) for n in sizes], 20)} == (want or {(0, k)})
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
