@@ -1,8 +1,8 @@
 """License scans with a positional index of rare words, in DataFrame functions only.
 
 Every template is a short text with a label and a mandatory key phrase. The index holds, for each
-template, the places of the words that are rarest in the scanned corpus. A file's rarest license
-words are looked up; each hit gives a template and the place in the file where it would begin. Where
+template, the places of the words that are rarest in the scanned corpus. Every index word
+that a file holds is looked up; each hit gives a template and the place in the file where it would begin. Where
 enough rare words agree on that place and the key phrase stands there word for word, the label holds; the score is the
 share of the template's words that stand in their places.
 
@@ -48,8 +48,8 @@ TEMPLATES = [
     ("proprietary", "all rights reserved", "copyright all rights reserved"),
 ]
 
-#: Index words of a template, words looked up in a file, rare words that must agree (fewer if a template has fewer).
-INDEXED, LOOKED_UP, AGREEING = 4, 8, 2
+#: Index words of a template, rare words that must agree (fewer if a template has fewer).
+INDEXED, AGREEING = 4, 2
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -136,8 +136,7 @@ def base_places(line: Column, words: Column) -> Column:
 def _matches(scanned: DataFrame, postings: list[tuple]) -> DataFrame:
     """One row per file with its verified labels and best score; files without any are absent."""
     spark = scanned.sparkSession
-    rare = sorted({(-w, t) for t, w, _, _ in postings})
-    rarest_first = list(dict.fromkeys(t for _, t in rare))
+    indexed = sorted({t for t, _, _, _ in postings})
     needed = {n: min(AGREEING, len({t for t, _, m, _ in postings if m == n})) for n in range(len(TEMPLATES))}
     rows = []
     for word, _, number, place in postings:
@@ -147,8 +146,7 @@ def _matches(scanned: DataFrame, postings: list[tuple]) -> DataFrame:
         rows.append((word, number, place, label, words, key_words, at, needed[number]))
     # one row for each of the templates' index words: bounded by TEMPLATES and INDEXED
     index = F.broadcast(spark.createDataFrame(rows, "word string, template int, place int, label string, t_words array<string>, key array<string>, key_at int, needed int"))
-    # the index words come rarest first, and array_intersect keeps that order
-    files = scanned.withColumn("looked", opaque(F.slice(F.array_intersect(_literal(rarest_first), "words"), 1, LOOKED_UP))).where(F.size("looked") > 0)
+    files = scanned.withColumn("looked", opaque(F.array_intersect(_literal(indexed), "words"))).where(F.size("looked") > 0)
     hits = files.select(
         "doc_id", "k1", "k2", "words",
         F.explode(

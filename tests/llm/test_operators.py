@@ -157,6 +157,16 @@ def test_licenses(docs):
     assert row["score"] == 1.0
 
 
+def test_licenses_find_every_notice_of_a_file(spark):
+    filler = " any can code copy form free source following conditions published all work " * 20
+    text = filler.join(t for _, _, t in licenses.TEMPLATES)
+    rows = [(0, text)] + [(i, t) for i, (_, _, t) in enumerate(licenses.TEMPLATES, 1)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0]["labels"] == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    assert got[0]["score"] == 1.0
+    assert all(label in got[i]["labels"].split(",") for i, (label, _, _) in enumerate(licenses.TEMPLATES, 1))
+
+
 def test_sentences(docs):
     got = {r["doc_id"]: r for r in sentences.remove_repeated_sentences(docs).collect()}
     assert "".join(sentences.sentences(PASSAGE)) == PASSAGE
