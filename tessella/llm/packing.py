@@ -2,9 +2,10 @@
 
 Lengths fall into at most ``capacity`` classes, however many documents there are, so the packing is
 planned on the histogram of lengths: the configuration linear program is solved by multiplicative
-weights, whose pricing problem is an unbounded knapsack solved by dynamic programming, and the
-fractional solution is rounded to whole configurations; what is left over is filled best-fit,
-configuration by configuration. The plan has a bounded size. Pieces then find their places by their
+weights, whose pricing problem is an unbounded knapsack solved by dynamic programming, to a gap of 5%
+against the knapsack's bound (or 1,000 rounds), and the fractional solution is rounded to whole configurations; what is
+left over is filled best-fit, configuration by configuration. If best-fit alone needs fewer sequences, its
+plan is used. The plan has a bounded size. Pieces then find their places by their
 rank among the pieces of equal length, which is counted in salted groups.
 
 Defined results: null and empty texts are one piece holding the closing id alone; a row's null id
@@ -14,7 +15,9 @@ than the two named ones play no part.
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,8 @@ from tessella.session import settle, ship
 
 #: Rows that one task ranks; longer classes are dealt to several.
 RANKED_TOGETHER = 20_000
+#: Configurations that the linear program's solution is rounded to at most.
+ROUNDED = 8_000
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -57,8 +62,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_c
     return narrow.mapInArrow(pieces, _PIECES)
 
 
-def price(value: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The most valuable configuration: lengths s with value[s], any number of each, within ``capacity``."""
+def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to ``capacity``, the most that lengths s with value[s], any number of each, are worth; and one of them, or 0 if room - 1 is as good."""
     sizes = np.flatnonzero(value > 0)
     worth = value[sizes]
     best = np.zeros(capacity + 1)
@@ -71,69 +76,104 @@ def price(value: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
             k = int(total.argmax())
             if total[k] > best[room]:
                 best[room], last[room] = total[k], sizes[k]
-    chosen: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if last[room]:
-            chosen[int(last[room])] = chosen.get(int(last[room]), 0) + 1
-            room -= int(last[room])
-        else:
-            room -= 1
-    return float(best[capacity]), chosen
-
-
-def solve(counts: np.ndarray, capacity: int, rounds: int, step: float) -> dict[tuple, float]:
-    """Multiplicative weights on the configuration program: configurations and their fractional numbers.
-
-    Every length starts with weight 1; a chosen configuration is taken as often as its scarcest length
-    allows, and the weights of the lengths it serves fall by exp(-step * share served).
+    return best, last
+
+
+def filled(firsts: np.ndarray, last: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(configuration, length) rows of each of ``firsts`` with the most valuable lengths beside it, by ``last`` from ``knapsack``."""
+    filled_at = np.maximum.accumulate(np.where(last > 0, np.arange(capacity + 1), 0))
+    rows, pieces = [np.arange(len(firsts))], [firsts]
+    at, room = rows[0], filled_at[capacity - firsts]
+    while (more := room > 0).any():
+        at, room = at[more], room[more]
+        rows.append(at)
+        pieces.append(last[room])
+        room = filled_at[room - last[room]]
+    return np.concatenate(rows), np.concatenate(pieces)
+
+
+def solve(counts: np.ndarray, capacity: int, rounds: int, step: float, gap: float, near: float = 0.01) -> tuple[dict[tuple, float], float]:
+    """Multiplicative weights on the configuration program: configurations with their fractional numbers, and the gap reached.
+
+    A length's price is its weight over its count, at first its share of the volume. In each round every length's best configuration
+    that is worth nearly as much (1 - ``near``) as the best of all is taken, as often as serves no length more than once;
+    weights fall by exp(-step * share served). The rounds' mean is the solution; weights over the knapsack's best value bound the optimum from below. Rounds end where the mean is within ``gap`` of that bound.
+    The numbers are scaled so that the lengths are served once, on average by volume.
     """
+    sizes = np.flatnonzero(counts)
     need = counts.astype(float)
-    present = counts > 0
-    weight = present.astype(float)
+    weight = sizes * need[sizes]
+    weight /= weight.max()
     taken: dict[tuple, float] = {}
-    for _ in range(rounds):
-        value = np.divide(weight, need, out=np.zeros_like(need), where=present)
-        _, config = price(value, capacity)
-        if not config:
+    served = np.zeros(capacity + 1)
+    least, reached = 0.0, np.inf
+    for done in range(1, rounds + 1):
+        value = np.zeros(capacity + 1)
+        value[sizes] = weight / need[sizes]
+        best, last = knapsack(value, capacity)
+        least = max(least, weight.sum() / best[capacity])
+        firsts = sizes[value[sizes] + best[capacity - sizes] >= (1 - near) * best[capacity]]
+        rows, pieces = filled(firsts, last, capacity)
+        wish = need[firsts]
+        asked = np.bincount(pieces, weights=wish[rows], minlength=capacity + 1)
+        allowed = np.full(len(firsts), np.inf)
+        np.minimum.at(allowed, rows, need[pieces] / asked[pieces])
+        much = wish * allowed
+        got = np.bincount(pieces, weights=much[rows], minlength=capacity + 1)
+        order = np.lexsort((-pieces, rows))
+        flat, ends = pieces[order].tolist(), np.cumsum(np.bincount(rows, minlength=len(firsts))).tolist()
+        for begin, end, times in zip([0, *ends], ends, much.tolist()):
+            key = tuple(flat[begin:end])
+            taken[key] = taken.get(key, 0.0) + times
+        served += got
+        weight *= np.exp(-step * got[sizes] / need[sizes])
+        weight = np.maximum(weight / weight.max(), 1e-12)
+        reached = sum(taken.values()) / max(1e-12, (served[sizes] / need[sizes]).min()) / least - 1 if done % 16 == 0 or done == rounds else np.inf
+        if reached <= gap:
             break
-        much = min(need[s] / n for s, n in config.items())
-        key = tuple(sorted(config.items(), reverse=True))
-        taken[key] = taken.get(key, 0.0) + much
-        for s, n in config.items():
-            weight[s] *= np.exp(-step * much * n / need[s])
-        top = weight.max()
-        if top < 1e-9:
-            weight /= top
-    return taken
+    scale = float((sizes * need[sizes]).sum() / (sizes * served[sizes]).sum())
+    return {key: times * scale for key, times in taken.items()}, reached
 
 
-def plan(counts: np.ndarray, capacity: int, rounds: int = 120, step: float = 0.7) -> list[tuple[int, dict[int, int]]]:
-    """Whole configurations and how often each is used; together they hold every length exactly ``counts`` times."""
+def rounded(fractional: dict[tuple, float], left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Whole numbers of configurations, at most ``ROUNDED`` of them, that take no more than is in ``left``, which they lower.
+
+    Numbers are summed up in order of the configurations' lengths and one is taken at each whole step of the sum, so lengths
+    keep their shares. The fullest come first where a length runs out.
+    """
+    ordered = sorted(fractional, reverse=True)
+    each = max(1, math.ceil(sum(fractional.values()) / ROUNDED))
+    steps = np.diff(np.floor(np.cumsum([fractional[key] for key in ordered]) / each), prepend=0).astype(np.int64) * each
+    chosen = []
+    for key, times in sorted(zip(ordered, steps.tolist()), key=lambda x: (-sum(x[0]), x[0])):
+        config = Counter(key)
+        times = min(times, *(int(left[s]) // n for s, n in config.items())) if times else 0
+        if times:
+            for s, n in config.items():
+                left[s] -= times * n
+            chosen.append((times, dict(config)))
+    return chosen
+
+
+def planned(counts: np.ndarray, capacity: int, rounds: int = 1000, step: float = 0.05, gap: float = 0.05) -> tuple[list[tuple[int, dict[int, int]]], int, float]:
+    """The linear program's plan with best-fit for what rounding leaves over, how many sequences are the program's, and its gap."""
     left = counts.astype(np.int64).copy()
     chosen: list[tuple[int, dict[int, int]]] = []
     if left[capacity]:
         chosen.append((int(left[capacity]), {capacity: 1}))
         left[capacity] = 0
     if not left.any():
-        return chosen
-    fractional = solve(left, capacity, rounds, step)
-    served = np.zeros(capacity + 1)
-    for config, much in fractional.items():
-        for s, n in config:
-            served[s] += much * n
-    # scaled so that no length is served more often than it occurs, then rounded down
-    scale = min(1.0, float((left[left > 0] / np.maximum(served[left > 0], 1e-12)).min())) if fractional else 0.0
-    for config, much in sorted(fractional.items(), key=lambda x: (-x[1], x[0])):
-        times = min(int(much * scale), *(int(left[s]) // n for s, n in config))
-        # a configuration with much free space is left to the best-fit pass
-        if times > 0 and sum(s * n for s, n in config) >= 0.98 * capacity:
-            for s, n in config:
-                left[s] -= times * n
-            chosen.append((times, dict(config)))
-    chosen += best_fit(left, capacity)
+        return chosen, 0, 0.0
+    fractional, reached = solve(left, capacity, rounds, step, gap)
+    whole = rounded(fractional, left, capacity)
+    return chosen + whole + best_fit(left, capacity), sum(t for t, _ in whole), reached
+
+
+def plan(counts: np.ndarray, capacity: int, rounds: int = 1000, step: float = 0.05) -> list[tuple[int, dict[int, int]]]:
+    """Whole configurations and how often each is used; together they hold every length exactly ``counts`` times."""
+    chosen, _, _ = planned(counts, capacity, rounds, step)
     alone = best_fit(counts, capacity)
-    # rounding can cost sequences where lengths are few; then best-fit alone stands
+    # rounding can cost sequences; then best-fit alone stands
     return chosen if sum(t for t, _ in chosen) <= sum(t for t, _ in alone) else alone
 
 
@@ -179,7 +219,7 @@ def pack(
     """Pieces with their sequence and offset.
 
     The driver gets the histogram (``capacity`` counts at most) and makes the plan; the plan's table
-    has at most ``capacity`` lengths for each of its few thousand configurations and is broadcast.
+    has a row for each length of its configurations, of which there are some ten thousand, and is broadcast.
     """
     spark = docs.sparkSession
     pieces = settle(cut_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")

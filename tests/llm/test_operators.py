@@ -105,6 +105,21 @@ def test_plans_hold_every_length_once(seed):
     assert sum(t for t, _ in chosen) <= 1.03 * least
 
 
+def test_most_sequences_are_the_linear_programs():
+    counts = np.random.default_rng(7).integers(20, 60, 257)
+    counts[0] = 0
+    chosen, of_program, gap = packing.planned(counts, 256)
+    held = np.zeros(257, dtype=int)
+    for times, config in chosen:
+        assert sum(s * n for s, n in config.items()) <= 256
+        for s, n in config.items():
+            held[s] += times * n
+    assert (held == counts).all() and gap <= 0.05
+    short = sum(t for t, _ in chosen) - counts[256]
+    assert of_program >= 0.7 * short
+    assert sum(t for t, _ in chosen) <= 1.03 * max(-(-(counts * np.arange(257)).sum() // 256), counts[129:].sum())
+
+
 def test_bpe(docs):
     coder = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     want = []
