@@ -154,7 +154,7 @@ def _lines(texts: DataFrame) -> DataFrame:
 def _near(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """Pairs of different line texts (h1, h2 and o1, o2) within ``edits`` edits."""
     names = [f"n{i}" for i in range(len(COUNTED))]
-    counts = [(F.length("line") - F.length(F.replace("line", F.lit(c)))).cast("smallint").alias(n) for n, c in zip(names, COUNTED)]
+    counts = [(F.length("line") - F.length(F.replace("line", F.lit(c)))).cast("int").alias(n) for n, c in zip(names, COUNTED)]
     long = lines.withColumn("chars", F.length("line")).where(F.col("chars") >= max(min_chars, 4 * (edits + 1)))
     keyed = long.select("h1", "line", F.inline(keys_of(F.col("line"), F.col("chars"), edits)))
     # which keys two texts share is found from the keys alone; only lines with such keys are keyed again

@@ -247,6 +247,12 @@ def test_lines(spark, docs):
         assert out[i] == int(any(edits(t, s) <= 2 for s_id, s in rows[:i])), (i, t)
 
 
+def test_lines_of_very_many_equal_letters(spark):
+    rows = [(1, "e" * 40_000), (2, "e" * 40_000), (3, "e" * 39_999 + "x"), (4, "e" * 40_000 + "some more of other letters")]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
 def test_substrings(docs):
     raw = [(i, (t or "").encode()) for i, t in plain_docs()]
     seen = Counter(b[k : k + 400] for _, b in raw for k in range(len(b) - 399))
