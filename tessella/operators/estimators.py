@@ -6,9 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import ship
+
+#: Rows and draws whose weights a task holds at once.
+ROWS_AT_ONCE, DRAWS_AT_ONCE = 4096, 64
+
 
 def moments(df: DataFrame, x: list[str], y: str, weight=None) -> tuple[np.ndarray, np.ndarray, float, int]:
     """X'WX, X'Wy, y'Wy and n, with an intercept before ``x``. (k + 1) * (k + 4) / 2 sums in one pass."""
@@ -77,25 +83,56 @@ def glm(df: DataFrame, x: list[str], y: str, family: str, rounds: int = 50, tole
     return beta, inv
 
 
-def bootstrap(df: DataFrame, x: list[str], y: str, key: str, draws: int, fit=None) -> DataFrame:
-    """draw, term, coef under Poisson(1) resampling by a hash of (key, draw): reproducible, and the same on any partitioning.
+def _poisson_table() -> np.ndarray:
+    """Poisson(1) counts by 16 random bits."""
+    p = np.cumsum([math.exp(-1.0) / math.factorial(i) for i in range(12)])
+    return np.searchsorted(p, (np.arange(1 << 16) + 0.5) / (1 << 16), side="left").astype(np.uint8)
+
+
+def draw_weights(keys: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts of every draw (rows) and key (columns), from a mixed 64-bit hash of both; four draws share a hash."""
+    table = _poisson_table()
+    groups, group_of = np.unique(draws // 4, return_inverse=True)
+    z = keys.view(np.uint64)[None, :] + (groups.astype(np.uint64)[:, None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    shift = (16 * (draws % 4)).astype(np.uint64)
+    return table[((z[group_of] >> shift[:, None]) & np.uint64(0xFFFF)).astype(np.intp)]
+
 
-    Each row meets every draw map-side and only k x k sums per draw are shuffled, so draws add columns of sums, not copies of rows.
+def bootstrap(df: DataFrame, x: list[str], y: str, key: str, draws: int) -> DataFrame:
+    """draw, term, coef under Poisson(1) resampling by a hash of (key, draw): reproducible, and the same rows on any partitioning.
+
+    Each task sums its rows for blocks of draws, so no row is copied and only k x k sums per draw and task are shuffled.
     """
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x]]
-    k = len(cols)
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("draw")), F.lit(1_000_003)) + 0.5) / 1_000_003
-    cuts, p, total = [], math.exp(-1.0), 0.0
-    for i in range(7):
-        total += p
-        cuts.append(total)
-        p /= i + 1
-    count = sum((F.when(u > c, 1.0).otherwise(0.0) for c in cuts), F.lit(0.0))
-    drawn = df.dropna(subset=[*x, y]).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_w", count).where("_w > 0")
-    w, out = F.col("_w"), F.col(y).cast("double")
-    aggs = [F.sum(w * cols[i] * cols[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
-    aggs += [F.sum(w * cols[i] * out).alias(f"b{i}") for i in range(k)]
-    sums = drawn.groupBy("draw").agg(*aggs)
+    ship(df.sparkSession)
+    k = len(x) + 1
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    names = [f"a{i}_{j}" for i, j in pairs] + [f"b{i}" for i in range(k)]
+    clean = df.dropna(subset=[*x, y]).select(
+        F.xxhash64(key).alias("key"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x, 1)], F.col(y).cast("double").alias("y")
+    )
+
+    def add(batches):
+        from tessella.operators import estimators as own
+
+        totals, rows = np.zeros((draws, len(names))), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                keys, *rest = [c.to_numpy(zero_copy_only=False) for c in part.columns]
+                cols, out = [np.ones(len(keys)), *rest[:-1]], rest[-1]
+                terms = np.stack([*[cols[i] * cols[j] for i, j in pairs], *[c * out for c in cols]], axis=1)
+                for low in range(0, draws, DRAWS_AT_ONCE):
+                    block = np.arange(low, min(draws, low + DRAWS_AT_ONCE))
+                    totals[block] += own.draw_weights(keys, block).astype(float) @ terms
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws), pa.int32()), *map(pa.array, totals.T.copy())], ["draw", *names])
+
+    added = clean.mapInArrow(add, ", ".join(["draw int", *[f"{n} double" for n in names]]))
+    sums = added.groupBy("draw").agg(*[F.sum(n).alias(n) for n in names])
     terms = ["const", *x]
 
     def solve(batches):

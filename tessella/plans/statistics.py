@@ -32,7 +32,7 @@ def ols_clustered(t):
 @query()
 def bootstrap_se(t):
     keyed = _lines(t).withColumn("key", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"))
-    draws = estimators.bootstrap(keyed, ["q", "d"], "y", "key", 20)
+    draws = estimators.bootstrap(keyed, ["q", "d"], "y", "key", 1000)
     share = F.avg((c("coef") > 0).cast("int"))
     p = (2 * F.least(share, 1 - share)).alias("p")
     return draws.groupBy("term").agg(F.stddev_pop("coef").alias("se"), F.percentile("coef", 0.025).alias("low"), F.percentile("coef", 0.975).alias("high"), p)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella import session
 from tessella.functions.similarity import damerau_levenshtein_of, jaro_winkler_of
 from tessella.operators import describe, estimators, sequence
-from tessella.plans import reports
+from tessella.plans import catalog, reports
 from tessella.sources import readers
 
 
@@ -67,6 +67,28 @@ def test_estimators_recover_what_made_the_data(spark):
     assert draws.count() == 15
 
 
+def test_bootstrap_draws_are_weighted_fits(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.normal(size=400), rng.normal(size=400)))]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double").withColumn("y", F.col("a") + F.col("b"))
+    keys = np.array([r["k"] for r in df.orderBy("id").select(F.xxhash64("id").alias("k")).collect()], dtype=np.int64)
+    got = {(r["draw"], r["term"]): r["coef"] for r in estimators.bootstrap(df, ["a"], "y", "id", 130).collect()}
+    x, y = np.array([[1.0, a] for _, a, _ in rows]), np.array([a + b for _, a, b in rows])
+    weights = estimators.draw_weights(keys, np.arange(130)).astype(float)
+    assert abs(weights.mean() - 1) < 0.02 and abs(weights.var() - 1) < 0.05
+    for d in range(130):
+        want = np.linalg.solve((x.T * weights[d]) @ x, (x.T * weights[d]) @ y)
+        assert np.allclose([got[d, "const"], got[d, "a"]], want)
+
+
+def test_bootstrap_se_has_the_references_draws(spark, sf, monkeypatch):
+    seen, real = [], estimators.bootstrap
+    monkeypatch.setattr(estimators, "bootstrap", lambda *a: seen.append(a[-1]) or real(*a))
+    got = {r["term"]: r for r in catalog.queries()["bootstrap_se"](spark, sf).collect()}
+    assert seen == [1000] and set(got) == {"const", "q", "d"}
+    assert all(r["low"] < r["high"] and r["se"] > 0 for r in got.values())
+
+
 def test_ranks_and_reports(spark):
     df = spark.createDataFrame([(i, float(i * 7 % 31)) for i in range(200)], "id int, v double")
     got = [r["id"] for r in describe.ranked(df, "v", "id").orderBy("rank").collect()]
