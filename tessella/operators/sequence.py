@@ -41,3 +41,20 @@ def sandwich(df: DataFrame, value: str, by: list[str], order: str) -> DataFrame:
 def first_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def row_before(df: DataFrame, key: str, columns: list[str], width: int = 4096, levels: int = 3) -> DataFrame:
+    """``df`` with ``before``, a struct of ``columns`` of the row with the next smaller ``key`` (whole numbers, no two alike), whatever the gaps; null for the first.
+
+    Rows are ordered within ranges of ``width`` keys. A range's first row takes the last row of the range before it, found in the
+    same way among the ranges; only the last level, one row for each width ** levels keys, is ordered in one task.
+    """
+    value = F.struct(*columns)
+    if not levels:
+        return df.withColumn("before", F.lag(value).over(Window.partitionBy(F.lit(0)).orderBy(key)))
+    at = f"_range{levels}"
+    ranged = df.withColumn(at, F.floor(F.col(key) / width).cast("bigint"))
+    inside = ranged.withColumn("before", F.lag(value).over(Window.partitionBy(at).orderBy(key)))
+    lasts = ranged.groupBy(at).agg(F.max_by(value, F.col(key)).alias("_last"))
+    carried = row_before(lasts, at, ["_last"], width, levels - 1).select(at, F.col("before._last").alias("_carried"))
+    return inside.join(carried, at).withColumn("before", F.coalesce("before", "_carried")).drop(at, "_carried")

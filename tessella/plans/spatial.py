@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import grid
+from tessella.operators import grid, sequence
 from tessella.plans.registry import query
 
 c = F.col
@@ -146,11 +146,9 @@ def web_mercator(t):
 
 @query(_P + ", h as (select id, lag(x) over (order by id) / 100 as lon0, lag(y) over (order by id) / 100 as lat0, x / 100 as lon1, y / 100 as lat1, y / 100 as lon2, x / 100 as lat2 from p) select id, round(2 * 6371008.8 * asin(sqrt(sin(radians(lat1 - lat0) / 2) ** 2 + cos(radians(lat0)) * cos(radians(lat1)) * sin(radians(lon1 - lon0) / 2) ** 2)), 2) as first_m from h where lon0 is not null")
 def haversine_tiebreak(t):
-    # the previous row by id is the row id - 1: keys are dense, so it is a join and not one window over all rows
-    now = _points(t).select("id", "x", "y")
-    before = now.select((c("id") + 1).alias("id"), c("x").alias("px"), c("y").alias("py"))
-    d = grid.haversine(c("px") / 100, c("py") / 100, c("x") / 100, c("y") / 100)
-    return now.join(before, "id").select("id", F.round(d, 2).alias("first_m"))
+    now = sequence.row_before(_points(t).select("id", "x", "y"), "id", ["x", "y"]).where("before is not null")
+    d = grid.haversine(c("before.x") / 100, c("before.y") / 100, c("x") / 100, c("y") / 100)
+    return now.select("id", F.round(d, 2).alias("first_m"))
 
 
 @query(_P + _CELLS + "select city, grid_id, count(*) as n from (select a.city, a.grid_id, b.grid_id as o from g a join g b on a.city = b.city and greatest(abs(a.ix - b.ix) - 1, 0) * 150 <= 150 and greatest(abs(a.iy - b.iy) - 1, 0) * 150 <= 150 and b.n >= 4 and greatest(abs(a.ix - b.ix) - 1, 0) ** 2 + greatest(abs(a.iy - b.iy) - 1, 0) ** 2 <= 1) group by 1, 2")

@@ -89,6 +89,20 @@ def test_bootstrap_se_has_the_references_draws(spark, sf, monkeypatch):
     assert all(r["low"] < r["high"] and r["se"] > 0 for r in got.values())
 
 
+def test_haversine_takes_the_row_before_over_gaps(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/nation.parquet").write.parquet(str(tmp_path / "nation.parquet"))
+    gaps = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 7 not in (2, 3)")
+    far = gaps.withColumn("c_custkey", F.when(F.col("c_custkey") > 60, F.col("c_custkey") + 20_000_000).otherwise(F.col("c_custkey")))
+    far.write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    for name in ("customer", "nation", "supplier"):
+        con.execute(f"create view {name} as select * from '{sf if name == 'supplier' else tmp_path}/{name}.parquet{'' if name == 'supplier' else '/*.parquet'}'")
+    want = con.execute(catalog.oracle_sql()["haversine_tiebreak"]).fetchall()
+    got = catalog.queries()["haversine_tiebreak"](spark, str(tmp_path)).select("id", "first_m").collect()
+    assert len(got) == gaps.count() - 1
+    assert np.allclose(sorted(map(tuple, got)), sorted(want), atol=0.011)
+
+
 def test_ranks_and_reports(spark):
     df = spark.createDataFrame([(i, float(i * 7 % 31)) for i in range(200)], "id int, v double")
     got = [r["id"] for r in describe.ranked(df, "v", "id").orderBy("rank").collect()]
