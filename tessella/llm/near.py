@@ -6,11 +6,12 @@ documents and are one small array however large the corpus is. Consistent weight
 texts that share a band are candidates; candidates are verified by exact weighted Jaccard similarity
 on whole texts. Classes are the connected components of the verified links.
 
-A band that many texts share is not paired off. In ``ROUNDS`` rounds every member is compared with one
-leader of its band, and what has been linked counts as one from then on. Then members of unlike classes are
-paired: in bands of up to ``FEW`` members all of them; in larger ones those that share a second band as well, so a
-group of texts that only have a common passage falls apart (of pairs at 0.8, one in 2,500 shares no second
-band; it is lost only if its one band is such a large one). No other pair is given up but those inside one class, which could add nothing.
+A band that many texts share is not paired off. Every member is first compared with one leader of its band, the member that shares
+most with others (the one whose bands are largest), and what is linked so counts as one from then on. In a group of near
+copies that is most of it. Members of a band that are still in unlike classes are paired: in bands of up to ``FEW`` members
+at once; in larger ones where a bound on their similarity allows it. The bound is exact: shingles that no other text of any large band
+holds can't be common to two of them, so of two texts of weight v and w, with shared weights r and s, the similarity is at
+most min(r, s) / (v + w - min(r, s)). No pair is given up but those, and those inside one class, which could add nothing.
 
 Each text carries one byte of each of its samples. Of candidates, those in which under half of these agree aren't read
 any further: a pair at 0.8 looks like that with a probability of 2e-8.
@@ -43,8 +44,8 @@ from tessella.session import discard, settle, ship
 WORDS = 5
 FEATURES = 1 << 17
 SAMPLES, BANDS = 64, 16
-#: Rounds of comparing with leaders; members of a band up to which all are paired that the rounds haven't linked.
-ROUNDS, FEW = 2, 32
+#: Members of a band up to which those that its leader hasn't linked are paired without a bound; times the bound is drawn tighter.
+FEW, TIGHTER = 32, 2
 _GRAIN = 16
 _SAMPLER: list = []
 
@@ -211,8 +212,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of the bands in which classes are still apart, with their labels."""
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the bands in which classes are still apart, with their labels and the band's size."""
     now = members.withColumn("label", F.col("node"))
     if labels is not None:
         now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -221,19 +222,55 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return now
 
 
-def _led(now: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each member and the leader of its band, which is another one in each turn."""
-    chosen = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"), F.col("label"), F.col("marks"))).alias("x")
-    leaders = now.groupBy("band").agg(chosen).select("band", F.col("x.node").alias("b"), F.col("x.label").alias("other"), F.col("x.marks").alias("others"))
-    led = now.join(leaders, (now["band"] == leaders["band"]) & (F.col("label") != F.col("other")) & alike(F.col("marks"), F.col("others")))
+def _led(members: DataFrame) -> DataFrame:
+    """Pairs of each member and the leader of its band."""
+    shares = members.groupBy("node").agg(F.sum("n").alias("share"))
+    most = F.max(F.struct("share", "node", "marks")).alias("x")
+    leaders = members.join(shares, "node").groupBy("band").agg(most).select("band", F.col("x.node").alias("b"), F.col("x.marks").alias("others"))
+    led = members.join(leaders, (members["band"] == leaders["band"]) & (F.col("node") != F.col("b")) & alike(F.col("marks"), F.col("others")))
     return led.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
 
 
-def _paired(now: DataFrame) -> DataFrame:
-    """All pairs of a band's members that are in different classes."""
-    other = now.select("band", F.col("node").alias("b"), F.col("label").alias("other"), F.col("marks").alias("others"))
-    met = now.join(other, (now["band"] == other["band"]) & (F.col("label") < F.col("other")) & alike(F.col("marks"), F.col("others")))
-    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+def _paired(now: DataFrame, more: Column | None = None) -> DataFrame:
+    """All pairs of a band's members that are in different classes and for which ``more`` holds."""
+    other = now.select("band", *[F.col(n).alias(f"o_{n}") for n in now.columns if n != "band"])
+    on = (now["band"] == other["band"]) & (F.col("label") < F.col("o_label")) & alike(F.col("marks"), F.col("o_marks"))
+    met = now.join(other, on if more is None else on & more)
+    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
+
+
+def _shared_weights(held: DataFrame, weights, threshold: float) -> DataFrame:
+    """Of these texts, those that can be like another of them: their weight and that of the shingles they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessella.llm import near as own
+
+        rarity = weights.value
+        for batch in own.slices(batches, "text", 1 << 20):
+            found = list(own.shingles(batch.column("text")))
+            sizes = [len(s) for s, _ in found]
+            shingle = np.concatenate([s for s, _ in found]) if found else np.zeros(0, np.uint64)
+            count = np.concatenate([n for _, n in found]) if found else np.zeros(0, np.int64)
+            node = batch.column("node").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays(
+                [node, pa.array(shingle.view(np.int64)), pa.array((count * rarity[own.feature(shingle)]).astype(np.float64))], ["node", "shingle", "w"]
+            )
+
+    parts = settle(held.mapInArrow(run, "node binary, shingle bigint, w double"), "shingles")
+    alive = None
+    for _ in range(TIGHTER):
+        rows = parts if alive is None else parts.join(alive.select("node"), "node", "left_semi")
+        alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("w").alias("w")).where("n = 1")
+        alone = alone.groupBy("node").agg(F.sum("w").alias("alone"))
+        whole = rows.groupBy("node").agg(F.sum("w").alias("weight")).join(alone, "node", "left")
+        whole = whole.select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0.0))).alias("common"))
+        # sums may round differently
+        after = settle(whole.where(F.col("common") >= (threshold - 1e-6) * F.col("weight")), "alive")
+        if alive is not None:
+            discard(alive)
+        alive = after
+    discard(parts)
+    return alive
 
 
 def classes(
@@ -248,10 +285,10 @@ def classes(
     signed = settle(_signatures(all_, weights), "signatures")
     nodes = settle(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks")), "nodes")
     keyed = lambda *more: nodes.select("node", *more, F.posexplode("bands").alias("i", "h")).withColumn("band", F.xxhash64("i", "h"))
-    shared = settle(keyed().groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "bands-shared")
+    shared = settle(keyed().groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands-shared")
     may = sketch(shared, F.col("band"), 1 << 22)
-    members = settle(keyed("marks").where(may(F.col("band"))).join(shared, "band", "left_semi").select("band", "node", "marks"), "members")
-    discard(shared)
+    members = settle(keyed("marks").where(may(F.col("band"))).join(shared, "band").select("band", "node", "marks", "n"), "members")
+    discard(nodes, shared)
     wanted = members.select("node").distinct()
     may = sketch(wanted, F.xxhash64("node"))
     held = all_.where(may(F.xxhash64("node"))).join(wanted, "node", "left_semi").select("node", "text").dropDuplicates(["node"])
@@ -259,37 +296,26 @@ def classes(
     links: list[DataFrame] = []
     labels = None
 
-    def link(pairs: DataFrame, now: DataFrame) -> None:
+    def link(pairs: DataFrame) -> None:
         nonlocal labels
-        # a band's sorted pairs come from one task and hold most repeats
         found = settle(_verified(settled := settle(pairs.distinct(), "pairs"), held, weights, threshold), "verified")
-        discard(now, settled)
+        discard(settled)
         links.append(found)
         if found.limit(1).count():
             if labels is not None:
                 discard(labels)
             labels = components(reduce(DataFrame.unionByName, links))
 
-    for turn in range(ROUNDS):
-        now = settle(_labelled(members, labels), "now")
-        link(_led(now, turn), now)
-    now = settle(_labelled(members, labels), "now")
-    large = settle(now.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("band"), "bands-large")
-    pairs = _paired(now.join(large, "band", "left_anti"))
-    # a member of a large band meets those that share another band with it
-    own = nodes.select("node", F.transform("bands", lambda h, i: F.xxhash64(i.cast("int"), h)).alias("all"))
-    twice = now.join(large, "band", "left_semi").join(own, "node")
-    twice = twice.select("node", "label", "marks", "band", F.explode("all").alias("second")).where("band <> second")
-    # (x, y) and (y, x) are one key
-    twice = twice.select("node", "label", "marks", F.xxhash64(F.least("band", "second"), F.greatest("band", "second")).alias("band")).distinct()
-    meet = twice.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    twice = settle(twice.join(meet, "band", "left_semi"), "bands-twice")
-    link(_led(twice, ROUNDS).unionByName(pairs), now)
-    discard(large)
-    now = settle(_labelled(twice.drop("label"), labels), "now")
-    discard(twice)
-    link(_paired(now), now)
-    discard(members, nodes, held, *links)
+    link(_led(members))
+    now = settle(_open(members, labels), "now")
+    discard(members)
+    large = now.where(F.col("n") > FEW)
+    alive = _shared_weights(held.join(large.select("node").distinct(), "node", "left_semi"), weights, threshold)
+    common = F.least("common", "o_common")
+    possible = common >= (threshold - 1e-6) * (F.col("weight") + F.col("o_weight") - common)
+    link(_paired(now.where(F.col("n") <= FEW)).unionByName(_paired(large.join(alive, "node"), possible)))
+    discard(now, alive)
+    discard(held, *links)
     placed = signed.select("doc_id", "node")
     if labels is not None:
         placed = placed.join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
