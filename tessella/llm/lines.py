@@ -1,14 +1,17 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Equal lines are found by their hashes (128 bits). Lines of ``MIN_CHARS`` code points or more are also joined by edit
-distance: a line is cut into EDITS + 1 even segments; if two lines are within EDITS edits, one segment of the shorter
+Equal lines are found by their hashes (128 bits). Lines are also joined by edit distance: two lines are alike within one edit for
+every ``PER_EDIT`` code points of the shorter one, ``EDITS`` at most, so lines under ``PER_EDIT`` only if equal. For a threshold
+a line is cut into threshold + 1 even segments; if two lines are within it, one segment of the shorter
 one stands unchanged in the longer one, near its own place. Each line's segments are indexed by length and
 number, and each line probes the lengths just under its own at the few places that the edits allow. Candidates
 whose letter counts rule the distance out are dropped in the join; the others are verified on whole lines by
 a banded bit-parallel edit distance: one word of 2 * EDITS + 1 bits holds the band's column.
 
 A line is removed if an equal line stands before it (by doc_id and place) or if its first copy lies
-within EDITS edits of another text whose first copy stands before it.
+within the threshold of another text whose first copy stands before it. One such text is enough, so lines that share a key
+are not paired off: in ``ROUNDS`` rounds each is compared with the first line of its key that is still open, and what is found like
+it is settled. Lines still open then meet all lines before them that have a key in common.
 
 Defined results: null texts count as empty; lines without a word are never removed; a row's null id stays
 null and comes first in order; rows equal in id and text count as one document and are cut alike; texts
@@ -17,6 +20,7 @@ whose lines are all removed stay as empty ones; other columns play no part.
 
 from __future__ import annotations
 
+from functools import reduce
 from string import ascii_lowercase
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +29,8 @@ from pyspark.sql import functions as F
 from tessella.llm.native import opaque, sketch
 from tessella.session import discard, settle
 
-EDITS, MIN_CHARS = 2, 30
+#: Edits at most, code points of the shorter line to each, and rounds of comparing with the first line of a key.
+EDITS, PER_EDIT, ROUNDS = 2, 15, 2
 #: Letters whose counts are compared before a candidate is verified; each edit changes two counts by one at most.
 COUNTED = "enai"
 _BLANK = " \t\n\x0b\f\r"
@@ -39,8 +44,8 @@ def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
     return start, base + F.when(F.lit(number) >= parts - rest, 1).otherwise(0)
 
 
-def keys_of(line: Column, length: Column, edits: int) -> Column:
-    """Every key of a line: its own segments (mine), and those of lines 0 to ``edits`` shorter where they might stand in it.
+def keys_of(line: Column, length: Column, edits: int) -> list[Column]:
+    """Every key of a line: its own segments (odd), and those of lines 0 to ``edits`` shorter where they might stand in it (even).
 
     Lines have several times ``edits`` letters, so no place falls before their start.
     """
@@ -53,14 +58,24 @@ def keys_of(line: Column, length: Column, edits: int) -> Column:
             high = min(i, shorter + (edits - i))
             for shift in range(low, high + 1):
                 piece = F.substring(line, (start + shift + 1).cast("int"), size.cast("int"))
-                own = shorter == 0 and shift == 0
-                key = F.xxhash64(F.lit(i), other, piece)
-                out.append(F.struct(key.alias("key"), F.lit(own).alias("mine")))
-    return F.array(*out)
+                key = F.xxhash64(F.lit(edits * 16 + i), other, piece)
+                out.append(key.bitwiseOR(F.lit(1)) if shorter == 0 and shift == 0 else key.bitwiseAND(F.lit(-2)))
+    return out
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two strings are within ``edits`` edits: Hyyro's banded bit-vectors, a column of the band in one word.
+def all_keys(line: Column, length: Column, edits: int, per_edit: int) -> Column:
+    """The keys of each threshold that the line can have together with another."""
+    parts = []
+    for e in range(1, edits + 1):
+        fits = length >= per_edit * e
+        if e < edits:  # a longer line of a pair may have e letters more
+            fits = fits & (length < per_edit * (e + 1) + e)
+        parts.append(F.when(fits, F.array(*keys_of(line, length, e))).otherwise(F.array().cast("array<bigint>")))
+    return F.concat(*parts)
+
+
+def within(a: Column, b: Column, edits: int, allowed: Column) -> Column:
+    """Whether two strings are within ``allowed`` edits, of ``edits`` at most: Hyyro's banded bit-vectors, a column of the band in one word.
 
     Bit r of the band stands for the row r - edits from the diagonal. The band slides one row down with each
     letter of ``b``; ``vp`` and ``vn`` mark where the column rises and falls, and the score follows the
@@ -115,7 +130,7 @@ def within(a: Column, b: Column, edits: int) -> Column:
     final = F.aggregate(F.sequence(F.lit(0), n - 1), begin, advance, lambda s: s["score"])
     # strings that end inside the first band have no such column to begin with
     tiny = F.least(m, n) <= edits
-    return (F.abs(m - n) <= edits) & F.when(tiny, F.levenshtein(a, b) <= edits).otherwise(final <= edits)
+    return (F.abs(m - n) <= allowed) & (F.when(tiny, F.levenshtein(a, b)).otherwise(final) <= allowed)
 
 
 def common_start(a: Column, b: Column) -> Column:
@@ -151,67 +166,100 @@ def _lines(texts: DataFrame) -> DataFrame:
     )
 
 
-def _near(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """Pairs of different line texts (h1, h2 and o1, o2) within ``edits`` edits."""
-    names = [f"n{i}" for i in range(len(COUNTED))]
-    counts = [(F.length("line") - F.length(F.replace("line", F.lit(c)))).cast("int").alias(n) for n, c in zip(names, COUNTED)]
-    long = lines.withColumn("chars", F.length("line")).where(F.col("chars") >= max(min_chars, 4 * (edits + 1)))
-    keyed = long.select("h1", "line", F.inline(keys_of(F.col("line"), F.col("chars"), edits)))
-    # which keys two texts share is found from the keys alone; only lines with such keys are keyed again
-    often = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("mine").alias("indexed"))
-    often = settle(often.where("low < high and indexed").select("key"), "line-keys-often")
-    may = sketch(often, F.col("key"))
-    again = keyed.where(may(F.col("key"))).select("h1", *counts, "key", "mine").distinct()
-    shared = settle(again.join(often, "key", "left_semi"), "line-keys-shared")
-    discard(often)
-    index = shared.where("mine").select("key", F.col("h1").alias("o1"), *[F.col(c).alias(f"o_{c}") for c in names])
-    apart = sum((F.abs(F.col(c) - F.col(f"o_{c}")) for c in names), F.lit(0))
-    probes = shared.select("key", "h1", *names)
-    on = (probes["key"] == index["key"]) & (F.col("h1") != F.col("o1")) & (apart <= 2 * edits)
-    found = probes.join(index, on).select(F.least("h1", "o1").alias("a1"), F.greatest("h1", "o1").alias("b1")).distinct()
-    found = settle(found, "line-pairs")
-    discard(shared)
-    wanted = found.select(F.explode(F.array("a1", "b1")).alias("w1")).distinct()
-    may = sketch(wanted, F.col("w1"))
-    held = long.where(may(F.col("h1"))).join(wanted, F.col("h1") == F.col("w1"), "left_semi").select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
-    held = settle(held.withColumn("counts", letter_counts(F.col("line"))), "line-texts")
-    left = held.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("la"), F.col("counts").alias("ca"))
-    right = held.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("lb"), F.col("counts").alias("cb"))
-    pairs = found.join(left, "a1").join(right, "b1").where(counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits)
+def _packed(line: Column) -> Column:
+    """The counts of ``COUNTED``, 15 bits each; larger ones count as the greatest, which can only make lines look more alike."""
+    out = F.lit(0).cast("bigint")
+    for c in COUNTED:
+        n = F.least(F.length(line) - F.length(F.replace(line, F.lit(c))), F.lit(32767))
+        out = F.shiftleft(out, 15).bitwiseOR(n.cast("bigint"))
+    return out
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """By how much the packed counts differ in all; an edit adds two at most."""
+    each = [[F.shiftright(x, 15 * i).bitwiseAND(F.lit(32767)) for x in (a, b)] for i in range(len(COUNTED))]
+    return sum((F.abs(x - y) for x, y in each), F.lit(0))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """Those of the lines h1, h2 that are alike with the line o1, o2 they are paired with."""
+    spark = texts.sparkSession
+    left = texts.select("h1", "h2", F.col("line").alias("la"), F.col("counts").alias("ca"))
+    right = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("lb"), F.col("counts").alias("cb"))
+    met = pairs.join(left, ["h1", "h2"]).join(right, ["o1", "o2"]).where(counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits)
+    met = met.withColumn("allowed", F.least(F.lit(edits), F.floor(F.least(F.length("la"), F.length("lb")) / per_edit)).cast("int"))
     # few rows with much work each: dealt out by number, not by size
-    pairs = pairs.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a1", "b1")
-    pairs = unlike_middles(pairs)
-    fine = pairs.withColumn("fine", opaque(within(F.col("la"), F.col("lb"), edits))).where("fine").select("a1", "a2", "b1", "b2")
-    fine = settle(fine, "line-near")
-    discard(found, held)
-    return fine
+    met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h1", "o1")
+    met = unlike_middles(met)
+    return met.withColumn("fine", opaque(within(F.col("la"), F.col("lb"), edits, F.col("allowed")))).where("fine").select("h1", "h2").distinct()
+
+
+def _near(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """Lines (h1, h2) that are alike with one whose first copy stands before theirs."""
+    long = lines.withColumn("chars", F.length("line")).where(F.col("chars") >= per_edit)
+    keyed = settle(long.select("h1", F.explode(all_keys(F.col("line"), F.col("chars"), edits, per_edit)).alias("key")), "line-keys")
+    rows = keyed.select("h1", F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(F.lit(1)).alias("mine"))
+    # lines that share a key are told from the keys alone
+    often = rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("mine").alias("indexed"))
+    often = settle(often.where("low < high and indexed = 1").select("key"), "line-keys-often")
+    may = sketch(often, F.col("key"))
+    shared = settle(rows.where(may(F.col("key"))).select("key", "h1").distinct().join(often, "key", "left_semi"), "line-keys-shared")
+    discard(keyed, often)
+    wanted = settle(shared.select("h1").distinct(), "lines-wanted")
+    may = sketch(wanted, F.col("h1"))
+    first = F.min(F.struct("doc_id", "k1", "place")).alias("first")
+    texts = long.where(may(F.col("h1"))).join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), first)
+    texts = settle(texts.withColumn("packed", _packed(F.col("line"))).withColumn("counts", letter_counts(F.col("line"))), "line-texts")
+    members = settle(shared.join(texts.select("h1", "h2", "first", "packed"), "h1"), "line-members")
+    discard(shared, wanted)
+    line, found, heads = ["h1", "h2"], [], []
+    left = members
+    for _ in range(ROUNDS):
+        head = left.groupBy("key").agg(F.min(F.struct("first", "h1", "h2", "packed")).alias("x"))
+        head = settle(head.select("key", F.col("x.h1").alias("o1"), F.col("x.h2").alias("o2"), F.col("x.packed").alias("o_packed")), "line-heads")
+        own = (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2"))
+        met = left.join(head, "key").where(~own & (_apart(F.col("packed"), F.col("o_packed")) <= 2 * edits))
+        alike = settle(_verified(met.select("h1", "h2", "o1", "o2").distinct(), texts, edits, per_edit), "line-near")
+        found.append(alike)
+        heads.append(head)
+        used = head.select("key", F.col("o1").alias("h1"), F.col("o2").alias("h2"))
+        after = settle(left.join(used, ["key", *line], "left_anti").join(alike, line, "left_anti"), "line-left")
+        if left is not members:
+            discard(left)
+        left = after
+    done = reduce(DataFrame.unionByName, found).distinct()
+    used = reduce(DataFrame.unionByName, heads).select("key", F.col("o1").alias("h1"), F.col("o2").alias("h2"))
+    open_ = members.join(done, line, "left_anti")
+    # a head has met all that stand behind it
+    before = members.join(used, ["key", *line], "left_anti").select(
+        "key", F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("o_first"), F.col("packed").alias("o_packed")
+    )
+    on = (open_["key"] == before["key"]) & (F.col("o_first") < F.col("first")) & (_apart(F.col("packed"), F.col("o_packed")) <= 2 * edits)
+    rest = open_.join(before, on).select("h1", "h2", "o1", "o2").distinct()
+    rest = settle(_verified(rest, texts, edits, per_edit), "line-near")
+    result = settle(done.unionByName(rest), "lines-near")
+    discard(members, texts, left, rest, *found, *heads)
+    return result
 
 
 def dedup_lines(
-    docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Every text without the lines that repeat, exactly or nearly, a line before them; k1 is the hash of the text as it was."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("k1"), text.alias("text"))
     lines = _lines(texts)
     order = F.struct("doc_id", "k1", "place")
+    near = _near(lines, edits, per_edit)
     places = settle(lines.select("doc_id", "k1", "place", "h1", "h2"), "line-places")
-    near = _near(lines, edits, min_chars)
-    often = places.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    linked = near.select(F.explode(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")))).alias("x")).select("x.*").distinct()
-    # only lines that have an equal or near one need a first copy
-    some = settle(places.join(often.unionByName(linked).distinct(), ["h1", "h2"], "left_semi"), "line-places-some")
+    often = places.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.lit(False).alias("late"))
+    # only lines that have an equal or near one play a part
+    marked = often.unionByName(near.withColumn("late", F.lit(True))).groupBy("h1", "h2").agg(F.max("late").alias("late"))
+    some = settle(places.join(marked, ["h1", "h2"]), "line-places-some")
     discard(places)
-    firsts = settle(some.groupBy("h1", "h2").agg(F.min(order).alias("first")), "line-firsts")
-    a = firsts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("fa"))
-    b = firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("fb"))
-    both = near.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
-    later = both.select(
-        F.when(F.col("fa") < F.col("fb"), F.col("b1")).otherwise(F.col("a1")).alias("h1"),
-        F.when(F.col("fa") < F.col("fb"), F.col("b2")).otherwise(F.col("a2")).alias("h2"),
-    ).distinct().withColumn("late", F.lit(True))
-    heads = firsts.join(later, ["h1", "h2"], "left")
-    gone = some.join(heads, ["h1", "h2"]).where(F.col("late") | ~order.eqNullSafe(F.col("first")))
+    firsts = settle(some.where(~F.col("late")).groupBy("h1", "h2").agg(F.min(order).alias("first")), "line-firsts")
+    later = some.where(~F.col("late")).join(firsts, ["h1", "h2"]).where(~order.eqNullSafe(F.col("first")))
+    gone = some.where("late").select("doc_id", "k1", "place").unionByName(later.select("doc_id", "k1", "place"))
     by_doc = gone.groupBy(F.col("doc_id").alias("g_id"), F.col("k1").alias("g1")).agg(F.collect_set("place").alias("gone"))
     joined = texts.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("k1") == F.col("g1")), "left")
     parts = joined.select("doc_id", "k1", F.split("text", "\n").alias("parts"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
