@@ -3,9 +3,8 @@
 Lengths fall into at most ``capacity`` classes, however many documents there are, so the packing is
 planned on the histogram of lengths: the configuration linear program is solved by multiplicative
 weights, whose pricing problem is an unbounded knapsack solved by dynamic programming, to a gap of 5%
-against the knapsack's bound (or 1,000 rounds), and the fractional solution is rounded to whole configurations; what is
-left over is filled best-fit, configuration by configuration. If best-fit alone needs fewer sequences, its
-plan is used. The plan has a bounded size. Pieces then find their places by their
+against the knapsack's bound (or 1,000 rounds), and the fractional solution is rounded to whole configurations; the same is done twice more with what is left over. Of all these a share is kept, those with the
+longest pieces: of ``SHARES`` the one with which fewest sequences are needed. All else fills the room that these have and then, best-fit, configurations of its own. The plan has a bounded size. Pieces then find their places by their
 rank among the pieces of equal length, which is counted in salted groups.
 
 Defined results: null and empty texts are one piece holding the closing id alone; a row's null id
@@ -32,6 +31,8 @@ from tessella.session import settle, ship
 RANKED_TOGETHER = 20_000
 #: Configurations that the linear program's solution is rounded to at most.
 ROUNDED = 8_000
+#: Programs solved, each but the first on what rounding left over of the one before it; shares of their configurations that are tried.
+LEVELS, SHARES = 3, (1.0, 0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.6, 0.4, 0.2)
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -135,7 +136,7 @@ def solve(counts: np.ndarray, capacity: int, rounds: int, step: float, gap: floa
     return {key: times * scale for key, times in taken.items()}, reached
 
 
-def rounded(fractional: dict[tuple, float], left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+def rounded(fractional: dict[tuple, float], left: np.ndarray) -> list[tuple[int, dict[int, int]]]:
     """Whole numbers of configurations, at most ``ROUNDED`` of them, that take no more than is in ``left``, which they lower.
 
     Numbers are summed up in order of the configurations' lengths and one is taken at each whole step of the sum, so lengths
@@ -155,6 +156,38 @@ def rounded(fractional: dict[tuple, float], left: np.ndarray, capacity: int) ->
     return chosen
 
 
+def kept_share(whole: list[tuple[int, dict[int, int]]], left: np.ndarray, share: float) -> list[tuple[int, dict[int, int]]]:
+    """A share of the sequences, those with the longest pieces; the others' pieces go back to ``left``."""
+    budget, out = int(share * sum(t for t, _ in whole)), []
+    for times, config in sorted(whole, key=lambda x: -max(x[1])):
+        n = min(times, budget)
+        budget -= n
+        if n:
+            out.append((n, config))
+        for s, m in config.items():
+            left[s] += m * (times - n)
+    return out
+
+
+def filled_up(chosen: list[tuple[int, dict[int, int]]], left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """The configurations with the longest lengths from ``left``, which is lowered, in the room that they have."""
+    out = []
+    stack = sorted(((t, c, capacity - sum(s * n for s, n in c.items())) for t, c in chosen), key=lambda x: -x[2])
+    while stack:
+        times, config, room = stack.pop()
+        fits = np.flatnonzero(left[: room + 1])
+        if not len(fits):
+            out.append((times, config))
+            continue
+        s = int(fits[-1])
+        n = min(times, int(left[s]))
+        left[s] -= n
+        if n < times:
+            stack.append((times - n, config, room))
+        stack.append((n, config | {s: config.get(s, 0) + 1}, room - s))
+    return out
+
+
 def planned(counts: np.ndarray, capacity: int, rounds: int = 1000, step: float = 0.05, gap: float = 0.05) -> tuple[list[tuple[int, dict[int, int]]], int, float]:
     """The linear program's plan with best-fit for what rounding leaves over, how many sequences are the program's, and its gap."""
     left = counts.astype(np.int64).copy()
@@ -164,17 +197,32 @@ def planned(counts: np.ndarray, capacity: int, rounds: int = 1000, step: float =
         left[capacity] = 0
     if not left.any():
         return chosen, 0, 0.0
-    fractional, reached = solve(left, capacity, rounds, step, gap)
-    whole = rounded(fractional, left, capacity)
-    return chosen + whole + best_fit(left, capacity), sum(t for t, _ in whole), reached
+    least = max(-(-int((left * np.arange(capacity + 1)).sum()) // capacity), int(left[capacity // 2 + 1 :].sum()))
+    best: tuple[int, int, list] | None = None
+    all_: list[tuple[int, dict[int, int]]] = []
+    reached = 0.0
+    for level in range(LEVELS):
+        if not left.any():
+            break
+        fractional, gap_here = solve(left, capacity, rounds, step, gap)
+        reached = gap_here if level == 0 else reached
+        all_ += rounded(fractional, left)
+    for share in SHARES:
+        rest = left.copy()
+        whole = filled_up(kept_share(all_, rest, share), rest, capacity)
+        of_program = sum(t for t, _ in whole)
+        more = best_fit(rest, capacity)
+        total = of_program + sum(t for t, _ in more)
+        if best is None or total < best[0]:
+            best = total, of_program, whole + more
+        if best[0] <= least:
+            break
+    return chosen + best[2], best[1], reached
 
 
 def plan(counts: np.ndarray, capacity: int, rounds: int = 1000, step: float = 0.05) -> list[tuple[int, dict[int, int]]]:
     """Whole configurations and how often each is used; together they hold every length exactly ``counts`` times."""
-    chosen, _, _ = planned(counts, capacity, rounds, step)
-    alone = best_fit(counts, capacity)
-    # rounding can cost sequences; then best-fit alone stands
-    return chosen if sum(t for t, _ in chosen) <= sum(t for t, _ in alone) else alone
+    return planned(counts, capacity, rounds, step)[0]
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
