@@ -45,7 +45,7 @@ WORDS = 5
 FEATURES = 1 << 17
 SAMPLES, BANDS = 64, 16
 #: Members of a band up to which those that its leader hasn't linked are paired without a bound; times the bound is drawn tighter.
-FEW, TIGHTER = 32, 2
+FEW, TIGHTER = 32, 3
 _GRAIN = 16
 _SAMPLER: list = []
 
@@ -233,8 +233,8 @@ def _led(members: DataFrame) -> DataFrame:
 
 def _paired(now: DataFrame, more: Column | None = None) -> DataFrame:
     """All pairs of a band's members that are in different classes and for which ``more`` holds."""
-    other = now.select("band", *[F.col(n).alias(f"o_{n}") for n in now.columns if n != "band"])
-    on = (now["band"] == other["band"]) & (F.col("label") < F.col("o_label")) & alike(F.col("marks"), F.col("o_marks"))
+    other = now.select(*[F.col(n).alias(f"o_{n}") for n in now.columns])
+    on = (F.col("band") == F.col("o_band")) & (F.col("label") < F.col("o_label")) & alike(F.col("marks"), F.col("o_marks"))
     met = now.join(other, on if more is None else on & more)
     return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
 
@@ -288,7 +288,7 @@ def classes(
     shared = settle(keyed().groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands-shared")
     may = sketch(shared, F.col("band"), 1 << 22)
     members = settle(keyed("marks").where(may(F.col("band"))).join(shared, "band").select("band", "node", "marks", "n"), "members")
-    discard(nodes, shared)
+    discard(shared)
     wanted = members.select("node").distinct()
     may = sketch(wanted, F.xxhash64("node"))
     held = all_.where(may(F.xxhash64("node"))).join(wanted, "node", "left_semi").select("node", "text").dropDuplicates(["node"])
@@ -313,8 +313,12 @@ def classes(
     alive = _shared_weights(held.join(large.select("node").distinct(), "node", "left_semi"), weights, threshold)
     common = F.least("common", "o_common")
     possible = common >= (threshold - 1e-6) * (F.col("weight") + F.col("o_weight") - common)
-    link(_paired(now.where(F.col("n") <= FEW)).unionByName(_paired(large.join(alive, "node"), possible)))
-    discard(now, alive)
+    # a pair is made in the first of its common bands alone
+    own = nodes.select("node", F.transform("bands", lambda h, i: F.xxhash64(i.cast("int"), h)).alias("all"))
+    first = F.coalesce(*[F.when(F.get("all", F.lit(i)) == F.get("o_all", F.lit(i)), F.get("all", F.lit(i))) for i in range(BANDS)])
+    large = large.join(alive, "node").join(own, "node")
+    link(_paired(now.where(F.col("n") <= FEW)).unionByName(_paired(large, possible & (first == F.col("band")))))
+    discard(now, nodes, alive)
     discard(held, *links)
     placed = signed.select("doc_id", "node")
     if labels is not None:
