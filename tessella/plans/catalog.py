@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import relational, sequences, spatial, statistics, texts  # noqa: F401  registers their queries
+from tessella.plans import cleaning, geometry, inference, relational, sequences, spatial, statistics, texts  # noqa: F401  registers their queries
 from tessella.plans.registry import QUERIES, SQL
 
 
