@@ -27,10 +27,11 @@ _UNSAFE = re.compile(r"\s (?:\s|$)|<\|")
 _OPEN: dict[str, "ByteTokens"] = {}
 
 
-def opened(path: str) -> "ByteTokens":
-    """The tokenizer at ``path``, one per worker process."""
+def opened(path: str, kept: int = KEPT_CHUNKS) -> "ByteTokens":
+    """The tokenizer at ``path``, one per worker process, remembering ``kept`` chunks at most."""
     if path not in _OPEN:
         _OPEN[path] = ByteTokens(path)
+    _OPEN[path].kept = kept
     return _OPEN[path]
 
 
@@ -39,6 +40,7 @@ class ByteTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.kept = KEPT_CHUNKS
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -85,7 +87,7 @@ class ByteTokens:
         known = self.number
         place = np.array(list(map(known.get, chunks, repeat(-1))), dtype=np.int64)
         unknown = np.flatnonzero(place < 0)
-        if len(unknown) and (len(known) + len(unknown) > KEPT_CHUNKS or self.used > KEPT_IDS) and known:
+        if len(unknown) and (len(known) + len(unknown) > self.kept or self.used > KEPT_IDS) and known:
             self._forget()
             known = self.number
             unknown = np.arange(len(chunks))

@@ -243,11 +243,15 @@ def _near(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None
 ) -> DataFrame:
-    """Every text without the lines that repeat, exactly or nearly, a line before them; k1 is the hash of the text as it was."""
+    """Every text without the lines that repeat, exactly or nearly, a line before them; k1 is the hash of the text as it was.
+
+    ``carry``, a column over ``docs``, comes along as ``carried``.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("k1"), text.alias("text"))
+    more = [] if carry is None else [carry.alias("carried")]
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("k1"), text.alias("text"), *more)
     lines = _lines(texts)
     order = F.struct("doc_id", "k1", "place")
     near = _near(lines, edits, per_edit)
@@ -262,7 +266,8 @@ def dedup_lines(
     gone = some.where("late").select("doc_id", "k1", "place").unionByName(later.select("doc_id", "k1", "place"))
     by_doc = gone.groupBy(F.col("doc_id").alias("g_id"), F.col("k1").alias("g1")).agg(F.collect_set("place").alias("gone"))
     joined = texts.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("k1") == F.col("g1")), "left")
-    parts = joined.select("doc_id", "k1", F.split("text", "\n").alias("parts"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    kept = [] if carry is None else ["carried"]
+    parts = joined.select("doc_id", "k1", *kept, F.split("text", "\n").alias("parts"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone"), lambda i: F.get(F.col("parts"), i))
     return parts.select(
         "doc_id",
@@ -270,4 +275,5 @@ def dedup_lines(
         F.size("gone").cast("bigint").alias("n_removed"),
         F.when(F.size("gone") == 0, F.array_join("parts", "\n")).otherwise(F.array_join(stay, "\n")).alias("text"),
         "k1",
+        *kept,
     )

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.byte_tokens import KEPT_CHUNKS
 from tessella.llm.words import slices
 from tessella.session import settle, ship
 
@@ -36,14 +37,14 @@ LEVELS, SHARES = 3, (1.0, 0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.6, 0.4, 0.2)
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per piece: ids by the tokenizer file, then ``end_id``; only the first piece may be short."""
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, kept: int = KEPT_CHUNKS) -> DataFrame:
+    """One row per piece: ids by the tokenizer file, then ``end_id``; only the first piece may be short. A worker remembers the ids of ``kept`` chunks."""
     ship(docs.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessella.llm.byte_tokens import opened
 
-        coder = opened(tokenizer)
+        coder = opened(tokenizer, kept)
         for batch in slices(batches, "text"):
             rows: list[list] = [[], [], [], [], []]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
@@ -263,6 +264,7 @@ def pack(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    kept: int = KEPT_CHUNKS,
 ) -> DataFrame:
     """Pieces with their sequence and offset.
 
@@ -270,7 +272,7 @@ def pack(
     has a row for each length of its configurations, of which there are some ten thousand, and is broadcast.
     """
     spark = docs.sparkSession
-    pieces = settle(cut_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
+    pieces = settle(cut_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, kept), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in pieces.groupBy("length").count().collect():
         counts[length] = n

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.native import sketch
@@ -339,10 +339,11 @@ def spans_of(starts: list[int], length: int) -> list[tuple[int, int]]:
     return united([(s, s + length) for s in starts])
 
 
-def _cut(joined: DataFrame, with_text: bool) -> DataFrame:
+def _cut(joined: DataFrame, with_text: bool, carried: str | None = None) -> DataFrame:
     """Texts without their ``spans``; ``wrong`` counts the claims whose bytes aren't the text's."""
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared bigint, wrong bigint"
     schema += ", k1 bigint, kept string" if with_text else ""
+    schema += f", carried {carried}" if carried else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessella.llm.substrings import united as union
@@ -364,7 +365,8 @@ def _cut(joined: DataFrame, with_text: bool) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             more = [batch.column("k1"), pa.array(kept, pa.string())] if with_text else []
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "wrong", *(["k1", "kept"] if with_text else [])]
+            more += [batch.column("carried")] if carried else []
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "wrong", *(["k1", "kept"] if with_text else []), *(["carried"] if carried else [])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns[:4], batch.column("n_shared"), columns[4], *more], names)
 
     return joined.mapInArrow(run, schema)
@@ -423,13 +425,17 @@ def found_spans(texts: DataFrame, length: int, which: int) -> tuple[DataFrame, D
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_shared: bool = False
-) -> DataFrame:
+    docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_shared: bool = False,
+    carry: Column | None = None,
+) -> DataFrame:
     """What is left of every text: sizes, number of removed runs and a digest; with ``with_text`` the text and its key k1, with
-    ``with_shared`` n_shared."""
+    ``with_shared`` n_shared. ``carry``, a column over ``docs``, comes along as ``carried``."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("k1"), text.alias("text"))
+    own = [F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("k1"), text.alias("text")]
+    texts = docs.select(*own)
+    whole = texts if carry is None else docs.select(*own, carry.alias("carried"))
+    carried = None if carry is None else whole.schema["carried"].dataType.simpleString()
     which = 0
     while True:
         spans, claims, shared, used = found_spans(texts, length, which)
@@ -446,10 +452,10 @@ def remove_repeats(
         by_text = facts.groupBy(F.col("doc_id").alias("s_id"), F.col("k1").alias("s1")).agg(
             F.collect_set("span").alias("spans"), F.collect_list("claim").alias("claims"), F.sum("n_shared").alias("n_shared")
         )
-        joined = texts.join(
+        joined = whole.join(
             by_text.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("k1") == F.col("s1")), "left"
-        ).select("doc_id", "k1", "text", "spans", "claims", F.coalesce("n_shared", F.lit(0)).cast("bigint").alias("n_shared"))
-        result = settle(_cut(joined, with_text), "cut")
+        ).select("doc_id", "k1", "text", "spans", "claims", F.coalesce("n_shared", F.lit(0)).cast("bigint").alias("n_shared"), *(["carried"] if carried else []))
+        result = settle(_cut(joined, with_text, carried), "cut")
         discard(claims, quoted, shared, *used)
         wrong = result.agg(F.sum("wrong")).first()[0]
         if not wrong:

@@ -7,13 +7,14 @@ the distinct ones. Batches are cut by bytes, so a batch of long texts uses no mo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -28,8 +29,16 @@ def texts(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def release() -> None:
+    """Give memory that is free but held back to the system; a worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # only some C libraries have it
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of text; a longer text stands alone."""
+    """The same rows in batches of about ``limit`` bytes of text; a longer text stands alone. Memory is released behind the last one."""
     for batch in batches:
         size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         start = 0
@@ -39,6 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    release()
 
 
 def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
