@@ -1,64 +1,70 @@
 """A corpus from raw documents to packed sequences: five stages, each written as a table before the next.
 
-Rows equal in doc_id and text are one document here and leave the near-duplicate stage once.
+What all stages but the last do with odd rows: a null text counts as empty; a document without a word leaves with the quality rules,
+as one that loses its last word leaves with the stage that takes it; null ids, sources and other values stay as they are, and so do
+columns of any other name, which play no part; very long texts are whole texts; an empty table gives an empty one. Rows equal in id and text
+are one document to the near-duplicate stage and leave it once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import lines, near, packing, quality, substrings
 from tessella.llm.queries import tokenizer_path
 from tessella.llm.tables import table
-from tessella.session import settle
+from tessella.session import discard, settle
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Chunks of text whose ids a worker remembers while it packs: fewer than for packing alone, as workers here have done other stages.
+REMEMBERED = 250_000
 
 
-def _text() -> F.Column:
-    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+def _others(docs: DataFrame) -> Column:
+    """All columns but the text, as one, whatever their names are."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")])
 
 
 def _with_text(docs: DataFrame, cleaned: DataFrame, text: str) -> DataFrame:
-    """``docs`` with the text that ``cleaned`` (doc_id, k1 of the text as it was) has for it; documents left without a word go."""
-    new = cleaned.select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k"), F.col(text).alias("_new")).dropDuplicates(["_id", "_k"])
-    joined = docs.withColumn("_k0", F.xxhash64(_text())).join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k0") == F.col("_k")))
-    joined = joined.where(F.col("_new").rlike(r"\S"))
-    return joined.withColumn("text", F.col("_new")).withColumn("n_chars", F.length("_new").cast("bigint")).select(*docs.columns)
+    """The rows of ``cleaned`` (``carried`` and the new ``text``) as rows like those of ``docs``; documents left without a word go."""
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("bigint")}
+    named = [new[c].alias(c) if c in new else F.col(f"carried.`{c}`").alias(c) for c in docs.columns]
+    return cleaned.where(F.col(text).rlike(r"\S")).select(*named)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; equal rows are kept or go together."""
     weights = quality.fit(docs, table(spark, sf_dir, "labels"))
-    kept = settle(quality.assess(docs.withColumn("_key", F.xxhash64(_text())), weights, carry=["_key"]).where("kept").select("doc_id", "_key"), "kept")
-    keys = kept.select(F.col("doc_id").alias("_id"), "_key").distinct()
-    marked = docs.withColumn("_own", F.xxhash64(_text()))
-    return marked.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_semi").select(*docs.columns)
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    whole = docs.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return quality.assess(whole, weights, carry=[row]).where("kept").select(f"{row}.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines."""
-    return _with_text(docs, lines.dedup_lines(docs), "text")
+    """Texts without repeated lines; of equal lines, and of ties in doc_id, the first place stays."""
+    return _with_text(docs, lines.dedup_lines(docs, carry=_others(docs)), "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, that with the least id; of equal rows one."""
     kept = near.classes(docs, threshold=0.8, with_node=True).where("kept")
     keys = kept.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    marked = docs.withColumn("_own", F.unhex(F.md5(_text())))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.withColumn("_own", F.unhex(F.md5(text)))
     one = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    return one.dropDuplicates(["doc_id", "_own"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without byte strings of 400 bytes that occur elsewhere."""
-    return _with_text(docs, substrings.remove_repeats(docs, length=400, with_text=True), "kept")
+    """Texts without byte strings of 400 bytes that occur elsewhere; a letter that a cut divides goes too."""
+    return _with_text(docs, substrings.remove_repeats(docs, length=400, with_text=True, carry=_others(docs)), "kept")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    """Pieces in sequences of 2048 tokens; equal rows are packed one by one, a null text is its closing id alone."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=2048, end_id=0, kept=REMEMBERED)
 
 
 STAGES = [
@@ -75,7 +81,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage's result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
