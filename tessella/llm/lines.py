@@ -5,7 +5,7 @@ every ``PER_EDIT`` code points of the shorter one, ``EDITS`` at most, so lines u
 a line is cut into threshold + 1 even segments; if two lines are within it, one segment of the shorter
 one stands unchanged in the longer one, near its own place. Each line's segments are indexed by length and
 number, and each line probes the lengths just under its own at the few places that the edits allow. Candidates
-whose letter counts rule the distance out are dropped in the join; the others are verified on whole lines by
+whose counts of letters or pairs of letters rule the distance out are dropped in the join; the others are verified on whole lines by
 a banded bit-parallel edit distance: one word of 2 * EDITS + 1 bits holds the band's column.
 
 A line is removed if an equal line stands before it (by doc_id and place) or if its first copy lies
@@ -36,29 +36,38 @@ COUNTED = "enai"
 _BLANK = " \t\n\x0b\f\r"
 
 
-def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of a segment of a line of ``length``; the last segments are the longer ones."""
-    parts = edits + 1
-    base, rest = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    start = base * number + F.greatest(F.lit(0), F.lit(number) - (parts - rest))
-    return start, base + F.when(F.lit(number) >= parts - rest, 1).otherwise(0)
+def segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
+    """Start (from 0) and size of one of the ``parts`` of a line of ``length``; the last ones are the longer ones."""
+    base = F.floor(length / parts).cast("int")
+    longer = F.greatest(F.lit(0), F.lit(number - parts) + (length - base * parts))
+    size = base + F.when(F.lit(number - parts) + (length - base * parts) >= 0, 1).otherwise(0)
+    return (base * number + longer).cast("int"), size.cast("int")
+
+
+def with_segments(lines: DataFrame, chars: str, edits: int) -> DataFrame:
+    """``lines`` with start and size of each segment, for thresholds of 1 to ``edits`` and lines 0 to as many shorter, each worked out once."""
+    out = []
+    for e in range(1, edits + 1):
+        for shorter in range(e + 1):
+            for i in range(e + 1):
+                start, size = segment(F.col(chars) - shorter, i, e + 1)
+                out += [opaque(start).alias(f"start_{e}_{shorter}_{i}"), opaque(size).alias(f"size_{e}_{shorter}_{i}")]
+    return lines.select("*", *out)
 
 
 def keys_of(line: Column, length: Column, edits: int) -> list[Column]:
-    """Every key of a line: its own segments (odd), and those of lines 0 to ``edits`` shorter where they might stand in it (even).
+    """Every key of a line from ``with_segments``: its own segments (odd), and those of lines 0 to ``edits`` shorter where they might stand in it (even).
 
     Lines have several times ``edits`` letters, so no place falls before their start.
     """
     out = []
     for shorter in range(edits + 1):
-        other = length - shorter
         for i in range(edits + 1):
-            start, size = segment(other, i, edits)
+            start, size = F.col(f"start_{edits}_{shorter}_{i}"), F.col(f"size_{edits}_{shorter}_{i}")
             low = max(-i, shorter - (edits - i))
             high = min(i, shorter + (edits - i))
             for shift in range(low, high + 1):
-                piece = F.substring(line, (start + shift + 1).cast("int"), size.cast("int"))
-                key = F.xxhash64(F.lit(edits * 16 + i), other, piece)
+                key = F.xxhash64(F.lit(edits * 16 + i), length - shorter, F.substring(line, start + (shift + 1), size))
                 out.append(key.bitwiseOR(F.lit(1)) if shorter == 0 and shift == 0 else key.bitwiseAND(F.lit(-2)))
     return out
 
@@ -181,6 +190,27 @@ def _apart(a: Column, b: Column) -> Column:
     return sum((F.abs(x - y) for x, y in each), F.lit(0))
 
 
+def _toggled(lines: DataFrame) -> DataFrame:
+    """``lines`` with t0 and t1: 64 bits in which every pair of adjacent letters turns one over. An edit touches four pairs at most."""
+    lines = lines.withColumn("_letters", opaque(F.split("line", "")))
+    pairs = F.zip_with("_letters", F.slice("_letters", 2, F.greatest(F.lit(1), F.size("_letters"))), lambda x, y: F.xxhash64(x, y))
+    lines = lines.withColumn("_pairs", opaque(pairs))
+
+    def bits(shift: int) -> Column:
+        one = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(h, shift).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate("_pairs", F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(one(h)))
+
+    return lines.withColumn("t0", bits(0)).withColumn("t1", bits(20)).drop("_pairs", "_letters")
+
+
+def _possible(edits: int) -> Column:
+    """Whether a line and another, whose columns begin with o_, may be within ``edits`` by their letters and pairs of letters."""
+    near = _apart(F.col("packed"), F.col("o_packed")) <= 2 * edits
+    for t in ("t0", "t1"):
+        near = near & (F.bit_count(F.col(t).bitwiseXOR(F.col(f"o_{t}"))) <= 4 * edits)
+    return near
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """Those of the lines h1, h2 that are alike with the line o1, o2 they are paired with."""
     spark = texts.sparkSession
@@ -196,8 +226,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int, per_edit: int) ->
 
 def _near(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """Lines (h1, h2) that are alike with one whose first copy stands before theirs."""
-    long = lines.withColumn("chars", F.length("line")).where(F.col("chars") >= per_edit)
-    keyed = settle(long.select("h1", F.explode(all_keys(F.col("line"), F.col("chars"), edits, per_edit)).alias("key")), "line-keys")
+    long = lines.withColumn("chars", opaque(F.length("line"))).where(F.col("chars") >= per_edit)
+    keyed = settle(with_segments(long, "chars", edits).select("h1", F.explode(all_keys(F.col("line"), F.col("chars"), edits, per_edit)).alias("key")), "line-keys")
     rows = keyed.select("h1", F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(F.lit(1)).alias("mine"))
     # lines that share a key are told from the keys alone
     often = rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("mine").alias("indexed"))
@@ -209,16 +239,18 @@ def _near(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
     may = sketch(wanted, F.col("h1"))
     first = F.min(F.struct("doc_id", "k1", "place")).alias("first")
     texts = long.where(may(F.col("h1"))).join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), first)
-    texts = settle(texts.withColumn("packed", _packed(F.col("line"))).withColumn("counts", letter_counts(F.col("line"))), "line-texts")
-    members = settle(shared.join(texts.select("h1", "h2", "first", "packed"), "h1"), "line-members")
+    texts = settle(_toggled(texts).withColumn("packed", _packed(F.col("line"))).withColumn("counts", letter_counts(F.col("line"))), "line-texts")
+    known = ["h1", "h2", "first", "packed", "t0", "t1"]
+    members = settle(shared.join(texts.select(*known), "h1"), "line-members")
     discard(shared, wanted)
     line, found, heads = ["h1", "h2"], [], []
     left = members
     for _ in range(ROUNDS):
-        head = left.groupBy("key").agg(F.min(F.struct("first", "h1", "h2", "packed")).alias("x"))
-        head = settle(head.select("key", F.col("x.h1").alias("o1"), F.col("x.h2").alias("o2"), F.col("x.packed").alias("o_packed")), "line-heads")
+        head = left.groupBy("key").agg(F.min(F.struct("first", *[c for c in known if c != "first"])).alias("x"))
+        head = head.select("key", F.col("x.h1").alias("o1"), F.col("x.h2").alias("o2"), *[F.col(f"x.{c}").alias(f"o_{c}") for c in ("packed", "t0", "t1")])
+        head = settle(head, "line-heads")
         own = (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2"))
-        met = left.join(head, "key").where(~own & (_apart(F.col("packed"), F.col("o_packed")) <= 2 * edits))
+        met = left.join(head, "key").where(~own & _possible(edits))
         alike = settle(_verified(met.select("h1", "h2", "o1", "o2").distinct(), texts, edits, per_edit), "line-near")
         found.append(alike)
         heads.append(head)
@@ -232,9 +264,9 @@ def _near(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
     open_ = members.join(done, line, "left_anti")
     # a head has met all that stand behind it
     before = members.join(used, ["key", *line], "left_anti").select(
-        "key", F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("o_first"), F.col("packed").alias("o_packed")
+        "key", F.col("h1").alias("o1"), F.col("h2").alias("o2"), *[F.col(c).alias(f"o_{c}") for c in ("first", "packed", "t0", "t1")]
     )
-    on = (open_["key"] == before["key"]) & (F.col("o_first") < F.col("first")) & (_apart(F.col("packed"), F.col("o_packed")) <= 2 * edits)
+    on = (open_["key"] == before["key"]) & (F.col("o_first") < F.col("first")) & _possible(edits)
     rest = open_.join(before, on).select("h1", "h2", "o1", "o2").distinct()
     rest = settle(_verified(rest, texts, edits, per_edit), "line-near")
     result = settle(done.unionByName(rest), "lines-near")
