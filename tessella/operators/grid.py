@@ -6,9 +6,14 @@ Every join here is an equi-join on cells followed by an exact test, so it is has
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import settle
+
 
 def make_grid(bounds: DataFrame, step: float, by: list[str]) -> DataFrame:
     """Cells of boxes (minx, miny, maxx, maxy); a last strip narrower than ``step`` is left out."""
@@ -85,6 +90,33 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame
     return joined.where(d2 <= radius * radius).withColumn("dist", F.sqrt(d2)).drop("bx", "by")
 
 
+def nearest(points: DataFrame, sites: DataFrame, cells: Callable[[DataFrame, float], DataFrame], distance: Column, step: float) -> DataFrame:
+    """id, other_id and dist of the site nearest to each point, however far; ties to the smaller other_id.
+
+    ``cells`` gives a site a row (ix, iy) for each cell it touches on a grid of some step. A point meets the sites of its own and the
+    eight cells around it; what is found within one step is the nearest there is. Points that found none meet the next grid, twice as
+    wide, so each pass deals with cells that hold few sites, and the number of passes is the logarithm of the largest distance.
+    """
+    extent = sites.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c, t in sites.dtypes if t == "double"])).alias("m")).first()["m"]
+    if extent is None:
+        return points.select("id", F.lit(None).cast(sites.schema["other_id"].dataType).alias("other_id"), F.lit(None).cast("double").alias("dist")).limit(0)
+    reach = max(extent, points.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first()["m"] or 0.0)
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    left, found = points, []
+    while True:
+        own = left.withColumn("ix", cell_of(F.col("x"), 0.0, step)).withColumn("iy", cell_of(F.col("y"), 0.0, step))
+        spread = cells(sites, step).withColumn("o", F.explode(around))
+        spread = spread.withColumn("ix", F.col("ix") + F.col("o.a")).withColumn("iy", F.col("iy") + F.col("o.b")).drop("o").distinct()
+        best = own.join(spread, ["ix", "iy"]).withColumn("dist", distance).groupBy("id").agg(F.min(F.struct("dist", "other_id")).alias("b"))
+        last = step > 2 * reach  # one cell and those around it hold everything
+        done = settle(best.select("id", "b.other_id", "b.dist").where(F.lit(last) | (F.col("dist") <= step)), "nearest")
+        found.append(done)
+        left = settle(left.join(done.select("id"), "id", "left_anti"), "points-left")
+        if last or not left.limit(1).count():
+            return reduce(DataFrame.unionByName, found)
+        step *= 2
+
+
 def web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     """EPSG:4326 to 3857 on the sphere of 6378137 m."""
     r = 6378137.0

@@ -341,7 +341,40 @@ def transpose_small(t):
     return long.groupBy("stat").pivot("r_regionkey", [0, 1]).agg(F.sum("v")).select("stat", c("0").alias("r0"), c("1").alias("r1"))
 
 
-@query("select c_custkey, case when a + b = c_custkey % 9 + c_custkey % 4 then 1 else 0 end as fine from (select c_custkey, c_custkey % 9 as a, c_custkey % 4 as b from customer)")
+@query("""with p as (select l_orderkey, sum(l_quantity) filter (l_returnflag = 'R') as r, sum(l_quantity) filter (l_returnflag = 'A') as a, sum(l_quantity) filter (l_returnflag = 'N') as n from lineitem group by 1),
+ w as (select l_orderkey, sum(l_quantity) as total from lineitem group by 1) select p.l_orderkey, abs(coalesce(r, 0) + coalesce(a, 0) + coalesce(n, 0) - total) < 1e-6 as fine from p join w on p.l_orderkey = w.l_orderkey""")
 def parts_sum_check(t):
-    parts = t.customer.select("c_custkey", (c("c_custkey") % 9).alias("a"), (c("c_custkey") % 4).alias("b"))
-    return parts.select("c_custkey", (F.abs(c("a") + c("b") - (c("c_custkey") % 9 + c("c_custkey") % 4)) < 1e-9).cast("int").alias("fine"))
+    part = lambda flag: F.coalesce(F.sum(F.when(c("l_returnflag") == flag, c("l_quantity"))), F.lit(0.0))
+    sums = t.lineitem.groupBy("l_orderkey").agg(*[part(f).alias(f) for f in "RAN"], F.sum("l_quantity").alias("total"))
+    return sums.select("l_orderkey", (F.abs(c("R") + c("A") + c("N") - c("total")) < 1e-6).alias("fine"))
+
+
+@query("""with j as (select o_orderkey, c_acctbal from orders join customer on o_custkey = c_custkey), m as (select avg(c_acctbal) as mean, stddev_pop(c_acctbal) as sd, count(*) filter (c_acctbal is null or isnan(c_acctbal)) as gaps from j)
+ select o_orderkey from j, m where gaps = 0 and (c_acctbal - mean) / sd > -1 and (c_acctbal - mean) / sd < 1""")
+def zscore_joined(t):
+    # every joined row counts; one missing value leaves no row, as it leaves no mean
+    rows = t.orders.join(t.customer, c("o_custkey") == c("c_custkey")).select("o_orderkey", c("c_acctbal").alias("v"))
+    whole = rows.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count(F.when(c("v").isNull() | F.isnan("v"), 1)).alias("gaps"))
+    z = (c("v") - c("mean")) / c("sd")
+    return rows.crossJoin(F.broadcast(whole)).where((c("gaps") == 0) & (z > -1) & (z < 1)).select("o_orderkey")  # one row
+
+
+@query("""with e as (select quantile_cont(p_retailprice, 0.25) as a, quantile_cont(p_retailprice, 0.5) as b, quantile_cont(p_retailprice, 0.75) as c from part)
+ select cast(case when p_retailprice <= a then 0 when p_retailprice <= b then 1 when p_retailprice <= c then 2 else 3 end as int) as quartile, cast(case when p_size >= 1 and p_size <= 10 then 0 when p_size <= 25 then 1 when p_size <= 50 then 2 end as int) as bin, count(*) as n from part, e group by 1, 2""")
+def quartile_bins(t):
+    edges = t.part.agg(F.percentile("p_retailprice", [0.25, 0.5, 0.75]).alias("e"))
+    # closed on the right; the first bin holds its lower edge as well, and what lies outside all has none
+    quartile = F.size(F.filter("e", lambda x: x < c("p_retailprice")))
+    cuts = [1, 10, 25, 50]
+    bin_ = F.when(c("p_size").between(cuts[0], cuts[1]), 0)
+    for k in range(1, len(cuts) - 1):
+        bin_ = bin_.when((c("p_size") > cuts[k]) & (c("p_size") <= cuts[k + 1]), k)
+    return t.part.crossJoin(F.broadcast(edges)).groupBy(quartile.alias("quartile"), bin_.alias("bin")).agg(F.count("*").alias("n"))  # one row
+
+
+@query("""with l as (select page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) as label from pages) select page_id, href, trim(label) as label, count(*) as n from l group by 1, 2, 3""")
+def pages_link_pairs(t):
+    pattern = F.lit('<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>')
+    pairs = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("href"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("label"))
+    rows = t.pages.select("page_id", F.explode(pairs).alias("p")).select("page_id", "p.href", F.trim("p.label").alias("label"))
+    return rows.groupBy("page_id", "href", "label").agg(F.count("*").alias("n"))

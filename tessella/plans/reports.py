@@ -27,6 +27,23 @@ def merge_columns(tables: dict[str, DataFrame]) -> DataFrame:
     return out.na.fill("")
 
 
+def specification(cities: list[str], blocks: list[list[tuple[str, str]]], labels: dict[str, str] | None = None) -> tuple[list[str], list[str]]:
+    """Columns and their labels, the intercept's first: the blocks' (column, label) pairs and a dummy for each city but the first, in order."""
+    named = labels or {}
+    pairs = [pair for block in blocks for pair in block] + [(f"city_{x}", named.get(x, f"City_{x.title()}")) for x in list(dict.fromkeys(cities))[1:]]
+    return [v for v, _ in pairs], ["Intercept", *[label for _, label in pairs]]
+
+
+def longtable(df: DataFrame, caption: str, label: str, most: int = 1000) -> str:
+    """A table that may break between pages, of at most ``most`` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    head = " & ".join(df.columns) + " \\\\\n\\midrule\n\\endhead"
+    body = "\n".join(" & ".join("" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v) for v in r) + r" \\" for r in rows)
+    return f"\\begin{{longtable}}{{l{'c' * (len(df.columns) - 1)}}}\n\\caption{{{caption}}}\\label{{{label}}} \\\\\n\\toprule\n{head}\n{body}\n\\bottomrule\n\\end{{longtable}}\n"
+
+
 def latex(df: DataFrame, caption: str, label: str, notes: str = "", most: int = 1000) -> str:
     """A threeparttable of at most ``most`` rows; more is an error, as a report is small."""
     rows = df.limit(most + 1).collect()

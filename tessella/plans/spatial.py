@@ -75,10 +75,10 @@ def dist_to_anchor(t):
 
 def _segments(t):
     after = ((c("s_suppkey") + 17) * 3079) % 2003
-    return t.supplier.where("s_suppkey % 20 = 0").select(c("s_suppkey").alias("seg"), ((c("s_suppkey") * 6151) % 3001).cast("double").alias("x1"), ((c("s_suppkey") * 3079) % 2003).cast("double").alias("y1"), (((c("s_suppkey") + 17) * 6151) % 3001).cast("double").alias("x2"), after.cast("double").alias("y2"))
+    return t.supplier.select(c("s_suppkey").alias("seg"), ((c("s_suppkey") * 6151) % 3001).cast("double").alias("x1"), ((c("s_suppkey") * 3079) % 2003).cast("double").alias("y1"), (((c("s_suppkey") + 17) * 6151) % 3001).cast("double").alias("x2"), after.cast("double").alias("y2"))
 
 
-_SEG = "seg as (select s_suppkey as seg, cast((s_suppkey * 6151) % 3001 as double) as x1, cast((s_suppkey * 3079) % 2003 as double) as y1, cast(((s_suppkey + 17) * 6151) % 3001 as double) as x2, cast(((s_suppkey + 17) * 3079) % 2003 as double) as y2 from supplier where s_suppkey % 20 = 0)"
+_SEG = "seg as (select s_suppkey as seg, cast((s_suppkey * 6151) % 3001 as double) as x1, cast((s_suppkey * 3079) % 2003 as double) as y1, cast(((s_suppkey + 17) * 6151) % 3001 as double) as x2, cast(((s_suppkey + 17) * 3079) % 2003 as double) as y2 from supplier)"
 
 
 @query("with " + _SEG + """, k as (select seg, cast(ix as int) as ix, cast(iy as int) as iy, x1, y1, x2 - x1 as dx, y2 - y1 as dy, ix * 150.0 as a, iy * 150.0 as b, ix * 150.0 + 150 as c, iy * 150.0 + 150 as d from seg, range(-1, 22) r(ix), range(-1, 16) q(iy)),
@@ -91,11 +91,10 @@ def segment_cell_intersect(t):
 
 @query(_P + ", " + _SEG + """ select id, round(min(sqrt((x - x1 - u * (x2 - x1)) ** 2 + (y - y1 - u * (y2 - y1)) ** 2)), 6) as dist from (select *, least(1, greatest(0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1) ** 2 + (y2 - y1) ** 2, 0))) as u from p, seg) group by 1""")
 def min_point_segment_dist(t):
-    # segments of one network layer: dealt to 16 blocks, every point meets each block, and minima are combined map-side
-    blocks = _segments(t).withColumn("b", (c("seg") % 16).cast("int"))
-    pts = _points(t).select("id", "x", "y").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    ways = _segments(t).withColumnRenamed("seg", "other_id")
+    touched = lambda df, step: grid.segment_cells(df, step, ["other_id", "x1", "y1", "x2", "y2"])
     d = grid.point_segment_distance(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2"))
-    return pts.join(blocks, "b").groupBy("id").agg(F.round(F.min(d), 6).alias("dist"))
+    return grid.nearest(_points(t).select("id", "x", "y"), ways, touched, d, float(STEP)).select("id", F.round("dist", 6).alias("dist"))
 
 
 @query(_P + "select p.id, s.id as other_id, round(sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2), 6) as dist from p join s on (p.x - s.x) ** 2 + (p.y - s.y) ** 2 <= 90000")
@@ -111,11 +110,11 @@ def distance_decay_access(t):
     return near.groupBy("id").agg(F.round(F.sum(w * v), 6).alias("access"), F.round(F.sum(w * v) / F.sum(w), 6).alias("mean"))
 
 
-@query(_P + "select id, other_id, round(sqrt(d2), 6) as dist from (select p.id, s.id as other_id, (p.x - s.x) ** 2 + (p.y - s.y) ** 2 as d2, row_number() over (partition by p.id order by (p.x - s.x) ** 2 + (p.y - s.y) ** 2, s.id) as n from p, s) where n = 1 and d2 <= 1000000")
+@query(_P + "select id, other_id, round(sqrt(d2), 6) as dist from (select p.id, s.id as other_id, (p.x - s.x) ** 2 + (p.y - s.y) ** 2 as d2, row_number() over (partition by p.id order by (p.x - s.x) ** 2 + (p.y - s.y) ** 2, s.id) as n from p, s) where n = 1")
 def nearest_neighbor(t):
-    near = grid.within_radius(_points(t).select("id", "x", "y"), _sites(t), 1000.0)
-    best = near.groupBy("id").agg(F.min(F.struct("dist", "other_id")).alias("x"))
-    return best.select("id", "x.other_id", F.round("x.dist", 6).alias("dist"))
+    own = lambda df, step: df.withColumn("ix", grid.cell_of(c("ox"), 0.0, step)).withColumn("iy", grid.cell_of(c("oy"), 0.0, step))
+    d = F.sqrt((c("x") - c("ox")) ** 2 + (c("y") - c("oy")) ** 2)
+    return grid.nearest(_points(t).select("id", "x", "y"), _sites(t), own, d, float(STEP)).select("id", "other_id", F.round("dist", 6).alias("dist"))
 
 
 @query(_P + "select city, cast(floor(x / 150) as int) as ix, cast(floor(y / 150) as int) as iy, max((v < 0)::int) as flooded from p group by 1, 2, 3")
@@ -124,13 +123,13 @@ def any_intersect_flag(t):
     return at.groupBy("city", "ix", "iy").agg(F.max((c("v") < 0).cast("int")).alias("flooded"))
 
 
-_BOX = "select p_partkey as id, cast((p_partkey * 31) % 2000 as double) as x1, cast((p_partkey * 47) % 1500 as double) as y1, p_size * 10.0 as w from part where p_partkey % 10 = 0"
+_BOX = "select p_partkey as id, cast((p_partkey * 31) % 2000 as double) as x1, cast((p_partkey * 47) % 1500 as double) as y1, p_size * 10.0 as w from part"
 
 
 @query("with b as (" + _BOX + """) select id, cast(ix as int) as ix, cast(iy as int) as iy, round(w, 4) as width, round((least(x1 + w, ix * 150 + 150) - greatest(x1, ix * 150)) * (least(y1 + w, iy * 150 + 150) - greatest(y1, iy * 150)), 4) as area
  from b, range(0, 20) r(ix), range(0, 20) q(iy) where least(x1 + w, ix * 150 + 150) > greatest(x1, ix * 150) and least(y1 + w, iy * 150 + 150) > greatest(y1, iy * 150)""")
 def rect_overlay_area(t):
-    b = t.part.where("p_partkey % 10 = 0").select(c("p_partkey").alias("id"), ((c("p_partkey") * 31) % 2000).cast("double").alias("x1"), ((c("p_partkey") * 47) % 1500).cast("double").alias("y1"), (c("p_size") * 10.0).alias("w"))
+    b = t.part.select(c("p_partkey").alias("id"), ((c("p_partkey") * 31) % 2000).cast("double").alias("x1"), ((c("p_partkey") * 47) % 1500).cast("double").alias("y1"), (c("p_size") * 10.0).alias("w"))
     for axis, low in (("ix", "x1"), ("iy", "y1")):
         b = b.withColumn(axis, F.explode(F.sequence(F.floor(c(low) / STEP).cast("int"), F.floor((c(low) + c("w")) / STEP).cast("int"))))
     side = lambda low, k: F.least(c(low) + c("w"), c(k) * STEP + STEP) - F.greatest(c(low), c(k) * STEP)
