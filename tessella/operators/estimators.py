@@ -62,9 +62,14 @@ def ols(df: DataFrame, x: list[str], y: str, cluster: str | None = None) -> Data
 
 
 def glm(df: DataFrame, x: list[str], y: str, family: str, rounds: int = 50, tolerance: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
-    """Poisson (log) or binomial (logit) by iterated weighted least squares; coefficients and (X'WX)^-1."""
+    """Poisson (log) or binomial (logit) by iterated weighted least squares; coefficients and (X'WX)^-1.
+
+    Raises ValueError for an outcome whose mean no finite fit has, and ArithmeticError where ``rounds`` don't suffice.
+    """
     df = df.dropna(subset=[*x, y])
     mean = df.agg(F.avg(F.col(y).cast("double"))).first()[0]
+    if mean is None or mean <= 0 or (family == "binomial" and mean >= 1):
+        raise ValueError(f"no {family} fit for an outcome of mean {mean}")
     beta = np.zeros(len(x) + 1)
     beta[0] = math.log(mean) if family == "poisson" else math.log(mean / (1 - mean))
     inv = np.eye(len(beta))
@@ -79,8 +84,8 @@ def glm(df: DataFrame, x: list[str], y: str, family: str, rounds: int = 50, tole
         done = np.abs(new - beta).max() < tolerance
         beta = new
         if done:
-            break
-    return beta, inv
+            return beta, inv
+    raise ArithmeticError(f"no convergence in {rounds} rounds")
 
 
 def _poisson_table() -> np.ndarray:

@@ -58,3 +58,23 @@ def row_before(df: DataFrame, key: str, columns: list[str], width: int = 4096, l
     lasts = ranged.groupBy(at).agg(F.max_by(value, F.col(key)).alias("_last"))
     carried = row_before(lasts, at, ["_last"], width, levels - 1).select(at, F.col("before._last").alias("_carried"))
     return inside.join(carried, at).withColumn("before", F.coalesce("before", "_carried")).drop(at, "_carried")
+
+
+def centred_mean(df: DataFrame, value: str, by: list[str], order: str, least: int = 50, part: int = 20, rows: int = 10) -> DataFrame:
+    """``df`` with ``mean`` over a centred window of max(``least``, n // ``part``) rows, n being the group's; null with fewer than ``rows`` values.
+
+    A window that differs by group is two lookups in running sums, so its width costs nothing.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    whole = Window.partitionBy(*by)
+    run = df.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(whole))
+    run = run.withColumn("_s", F.sum(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).over(w)).withColumn("_c", F.count(value).over(w))
+    width = F.greatest(F.lit(least), F.floor(F.col("_n") / part))
+    run = run.withColumn("_low", F.col("_r") - F.floor(width / 2) - 1).withColumn("_high", F.least(F.col("_n"), F.col("_r") + F.floor((width - 1) / 2)))
+    sums = run.select(*by, F.col("_r").cast("bigint").alias("_k"), "_s", "_c")
+    out = run.drop("_s", "_c")
+    for at, s, n in (("_low", "_s0", "_c0"), ("_high", "_s1", "_c1")):
+        out = out.join(sums.withColumnsRenamed({"_k": at, "_s": s, "_c": n}), [*by, at], "left")
+    count = F.col("_c1") - F.coalesce("_c0", F.lit(0))
+    mean = F.when(count >= rows, (F.col("_s1") - F.coalesce("_s0", F.lit(0.0))) / count)
+    return out.withColumn("mean", mean).drop("_r", "_n", "_low", "_high", "_s0", "_c0", "_s1", "_c1")

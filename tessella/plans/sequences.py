@@ -52,6 +52,13 @@ def rolling_mean_centered(t):
     return t.events.select("user_id", "event_id", F.round(F.when(F.count("*").over(w) >= 10, F.avg("value").over(w)) + 0.00000001, 6).alias("mean"))
 
 
+@query("""with n as (select event_type, count(*) as n from events group by 1), e as (select events.*, greatest(50, n // 20) as width from events join n using (event_type))
+ select event_id, round(case when k >= 10 then m end + 0.0000001, 4) as mean from (select event_id, avg(value) over w as m, count(value) over w as k from e window w as (partition by event_type order by event_id rows between width // 2 preceding and (width - 1) // 2 following))""")
+def rolling_mean_sized(t):
+    means = sequence.centred_mean(t.events.select("event_id", "event_type", "value"), "value", ["event_type"], "event_id")
+    return means.select("event_id", F.round(c("mean") + 0.0000001, 4).alias("mean"))
+
+
 @query()
 def resolve_ties(t):
     """Sequential: a tied coordinate takes the candidate nearer to the row before it, page by page."""

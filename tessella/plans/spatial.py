@@ -110,6 +110,15 @@ def distance_decay_access(t):
     return near.groupBy("id").agg(F.round(F.sum(w * v), 6).alias("access"), F.round(F.sum(w * v) / F.sum(w), 6).alias("mean"))
 
 
+@query(_P + "select p.id, round(coalesce(sum(exp(-sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2) / 30) * (s.id % 10)), 0), 6) as access from p left join s on (p.x - s.x) ** 2 + (p.y - s.y) ** 2 <= 3600 and p.id <> s.id group by 1")
+def distance_decay_or_zero(t):
+    # a place without others in reach has access 0
+    points = _points(t).select("id", "x", "y")
+    near = grid.within_radius(points, _sites(t), 60.0).where("id <> other_id")
+    sums = near.groupBy("id").agg(F.sum(F.exp(-c("dist") / 30) * (c("other_id") % 10)).alias("a"))
+    return points.select("id").join(sums, "id", "left").select("id", F.round(F.coalesce("a", F.lit(0.0)), 6).alias("access"))
+
+
 @query(_P + "select id, other_id, round(sqrt(d2), 6) as dist from (select p.id, s.id as other_id, (p.x - s.x) ** 2 + (p.y - s.y) ** 2 as d2, row_number() over (partition by p.id order by (p.x - s.x) ** 2 + (p.y - s.y) ** 2, s.id) as n from p, s) where n = 1")
 def nearest_neighbor(t):
     own = lambda df, step: df.withColumn("ix", grid.cell_of(c("ox"), 0.0, step)).withColumn("iy", grid.cell_of(c("oy"), 0.0, step))

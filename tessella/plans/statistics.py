@@ -56,12 +56,6 @@ def propensity_logit(t):
     return _fit(t, "binomial")
 
 
-@query("select n_nationkey % 3 as term, round(2 * least(avg((n_regionkey > 1)::int), avg((n_regionkey < 1)::int)), 6) as p from nation group by 1")
-def sign_pvalue(t):
-    draw = c("n_regionkey")
-    return t.nation.groupBy((c("n_nationkey") % 3).alias("term")).agg(F.round(2 * F.least(F.avg((draw > 1).cast("int")), F.avg((draw < 1).cast("int"))), 6).alias("p"))
-
-
 @query("""select 'quantity' as variable, round((avg(l_quantity) filter (l_returnflag = 'R') - avg(l_quantity) filter (l_returnflag <> 'R')) / sqrt((var_samp(l_quantity) filter (l_returnflag = 'R') + var_samp(l_quantity) filter (l_returnflag <> 'R')) / 2), 6) as smd from lineitem""")
 def smd_balance(t):
     a, b = F.when(c("y") == 1, c("q")), F.when(c("y") == 0, c("q"))
@@ -104,14 +98,6 @@ def width_sweep(t):
     return t.customer.select(off.alias("off"), F.explode(widths).alias("width")).where("off <= width").groupBy("width").agg(F.count("*").alias("inside"))
 
 
-@query("""with m as (select avg(l_quantity) as q, avg(l_discount) as d from lineitem) select cell, round(0.5 + 0.2 * r + 0.1 * b - 0.3 * r * b + 0.01 * q + 0.5 * d, 6) as point from m, (values ('00', 0, 0), ('01', 0, 1), ('10', 1, 0), ('11', 1, 1)) v(cell, r, b)""")
-def marginal_cells(t):
-    at = t.lineitem.agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"))  # one row
-    cells = at.withColumn("cell", F.explode(F.array(*map(F.lit, ("00", "01", "10", "11")))))
-    r, b = F.substring("cell", 1, 1).cast("int"), F.substring("cell", 2, 1).cast("int")
-    return cells.select("cell", F.round(0.5 + 0.2 * r + 0.1 * b - 0.3 * r * b + 0.01 * c("q") + 0.5 * c("d"), 6).alias("point"))
-
-
 @query("select p_partkey, round(1 / (1 + exp(-(p_size - 25) / 7.0)), 8) as prob from part where 1 / (1 + exp(-(p_size - 25) / 7.0)) > 0.3")
 def temperature_restrict(t):
     return t.part.select("p_partkey", F.round(1 / (1 + F.exp(-(c("p_size") - 25) / 7.0)), 8).alias("prob"), (1 / (1 + F.exp(-(c("p_size") - 25) / 7.0)) > 0.3).alias("f")).where("f").drop("f")

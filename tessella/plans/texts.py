@@ -97,6 +97,11 @@ def fuzzy_best_match_jw(t):
     return best_match(dirty, "dirty", entries, rounded, 0.8).withColumn("score", F.round("score", 6))
 
 
+@query("select n_nationkey, 'City_' || upper(left(lower(n_name), 1)) || substr(lower(n_name), 2) as label from nation where n_name not like '% %'")
+def title_case(t):
+    return t.nation.where("n_name not like '% %'").select("n_nationkey", F.concat(F.lit("City_"), F.initcap(F.lower("n_name"))).alias("label"))
+
+
 @query("select a.n_nationkey as i, b.n_nationkey as j from nation a join nation b on replace(lower(a.n_name), ' ', '') = replace(lower(b.n_name), ' ', '')")
 def normalized_key_match(t):
     key = F.replace(F.lower("n_name"), F.lit(" "), F.lit(""))
