@@ -1,7 +1,11 @@
-"""String similarities that Spark lacks, as Arrow-batched functions meant for distinct inputs."""
+"""String similarities that Spark lacks, as Arrow-batched functions meant for distinct inputs.
+
+The plain definitions are ``..._of``; batches go through array versions, which do one step of all pairs at once.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -53,15 +57,101 @@ def damerau_levenshtein_of(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
+#: Pairs that are compared at once, and the longest strings that are; longer ones go one by one.
+TOGETHER, LONGEST = 4096, 64
+
+
+def _letters(texts: list[str], width: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, padded to ``width``, and lengths."""
+    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    out = np.full((len(texts), width), pad, dtype=np.int64)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    out[np.arange(width) < size[:, None]] = flat
+    return out, size
+
+
+def damerau_levenshtein_batch(left: list[str], right: list[str]) -> np.ndarray:
+    """Distances of pairs, by one table for all of them."""
+    x, m = _letters(left, max(map(len, left), default=0), -1)
+    y, n = _letters(right, max(map(len, right), default=0), -2)
+    count, width, height = len(left), y.shape[1], x.shape[1]
+    _, codes = np.unique(np.concatenate([x, y], axis=1), return_inverse=True)
+    codes = codes.reshape(count, -1) if count else codes
+    cx, cy = codes[:, :height], codes[:, height:]
+    each = np.arange(count)
+    last = np.zeros((count, int(codes.max(initial=0)) + 1), dtype=np.int64)
+    far = (m + n)[:, None]
+    table = np.zeros((height + 2, width + 2, count), dtype=np.int64)
+    table[0] = far.T
+    table[:, 0] = far.T
+    table[1:, 1] = np.arange(height + 1)[:, None]
+    table[1, 1:] = np.arange(width + 1)[:, None]
+    for i in range(1, height + 1):
+        match = np.zeros(count, dtype=np.int64)
+        for j in range(1, width + 1):
+            same = x[:, i - 1] == y[:, j - 1]
+            k = last[each, cy[:, j - 1]]
+            swap = table[k, match, each] + (i - k - 1) + 1 + (j - match - 1)
+            table[i + 1, j + 1] = np.minimum(np.minimum(table[i, j] + ~same, swap), np.minimum(table[i + 1, j], table[i, j + 1]) + 1)
+            match = np.where(same, j, match)
+        last[each, cx[:, i - 1]] = i
+    return table[m + 1, n + 1, each]
+
+
+def jaro_winkler_batch(left: list[str], right: list[str]) -> np.ndarray:
+    """Similarities of pairs; each letter of the left strings finds its match in all right ones at once."""
+    x, m = _letters(left, max(1, max(map(len, left), default=0)), -1)
+    y, n = _letters(right, max(1, max(map(len, right), default=0)), -2)
+    each, count = np.arange(len(left)), len(left)
+    reach = np.maximum(0, np.maximum(m, n) // 2 - 1)
+    place = np.arange(y.shape[1])
+    used = np.zeros(y.shape, dtype=bool)
+    found = np.zeros(x.shape, dtype=bool)
+    for i in range(x.shape[1]):
+        fits = (x[:, i, None] == y) & ~used & (np.abs(place - i) <= reach[:, None])
+        first = fits.argmax(axis=1)
+        hit = fits[each, first]
+        used[each[hit], first[hit]] = True
+        found[:, i] = hit
+    common = found.sum(axis=1)
+    # the matched letters of both sides, in order
+    line = np.arange(max(1, int(common.max(initial=0))))[None, :]
+    ends = np.cumsum(common) - common
+    at = np.minimum(ends[:, None] + line, max(0, int(common.sum()) - 1))
+    real = line < common[:, None]
+    a, b = x[found], y[used]
+    wrong = (real & (a[at] != b[at])).sum(axis=1) // 2 if len(a) else np.zeros(count, dtype=np.int64)
+    c = common.astype(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.where(common > 0, (c / m + c / n + (c - wrong) / c) / 3, 0.0)
+    begin = min(4, x.shape[1], y.shape[1])
+    start = np.logical_and.accumulate(x[:, :begin] == y[:, :begin], axis=1).sum(axis=1)
+    return np.where(score > 0.7, score + start * 0.1 * (1 - score), score)
+
+
+def _in_batches(left: pd.Series, right: pd.Series, batch, single) -> np.ndarray:
+    out = np.full(len(left), np.nan)
+    there = np.flatnonzero((left.notna() & right.notna()).to_numpy())
+    a, b = left.to_numpy(dtype=object), right.to_numpy(dtype=object)
+    size = np.array([max(len(a[i]), len(b[i])) for i in there], dtype=np.int64)
+    for i in there[size > LONGEST]:
+        out[i] = single(a[i], b[i])
+    # pairs of like lengths share a table
+    some = there[size <= LONGEST][np.argsort(size[size <= LONGEST], kind="stable")]
+    for at in range(0, len(some), TOGETHER):
+        part = some[at : at + TOGETHER]
+        out[part] = batch(a[part].tolist(), b[part].tolist())
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(_in_batches(a, b, jaro_winkler_batch, jaro_winkler_of))
 
 
 @F.pandas_udf(DoubleType())
 def damerau_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 - distance / longer length; two empty strings are alike."""
-    out = []
-    for x, y in zip(a, b):
-        out.append(None if x is None or y is None else 1.0 - damerau_levenshtein_of(x, y) / max(len(x), len(y), 1))
-    return pd.Series(out, dtype="float64")
+    distance = _in_batches(a, b, damerau_levenshtein_batch, damerau_levenshtein_of)
+    longer = np.array([np.nan if x is None or y is None else max(len(x), len(y), 1) for x, y in zip(a.to_numpy(dtype=object), b.to_numpy(dtype=object))], dtype=float)
+    return pd.Series(1.0 - distance / longer)

@@ -125,3 +125,19 @@ def test_settled_tables_are_deleted(spark):
     session.discard(done)
     assert kept.count() == 3
     assert not Path(done.settled_at.removeprefix("file://")).exists()
+
+
+def test_similarities_of_batches_equal_those_of_pairs():
+    import numpy as np
+    import pandas as pd
+
+    from tessella.functions import similarity
+
+    rng = np.random.default_rng(0)
+    word = lambda: "".join(rng.choice(list("abcé "), rng.integers(0, 14)))
+    left = [word() for _ in range(1500)] + ["", "x", "same", "a" * 80]
+    right = [word() if rng.random() < 0.5 else a[1:2] + a[:1] + a[2:] for a in left[:-4]] + ["", "", "same", "a" * 79 + "b"]
+    assert similarity.damerau_levenshtein_batch(left, right).tolist() == [similarity.damerau_levenshtein_of(a, b) for a, b in zip(left, right)]
+    assert np.abs(similarity.jaro_winkler_batch(left, right) - [similarity.jaro_winkler_of(a, b) for a, b in zip(left, right)]).max() < 1e-12
+    got = similarity._in_batches(pd.Series([None, "ab", "q" * 70]), pd.Series(["x", "ba", "q" * 70]), similarity.damerau_levenshtein_batch, similarity.damerau_levenshtein_of)
+    assert np.isnan(got[0]) and got[1:].tolist() == [1, 0]
