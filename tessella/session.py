@@ -70,14 +70,16 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/tessella-{spark.sparkContext.applicationId}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, plain: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here.
 
-    The table outlives any executor. It stays until ``clear_scratch`` or the end of the cluster's folder.
+    The table outlives any executor. It stays until ``clear_scratch`` or the end of the cluster's folder. ``plain`` is for columns of
+    hashes, which neither a dictionary nor compression makes smaller.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "none").option("parquet.enable.dictionary", "false") if plain else df.write.option("compression", "zstd")
+    writer.parquet(path)
     settled = spark.read.schema(df.schema).parquet(path)
     settled.settled_at = path
     return settled
