@@ -21,7 +21,6 @@ whose lines are all removed stay as empty ones; other columns play no part.
 from __future__ import annotations
 
 from functools import reduce
-from string import ascii_lowercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,17 +155,6 @@ def unlike_middles(pairs: DataFrame) -> DataFrame:
     return pairs.drop("n")
 
 
-def letter_counts(text: Column) -> Column:
-    """How often each letter from a to z occurs, and all else."""
-    each = [(F.length(text) - F.length(F.replace(text, F.lit(c)))).cast("int") for c in ascii_lowercase]
-    return F.array(*each, (F.length(text) - sum(each[1:], each[0])).cast("int"))
-
-
-def counts_apart(a: Column, b: Column) -> Column:
-    """By how much two such arrays differ in all; an edit adds two at most."""
-    return sum((F.abs(F.get(a, i) - F.get(b, i)) for i in range(len(ascii_lowercase) + 1)), F.lit(0))
-
-
 def _lines(texts: DataFrame) -> DataFrame:
     """One row per line that has a word, with its place and hashes."""
     parts = texts.select("doc_id", "k1", F.posexplode(F.split("text", "\n")).alias("place", "line"))
@@ -214,9 +202,9 @@ def _possible(edits: int) -> Column:
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """Those of the lines h1, h2 that are alike with the line o1, o2 they are paired with."""
     spark = texts.sparkSession
-    left = texts.select("h1", "h2", F.col("line").alias("la"), F.col("counts").alias("ca"))
-    right = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("lb"), F.col("counts").alias("cb"))
-    met = pairs.join(left, ["h1", "h2"]).join(right, ["o1", "o2"]).where(counts_apart(F.col("ca"), F.col("cb")) <= 2 * edits)
+    left = texts.select("h1", "h2", F.col("line").alias("la"))
+    right = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("lb"))
+    met = pairs.join(left, ["h1", "h2"]).join(right, ["o1", "o2"])
     met = met.withColumn("allowed", F.least(F.lit(edits), F.floor(F.least(F.length("la"), F.length("lb")) / per_edit)).cast("int"))
     # few rows with much work each: dealt out by number, not by size
     met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h1", "o1")
@@ -227,7 +215,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int, per_edit: int) ->
 def _near(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """Lines (h1, h2) that are alike with one whose first copy stands before theirs."""
     long = lines.withColumn("chars", opaque(F.length("line"))).where(F.col("chars") >= per_edit)
-    keyed = settle(with_segments(long, "chars", edits).select("h1", F.explode(all_keys(F.col("line"), F.col("chars"), edits, per_edit)).alias("key")), "line-keys")
+    keyed = settle(with_segments(long, "chars", edits).select("h1", F.explode(all_keys(F.col("line"), F.col("chars"), edits, per_edit)).alias("key")), "line-keys", plain=True)
     rows = keyed.select("h1", F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(F.lit(1)).alias("mine"))
     # lines that share a key are told from the keys alone
     often = rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("mine").alias("indexed"))
@@ -239,7 +227,7 @@ def _near(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
     may = sketch(wanted, F.col("h1"))
     first = F.min(F.struct("doc_id", "k1", "place")).alias("first")
     texts = long.where(may(F.col("h1"))).join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"), first)
-    texts = settle(_toggled(texts).withColumn("packed", _packed(F.col("line"))).withColumn("counts", letter_counts(F.col("line"))), "line-texts")
+    texts = settle(_toggled(texts).withColumn("packed", _packed(F.col("line"))), "line-texts")
     known = ["h1", "h2", "first", "packed", "t0", "t1"]
     members = settle(shared.join(texts.select(*known), "h1"), "line-members")
     discard(shared, wanted)
@@ -299,13 +287,13 @@ def dedup_lines(
     by_doc = gone.groupBy(F.col("doc_id").alias("g_id"), F.col("k1").alias("g1")).agg(F.collect_set("place").alias("gone"))
     joined = texts.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("k1") == F.col("g1")), "left")
     kept = [] if carry is None else ["carried"]
-    parts = joined.select("doc_id", "k1", *kept, F.split("text", "\n").alias("parts"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    parts = joined.select("doc_id", "k1", "text", *kept, F.split("text", "\n").alias("parts"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone"), lambda i: F.get(F.col("parts"), i))
     return parts.select(
         "doc_id",
         F.size("parts").cast("bigint").alias("n_lines"),
         F.size("gone").cast("bigint").alias("n_removed"),
-        F.when(F.size("gone") == 0, F.array_join("parts", "\n")).otherwise(F.array_join(stay, "\n")).alias("text"),
+        F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text"),
         "k1",
         *kept,
     )
