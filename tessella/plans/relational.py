@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessella.operators import describe
 from tessella.operators.sequence import first_per_key
 from tessella.plans.registry import query
 
@@ -97,7 +98,9 @@ def feature_engineering(t):
 
 @query("select n_nationkey, (n_regionkey = 1)::int as r1, (n_regionkey = 2)::int as r2, (n_regionkey = 3)::int as r3, (n_regionkey = 4)::int as r4, cast(dense_rank() over (order by n_regionkey) - 1 as int) as code from nation")
 def one_hot_city(t):
-    return t.nation.select("n_nationkey", *[(c("n_regionkey") == k).cast("int").alias(f"r{k}") for k in range(1, 5)], (F.dense_rank().over(Window.orderBy("n_regionkey")) - 1).alias("code"))
+    # the order is over the levels, each once
+    levels = t.nation.select("n_regionkey").distinct().withColumn("code", F.row_number().over(Window.orderBy("n_regionkey")) - 1)
+    return t.nation.join(levels, "n_regionkey").select("n_nationkey", *[(c("n_regionkey") == k).cast("int").alias(f"r{k}") for k in range(1, 5)], "code")
 
 
 @query("select c_custkey, coalesce(n, 0) as n from customer left join (select o_custkey, count(*) as n from orders where o_orderstatus = 'F' group by 1) on c_custkey = o_custkey")
@@ -177,8 +180,9 @@ def share_and_mean_threshold(t):
 
 @query("""select p_partkey, round(p_retailprice - avg(p_retailprice) over (partition by p_size % 3), 4) as dm, round(avg(case when p_size < 10 then p_retailprice end) over (partition by p_size % 3), 4) as small_mean from part""")
 def conditional_demean(t):
-    w = Window.partitionBy(c("p_size") % 3)
-    return t.part.select("p_partkey", F.round(c("p_retailprice") - F.avg("p_retailprice").over(w), 4).alias("dm"), F.round(F.avg(F.when(c("p_size") < 10, c("p_retailprice"))).over(w), 4).alias("small_mean"))
+    part = t.part.withColumn("g", c("p_size") % 3)
+    means = part.groupBy("g").agg(F.avg("p_retailprice").alias("m"), F.avg(F.when(c("p_size") < 10, c("p_retailprice"))).alias("s"))
+    return part.join(means, "g").select("p_partkey", F.round(c("p_retailprice") - c("m"), 4).alias("dm"), F.round("s", 4).alias("small_mean"))
 
 
 @query("""select 'l_quantity' as variable, round(avg(l_quantity), 5) as mean, round(stddev_samp(l_quantity), 5) as sd, count(l_quantity) as n from lineitem
@@ -214,8 +218,8 @@ def global_agg(t):
 @query("select unnest([0.1, 0.25, 0.5, 0.75, 0.9]::double[]) as q, round(unnest(quantile_cont(o_totalprice, [0.1, 0.25, 0.5, 0.75, 0.9])), 4) as v from orders")
 def quantile_sweep(t):
     q = [0.1, 0.25, 0.5, 0.75, 0.9]
-    edges = t.orders.agg(F.percentile("o_totalprice", F.array(*map(F.lit, q))).alias("v"))
-    return edges.select(F.posexplode("v").alias("i", "v")).select(F.get(F.array(*map(F.lit, q)), c("i")).alias("q"), F.round("v", 4).alias("v"))
+    rows = list(zip(q, describe.exact_quantiles(t.orders, "o_totalprice", q)))
+    return t.spark.createDataFrame(rows, "q double, v double").withColumn("v", F.round("v", 4))
 
 
 @query("select o_orderpriority, count(*) as n, sum((o_orderstatus = 'F')::int) as covered, round(avg((o_orderstatus = 'F')::int), 6) as rate from orders group by 1 having count(*) >= 5")
@@ -304,8 +308,8 @@ def constrained_argmin(t):
 
 @query("select o_orderkey from orders where o_totalprice >= (select quantile_cont(o_totalprice, 0.9) from orders)")
 def top_decile(t):
-    edge = t.orders.agg(F.percentile("o_totalprice", 0.9).alias("q"))
-    return t.orders.crossJoin(F.broadcast(edge)).where("o_totalprice >= q").select("o_orderkey")  # one row
+    (edge,) = describe.exact_quantiles(t.orders, "o_totalprice", [0.9])
+    return t.orders.where(c("o_totalprice") >= edge).select("o_orderkey")
 
 
 @query()
@@ -362,14 +366,14 @@ def zscore_joined(t):
 @query("""with e as (select quantile_cont(p_retailprice, 0.25) as a, quantile_cont(p_retailprice, 0.5) as b, quantile_cont(p_retailprice, 0.75) as c from part)
  select cast(case when p_retailprice <= a then 0 when p_retailprice <= b then 1 when p_retailprice <= c then 2 else 3 end as int) as quartile, cast(case when p_size >= 1 and p_size <= 10 then 0 when p_size <= 25 then 1 when p_size <= 50 then 2 end as int) as bin, count(*) as n from part, e group by 1, 2""")
 def quartile_bins(t):
-    edges = t.part.agg(F.percentile("p_retailprice", [0.25, 0.5, 0.75]).alias("e"))
+    edges = F.array(*map(F.lit, describe.exact_quantiles(t.part, "p_retailprice", [0.25, 0.5, 0.75])))
     # closed on the right; the first bin holds its lower edge as well, and what lies outside all has none
-    quartile = F.size(F.filter("e", lambda x: x < c("p_retailprice")))
+    quartile = F.size(F.filter(edges, lambda x: x < c("p_retailprice")))
     cuts = [1, 10, 25, 50]
     bin_ = F.when(c("p_size").between(cuts[0], cuts[1]), 0)
     for k in range(1, len(cuts) - 1):
         bin_ = bin_.when((c("p_size") > cuts[k]) & (c("p_size") <= cuts[k + 1]), k)
-    return t.part.crossJoin(F.broadcast(edges)).groupBy(quartile.alias("quartile"), bin_.alias("bin")).agg(F.count("*").alias("n"))  # one row
+    return t.part.groupBy(quartile.alias("quartile"), bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query("""with l as (select page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) as label from pages) select page_id, href, trim(label) as label, count(*) as n from l group by 1, 2, 3""")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessella.operators import estimators
+from tessella.operators.describe import exact_quantiles
 from tessella.operators.matching import nearest_score
 from tessella.plans.registry import query
 
@@ -105,8 +106,8 @@ def temperature_restrict(t):
 
 @query("select s as stratum, count(*) as n, round(avg(p_retailprice), 4) as mean from (select p_retailprice, case when p_size <= (select quantile_cont(p_size, 0.5) from part) then 'near' else 'far' end as s from part) group by 1")
 def stratify_by_quantile(t):
-    mid = t.part.agg(F.percentile("p_size", 0.5).alias("m"))
-    return t.part.crossJoin(F.broadcast(mid)).groupBy(F.when(c("p_size") <= c("m"), "near").otherwise("far").alias("stratum")).agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 4).alias("mean"))
+    (mid,) = exact_quantiles(t.part, "p_size", [0.5])
+    return t.part.groupBy(F.when(c("p_size") <= mid, "near").otherwise("far").alias("stratum")).agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 4).alias("mean"))
 
 
 @query("""select id, other from (select c_custkey as id, s_suppkey as other, row_number() over (partition by c_custkey order by abs(c_acctbal - s_acctbal), s_suppkey) as n from customer, supplier) where n = 1""")

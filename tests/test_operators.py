@@ -141,3 +141,16 @@ def test_similarities_of_batches_equal_those_of_pairs():
     assert np.abs(similarity.jaro_winkler_batch(left, right) - [similarity.jaro_winkler_of(a, b) for a, b in zip(left, right)]).max() < 1e-12
     got = similarity._in_batches(pd.Series([None, "ab", "q" * 70]), pd.Series(["x", "ba", "q" * 70]), similarity.damerau_levenshtein_batch, similarity.damerau_levenshtein_of)
     assert np.isnan(got[0]) and got[1:].tolist() == [1, 0]
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from tessella.operators.describe import exact_quantiles
+
+    rng = np.random.default_rng(2)
+    shares = [0.0, 0.1, 0.333, 0.5, 0.95, 1.0]
+    for values in (rng.normal(size=1001), rng.integers(0, 4, 500).astype(float), np.array([3.0]), np.concatenate([np.full(400, 7.0), rng.normal(size=50)])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        assert np.allclose(exact_quantiles(df, "x", shares, 16), np.quantile(values, shares))
+    assert exact_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == [None]
