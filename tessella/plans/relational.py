@@ -312,9 +312,11 @@ def top_decile(t):
     return t.orders.where(c("o_totalprice") >= edge).select("o_orderkey")
 
 
-@query()
+@query("select p_partkey from part order by ((p_partkey * 48271 + 42) % 2147483647 * 69621) % 2147483647, p_partkey limit 100")
 def sample_rows(t):
-    return t.part.orderBy(F.xxhash64(F.lit(42), "p_partkey"), "p_partkey").limit(100).select("p_partkey")
+    # a seeded order by arithmetic, so the same rows come from any partitioning
+    mixed = ((c("p_partkey") * 48271 + 42) % 2147483647 * 69621) % 2147483647
+    return t.part.orderBy(mixed, "p_partkey").limit(100).select("p_partkey")
 
 
 @query("select c_custkey as id, c_name as name, null::double as balance from customer union all select s_suppkey, s_name, s_acctbal from supplier")

@@ -25,6 +25,13 @@ def ols_multi(t):
     return estimators.ols(_lines(t), ["q", "d"], "price").where("term <> 'const'").select("term", F.round("coef", 3).alias("coef"))
 
 
+@query("""with m as (select avg(l_quantity) as mx, avg(l_extendedprice) as my, regr_slope(l_extendedprice, l_quantity) as b, regr_sxx(l_extendedprice, l_quantity) as sxx, count(*) as n from lineitem),
+ g as (select l_partkey, sum((l_quantity - mx) * (l_extendedprice - my - b * (l_quantity - mx))) as s from lineitem, m group by 1)
+ select 'q' as term, round(any_value(b), 4) as coef, round(sqrt(sum(s * s)) / any_value(sxx) * sqrt(count(*) / (count(*) - 1.0) * (any_value(n) - 1.0) / (any_value(n) - 2.0)), 5) as se from g, m""")
+def ols_cluster_se(t):
+    return estimators.ols(_lines(t), ["q"], "price", cluster="l_partkey").where("term = 'q'").select("term", F.round("coef", 4).alias("coef"), F.round("se", 5).alias("se"))
+
+
 @query()
 def ols_clustered(t):
     return estimators.ols(_lines(t), ["q", "d", "tax"], "y", cluster="l_partkey")
