@@ -32,12 +32,17 @@ def _with_text(docs: DataFrame, cleaned: DataFrame, text: str) -> DataFrame:
     return cleaned.where(F.col(text).rlike(r"\S")).select(*named)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores behind it as it takes to be no column of ``docs``."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; equal rows are kept or go together."""
     weights = quality.fit(docs, table(spark, sf_dir, "labels"))
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
+    row = _free(docs, "_row")
     whole = docs.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     return quality.assess(whole, weights, carry=[row]).where("kept").select(f"{row}.*")
 
@@ -49,12 +54,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, that with the least id; of equal rows one."""
+    own, id_, node = (_free(docs, n) for n in ("_own", "_id", "_node"))
     kept = near.classes(docs, threshold=0.8, with_node=True).where("kept")
-    keys = kept.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
+    keys = kept.select(F.col("doc_id").alias(id_), F.col("node").alias(node)).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("_own", F.unhex(F.md5(text)))
-    one = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_own"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.withColumn(own, F.unhex(F.md5(text)))
+    one = marked.join(keys, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(node)), "left_semi")
+    return one.dropDuplicates(["doc_id", own]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from tests.llm.test_lines_plain import plain as plain_lines
 from tests.llm.test_near_plain import plain_classes
 from tests.llm.test_suffixes import plain as plain_suffixes
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, k1 bigint, node string, _row int, carried int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, k1 bigint, node string, _row int, carried int, _own int, _id int, _node int"
 
 
 def said(rng, n, letters="abcdefghijklmnop"):
@@ -35,8 +35,8 @@ def rows():
         out.append(" ".join(other))
     out += [said(rng, 55) + "\n" + line[:-1] + "x", said(rng, 20), "a b c " * 40, "x" * 30_000 + " " + said(rng, 80), out[0], "", " \n ", None]
     out += ["  ".join(["JUNK%%", "##", "$$$"] * 5) + said(rng, 60, "QXZ%$#") for _ in range(3)]
-    made = [(i * 2, t, "en", None if i % 7 == 0 else "s", None if t is None else len(t), i, "n", 1, 2) for i, t in enumerate(out)]
-    return made + [(None, out[1], "en", "s", 1, 5, "n", 1, 2), made[3], made[3]]
+    made = [(i * 2, t, "en", None if i % 7 == 0 else "s", None if t is None else len(t), i, "n", 1, 2, 3, 4, 5) for i, t in enumerate(out)]
+    return made + [(None, out[1], "en", "s", 1, 5, "n", 1, 2, 3, 4, 5), made[3], made[3]]
 
 
 @pytest.fixture(scope="module")
