@@ -44,8 +44,8 @@ from tessella.session import discard, settle, ship
 WORDS = 5
 FEATURES = 1 << 17
 SAMPLES, BANDS = 64, 16
-#: Members of a band up to which those that its leader hasn't linked are paired without a bound; times the bound is drawn tighter.
-FEW, TIGHTER = 32, 3
+#: Members of a band up to which those that its leader hasn't linked are paired without a bound.
+FEW = 32
 _GRAIN = 16
 _SAMPLER: list = []
 
@@ -257,18 +257,12 @@ def _shared_weights(held: DataFrame, weights, threshold: float) -> DataFrame:
             )
 
     parts = settle(held.mapInArrow(run, "node binary, shingle bigint, w double"), "shingles")
-    alive = None
-    for _ in range(TIGHTER):
-        rows = parts if alive is None else parts.join(alive.select("node"), "node", "left_semi")
-        alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("w").alias("w")).where("n = 1")
-        alone = alone.groupBy("node").agg(F.sum("w").alias("alone"))
-        whole = rows.groupBy("node").agg(F.sum("w").alias("weight")).join(alone, "node", "left")
-        whole = whole.select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0.0))).alias("common"))
-        # sums may round differently
-        after = settle(whole.where(F.col("common") >= (threshold - 1e-6) * F.col("weight")), "alive")
-        if alive is not None:
-            discard(alive)
-        alive = after
+    alone = parts.groupBy("shingle").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("w").alias("w")).where("n = 1")
+    alone = alone.groupBy("node").agg(F.sum("w").alias("alone"))
+    whole = parts.groupBy("node").agg(F.sum("w").alias("weight")).join(alone, "node", "left")
+    whole = whole.select("node", "weight", (F.col("weight") - F.coalesce("alone", F.lit(0.0))).alias("common"))
+    # sums may round differently
+    alive = settle(whole.where(F.col("common") >= (threshold - 1e-6) * F.col("weight")), "alive")
     discard(parts)
     return alive
 
@@ -286,7 +280,7 @@ def classes(
     nodes = settle(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks")), "nodes")
     keyed = lambda *more: nodes.select("node", *more, F.posexplode("bands").alias("i", "h")).withColumn("band", F.xxhash64("i", "h"))
     shared = settle(keyed().groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands-shared")
-    may = sketch(shared, F.col("band"), 1 << 22)
+    may = sketch(shared, F.col("band"))
     members = settle(keyed("marks").where(may(F.col("band"))).join(shared, "band").select("band", "node", "marks", "n"), "members")
     discard(shared)
     wanted = members.select("node").distinct()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.byte_tokens import KEPT_CHUNKS
-from tessella.llm.words import slices
+from tessella.llm.words import release, slices
 from tessella.session import settle, ship
 
 #: Rows that one task ranks; longer classes are dealt to several.
@@ -34,6 +34,7 @@ RANKED_TOGETHER = 20_000
 ROUNDED = 8_000
 #: Programs solved, each but the first on what rounding left over of the one before it; shares of their configurations that are tried.
 LEVELS, SHARES = 3, (1.0, 0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.6, 0.4, 0.2)
+_PACKED = np.dtype(">u4")
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -94,19 +95,20 @@ def filled(firsts: np.ndarray, last: np.ndarray, capacity: int) -> tuple[np.ndar
     return np.concatenate(rows), np.concatenate(pieces)
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int, step: float, gap: float, near: float = 0.01) -> tuple[dict[tuple, float], float]:
+def solve(counts: np.ndarray, capacity: int, rounds: int, step: float, gap: float, near: float = 0.01) -> tuple[dict[bytes, float], float]:
     """Multiplicative weights on the configuration program: configurations with their fractional numbers, and the gap reached.
 
     A length's price is its weight over its count, at first its share of the volume. In each round every length's best configuration
     that is worth nearly as much (1 - ``near``) as the best of all is taken, as often as serves no length more than once;
     weights fall by exp(-step * share served). The rounds' mean is the solution; weights over the knapsack's best value bound the optimum from below. Rounds end where the mean is within ``gap`` of that bound.
-    The numbers are scaled so that the lengths are served once, on average by volume.
+    The numbers are scaled so that the lengths are served once, on average by volume. A configuration is its lengths, longest first, as
+    numbers of equal width (``_PACKED``) that sort like them, since there may be some hundred thousand.
     """
     sizes = np.flatnonzero(counts)
     need = counts.astype(float)
     weight = sizes * need[sizes]
     weight /= weight.max()
-    taken: dict[tuple, float] = {}
+    taken: dict[bytes, float] = {}
     served = np.zeros(capacity + 1)
     least, reached = 0.0, np.inf
     for done in range(1, rounds + 1):
@@ -123,9 +125,9 @@ def solve(counts: np.ndarray, capacity: int, rounds: int, step: float, gap: floa
         much = wish * allowed
         got = np.bincount(pieces, weights=much[rows], minlength=capacity + 1)
         order = np.lexsort((-pieces, rows))
-        flat, ends = pieces[order].tolist(), np.cumsum(np.bincount(rows, minlength=len(firsts))).tolist()
+        flat, ends = pieces[order].astype(_PACKED).tobytes(), (_PACKED.itemsize * np.cumsum(np.bincount(rows, minlength=len(firsts)))).tolist()
         for begin, end, times in zip([0, *ends], ends, much.tolist()):
-            key = tuple(flat[begin:end])
+            key = flat[begin:end]
             taken[key] = taken.get(key, 0.0) + times
         served += got
         weight *= np.exp(-step * got[sizes] / need[sizes])
@@ -137,7 +139,7 @@ def solve(counts: np.ndarray, capacity: int, rounds: int, step: float, gap: floa
     return {key: times * scale for key, times in taken.items()}, reached
 
 
-def rounded(fractional: dict[tuple, float], left: np.ndarray) -> list[tuple[int, dict[int, int]]]:
+def rounded(fractional: dict[bytes, float], left: np.ndarray) -> list[tuple[int, dict[int, int]]]:
     """Whole numbers of configurations, at most ``ROUNDED`` of them, that take no more than is in ``left``, which they lower.
 
     Numbers are summed up in order of the configurations' lengths and one is taken at each whole step of the sum, so lengths
@@ -147,9 +149,10 @@ def rounded(fractional: dict[tuple, float], left: np.ndarray) -> list[tuple[int,
     each = max(1, math.ceil(sum(fractional.values()) / ROUNDED))
     steps = np.diff(np.floor(np.cumsum([fractional[key] for key in ordered]) / each), prepend=0).astype(np.int64) * each
     chosen = []
-    for key, times in sorted(zip(ordered, steps.tolist()), key=lambda x: (-sum(x[0]), x[0])):
+    picked = [(tuple(np.frombuffer(key, dtype=_PACKED).tolist()), times) for key, times in zip(ordered, steps.tolist()) if times]
+    for key, times in sorted(picked, key=lambda x: (-sum(x[0]), x[0])):
         config = Counter(key)
-        times = min(times, *(int(left[s]) // n for s, n in config.items())) if times else 0
+        times = min(times, *(int(left[s]) // n for s, n in config.items()))
         if times:
             for s, n in config.items():
                 left[s] -= times * n
@@ -290,6 +293,7 @@ def pack(
         .withColumn("rank", F.col("base") + F.col("own"))
     )
     rows = placement(plan(counts, capacity))
+    release()
     places = spark.createDataFrame(
         rows or [(0, 0, 0, 0, 1, 0)], "p_length bigint, low bigint, high bigint, first bigint, slots bigint, place bigint"
     )
