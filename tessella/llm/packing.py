@@ -211,6 +211,7 @@ def planned(counts: np.ndarray, capacity: int, rounds: int = 1000, step: float =
         fractional, gap_here = solve(left, capacity, rounds, step, gap)
         reached = gap_here if level == 0 else reached
         all_ += rounded(fractional, left)
+        del fractional  # some hundred thousand configurations, before the next ones are made
     for share in SHARES:
         rest = left.copy()
         whole = filled_up(kept_share(all_, rest, share), rest, capacity)
@@ -292,6 +293,7 @@ def pack(
         .join(bases, ["length", "salt"])
         .withColumn("rank", F.col("base") + F.col("own"))
     )
+    release()
     rows = placement(plan(counts, capacity))
     release()
     places = spark.createDataFrame(
