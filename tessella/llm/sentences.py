@@ -1,10 +1,11 @@
 """Removal of repeated passages by sliding sentence spans.
 
-From every sentence on, the run of consecutive sentences that first holds ``span_words`` words is hashed, and so is the
-shortest such run that ends with it (128 bits; case and white space do not count). Runs are joined globally: of equal
-runs the first, by document and place, stays, and every sentence that a later one covers is removed. The last sentences of a
-text or of a passage, which begin no such run of their own, are covered by the runs that end with them; a text of fewer words
-is one run. A blank sentence goes with the one before it, at a text's start with the one behind it.
+From every sentence on, the shortest run of consecutive sentences that holds ``span_words`` words and ``span_sentences`` sentences is
+hashed, and so is the shortest such run that ends with it (128 bits; case and white space do not count). Runs are joined globally: of
+equal runs the first, by document and place, stays, and every sentence that a later one covers is removed. The last sentences of a
+text or of a passage, which begin no such run of their own, are covered by the runs that end with them. A sentence alone is no run,
+however long, nor are few words: a passage of one sentence, a text of one, and one of fewer words than a run's stay where they repeat.
+A line end ends a sentence. A blank sentence counts for none; it goes with the one before it, at a text's start with the one behind it.
 
 Defined results: null and empty texts have no sentences; texts without a word keep theirs; a row's null id stays
 null and comes first in order; rows equal in id and text count as one document and are cut alike; other columns
@@ -33,7 +34,7 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.findall(text) if s]
 
 
-def runs(parts: list[str], span_words: int) -> list[tuple[int, int, bytes]]:
+def runs(parts: list[str], span_words: int, span_sentences: int = 2) -> list[tuple[int, int, bytes]]:
     """(first, end, 128-bit hash) of the runs."""
     plain = [" ".join(p.lower().split()) for p in parts]
     size = [p.count(" ") + 1 if p else 0 for p in plain]
@@ -45,23 +46,22 @@ def runs(parts: list[str], span_words: int) -> list[tuple[int, int, bytes]]:
         return []
     # where a run that ends with a sentence ends: behind the blank sentences that follow it
     ends = dict(zip(worded, [*worded[1:], len(parts)]))
-    spans = set()
-    if before[-1] < span_words:
-        spans.add((worded[0], worded[-1]))
-    last = 0
-    for first in worded:
-        while last < len(worded) and before[worded[last] + 1] - before[first] < span_words:
-            last += 1
-        if last == len(worded):
+    words = lambda a, b: before[worded[b] + 1] - before[worded[a]]
+    spans, many = set(), len(worded)
+    b = 0
+    for a in range(many):
+        b = max(b, a + span_sentences - 1)
+        while b < many and words(a, b) < span_words:
+            b += 1
+        if b >= many:
             break
-        spans.add((first, worded[last]))
-    first = 0
-    for end in worded:
-        if before[end + 1] < span_words:
-            continue
-        while first + 1 < len(worded) and before[end + 1] - before[worded[first + 1]] >= span_words:
-            first += 1
-        spans.add((worded[first], end))
+        spans.add((worded[a], worded[b]))
+    a = 0
+    for b in range(span_sentences - 1, many):
+        while a + span_sentences <= b and words(a + 1, b) >= span_words:
+            a += 1
+        if words(a, b) >= span_words:
+            spans.add((worded[a], worded[b]))
     return [
         (
             0 if first == worded[0] else first,
@@ -72,14 +72,14 @@ def runs(parts: list[str], span_words: int) -> list[tuple[int, int, bytes]]:
     ]
 
 
-def _run_rows(texts: DataFrame, span_words: int) -> DataFrame:
+def _run_rows(texts: DataFrame, span_words: int, span_sentences: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessella.llm import sentences as own
 
         for batch in own.slices(batches, "text"):
             docs, first, end, digests = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for a, b, d in own.runs(own.sentences(text or ""), span_words):
+                for a, b, d in own.runs(own.sentences(text or ""), span_words, span_sentences):
                     docs.append(i)
                     first.append(a)
                     end.append(b)
@@ -119,13 +119,13 @@ def _cut(joined: DataFrame) -> DataFrame:
 
 
 def remove_repeated_sentences(
-    docs: DataFrame, span_words: int = 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, span_words: int = 20, id_col: str = "doc_id", text_col: str = "text", span_sentences: int = 2
 ) -> DataFrame:
-    """Every text without the sentences that repeat a passage seen before."""
+    """Every text without the sentences that repeat a passage of ``span_sentences`` sentences or more seen before."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("k1"), text.alias("text"))
-    rows = settle(_run_rows(texts, span_words), "runs")
+    rows = settle(_run_rows(texts, span_words, span_sentences), "runs")
     # both tables of a join are read from shuffles of their own, so a run that a large share of all texts hold is split
     often = settle(rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "runs-often")
     again = settle(rows.join(often, ["h1", "h2"], "left_semi"), "runs-again")

@@ -187,7 +187,9 @@ def test_sentences(docs):
     assert "".join(sentences.sentences(PASSAGE)) == PASSAGE
     assert got[8]["n_removed"] == 0 and got[8]["text"] == "pre " + PASSAGE + " post"
     assert got[9]["n_removed"] >= got[9]["n_sentences"] - 2
-    assert got[6]["text"] == "" and got[1]["n_sentences"] == 0
+    assert got[1]["n_sentences"] == 0
+    # one sentence, and one that is too short for a run
+    assert got[6]["text"] == dict(plain_docs())[6] and got[6]["n_sentences"] == 1
 
 
 def said(tag, n):
@@ -199,10 +201,11 @@ def test_sentences_cover_the_ends_of_texts_and_passages(spark):
     passage = said("p", 12) + said("q", 12) + said("r", 3)
     rows = [
         (1, text), (2, text), (3, said("c", 30) + passage + said("d", 30)), (4, said("e", 30) + passage + said("f", 30)),
-        (5, "\n\nshort text"), (6, "\n\nshort text"), (7, "\n\n" + said("g", 25)), (8, "\n\n" + said("g", 25)),
+        (5, "\n\nshort. text"), (6, "\n\nshort. text"), (7, "\n\n" + said("g", 25) + said("h", 1)), (8, "\n\n" + said("g", 25) + said("h", 1)),
+        (9, said("i", 30)), (10, said("i", 30)),
     ]
     got = {r["doc_id"]: r["text"] for r in sentences.remove_repeated_sentences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    want = dict(rows) | {2: "", 4: said("e", 30) + said("f", 30), 6: "", 8: ""}
+    want = dict(rows) | {2: "", 4: said("e", 30) + said("f", 30), 8: ""}
     assert got == want
 
 
@@ -212,10 +215,18 @@ def test_runs_are_the_shortest_from_and_to_every_sentence():
         sizes = rng.integers(1, 15, rng.integers(1, 9)).tolist()
         k, want = len(sizes), set()
         for a in range(k):
-            for b in range(a + 1, k + 1):
-                if sum(sizes[a:b]) >= 20 and (sum(sizes[a : b - 1]) < 20 or sum(sizes[a + 1 : b]) < 20):
+            for b in range(a + 2, k + 1):
+                if sum(sizes[a:b]) >= 20 and (b - a == 2 or sum(sizes[a : b - 1]) < 20 or sum(sizes[a + 1 : b]) < 20):
                     want.add((a, b))
-        assert {(a, b) for a, b, _ in sentences.runs([said("w", n) for n in sizes], 20)} == (want or {(0, k)})
+        assert {(a, b) for a, b, _ in sentences.runs([said("w", n) for n in sizes], 20)} == want
+
+
+def test_a_sentence_alone_is_no_run(spark):
+    shared = said("s", 25)
+    rows = [(1, said("a", 30) + shared + said("b", 30)), (2, said("c", 30) + shared + said("d", 30)), (3, said("e", 30) + shared + said("d", 30))]
+    got = {r["doc_id"]: r["text"] for r in sentences.remove_repeated_sentences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    # the second and third texts share two sentences in a row
+    assert got == dict(rows) | {3: said("e", 30)}
 
 
 def edits(a, b):

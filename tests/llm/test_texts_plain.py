@@ -91,14 +91,9 @@ def plain_sentences(rows, span=20):
         said = [" ".join(p.lower().split()) for p in parts]
         real = [k for k, p in enumerate(said) if p]
         size = {k: len(said[k].split()) for k in real}
-        found = set()
-        for a in range(len(real)):
-            for b in range(a, len(real)):
-                total = sum(size[k] for k in real[a : b + 1])
-                if total >= span and (total - size[real[b]] < span or total - size[real[a]] < span):
-                    found.add((a, b))
-        if real and sum(size.values()) < span:
-            found = {(0, len(real) - 1)}
+        total = lambda a, b: sum(size[k] for k in real[a : b + 1])  # noqa: E731, B023
+        fits = {(a, b) for a in range(len(real)) for b in range(a + 1, len(real)) if total(a, b) >= span}
+        found = {(a, b) for a, b in fits if (a, b - 1) not in fits or (a + 1, b) not in fits}
         for a, b in sorted(found):
             text = " ".join(said[k] for k in real[a : b + 1])
             low = 0 if a == 0 else real[a]
