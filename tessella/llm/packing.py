@@ -3,8 +3,8 @@
 Lengths fall into at most ``capacity`` classes, however many documents there are, so the packing is
 planned on the histogram of lengths: the configuration linear program is solved by multiplicative
 weights, whose pricing problem is an unbounded knapsack solved by dynamic programming, to a gap of 5%
-against the knapsack's bound (or 1,000 rounds), and the fractional solution is rounded to whole configurations; the same is done twice more with what is left over. Of all these a share is kept, those with the
-longest pieces: of ``SHARES`` the one with which fewest sequences are needed. All else fills the room that these have and then, best-fit, configurations of its own. The plan has a bounded size. Pieces then find their places by their
+against the knapsack's bound (or 1,000 rounds), and the fractional solution is rounded to whole configurations; the same is done twice
+more with what is left over. All else fills the room that these have and then, best-fit, configurations of its own. The plan has a bounded size. Pieces then find their places by their
 rank among the pieces of equal length, which is counted in salted groups.
 
 Defined results: null and empty texts are one piece holding the closing id alone; a row's null id
@@ -32,8 +32,10 @@ from tessella.session import settle, ship
 RANKED_TOGETHER = 20_000
 #: Configurations that the linear program's solution is rounded to at most.
 ROUNDED = 8_000
-#: Programs solved, each but the first on what rounding left over of the one before it; shares of their configurations that are tried.
-LEVELS, SHARES = 3, (1.0, 0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.6, 0.4, 0.2)
+#: Programs solved, each but the first on what rounding left over of the one before it.
+LEVELS = 3
+#: Configurations of a program's solution that are held between rounds.
+HELD = 32_000
 _PACKED = np.dtype(">u4")
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -95,22 +97,41 @@ def filled(firsts: np.ndarray, last: np.ndarray, capacity: int) -> tuple[np.ndar
     return np.concatenate(rows), np.concatenate(pieces)
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int, step: float, gap: float, near: float = 0.01) -> tuple[dict[bytes, float], float]:
+def thinned(configs: list[bytes], times: np.ndarray, limit: int) -> tuple[list[bytes], np.ndarray]:
+    """At most ``limit`` configurations, in the order of their lengths, that stand for all: equal ones are added up, and of more one is
+    taken at each whole step of the running sum, so every stretch of the order keeps its share."""
+    order = sorted(range(len(configs)), key=configs.__getitem__, reverse=True)
+    total = np.cumsum(times[order])
+    first = [k for k, i in enumerate(order) if k == 0 or configs[i] != configs[order[k - 1]]]
+    upto = total[np.array([*first[1:], len(order)]) - 1]
+    distinct = [configs[order[k]] for k in first]
+    if len(distinct) <= limit:
+        return distinct, np.diff(upto, prepend=0.0)
+    step = float(upto[-1]) / limit
+    number = np.diff(np.floor(upto / step * (1 + 1e-12)), prepend=0)
+    some = np.flatnonzero(number)
+    return [distinct[k] for k in some.tolist()], number[some] * step
+
+
+def solve(counts: np.ndarray, capacity: int, rounds: int, step: float, gap: float, near: float = 0.01) -> tuple[list[bytes], np.ndarray, float]:
     """Multiplicative weights on the configuration program: configurations with their fractional numbers, and the gap reached.
 
     A length's price is its weight over its count, at first its share of the volume. In each round every length's best configuration
     that is worth nearly as much (1 - ``near``) as the best of all is taken, as often as serves no length more than once;
     weights fall by exp(-step * share served). The rounds' mean is the solution; weights over the knapsack's best value bound the optimum from below. Rounds end where the mean is within ``gap`` of that bound.
     The numbers are scaled so that the lengths are served once, on average by volume. A configuration is its lengths, longest first, as
-    numbers of equal width (``_PACKED``) that sort like them, since there may be some hundred thousand.
+    numbers of equal width (``_PACKED``) that sort like them. Every 16 rounds the mean is thinned to ``HELD`` configurations, so what is
+    held doesn't grow with the rounds.
     """
     sizes = np.flatnonzero(counts)
     need = counts.astype(float)
     weight = sizes * need[sizes]
     weight /= weight.max()
-    taken: dict[bytes, float] = {}
+    configs: list[bytes] = []
+    times = np.zeros(0)
+    new: list[np.ndarray] = []
     served = np.zeros(capacity + 1)
-    least, reached = 0.0, np.inf
+    least, reached, total = 0.0, np.inf, 0.0
     for done in range(1, rounds + 1):
         value = np.zeros(capacity + 1)
         value[sizes] = weight / need[sizes]
@@ -126,30 +147,32 @@ def solve(counts: np.ndarray, capacity: int, rounds: int, step: float, gap: floa
         got = np.bincount(pieces, weights=much[rows], minlength=capacity + 1)
         order = np.lexsort((-pieces, rows))
         flat, ends = pieces[order].astype(_PACKED).tobytes(), (_PACKED.itemsize * np.cumsum(np.bincount(rows, minlength=len(firsts)))).tolist()
-        for begin, end, times in zip([0, *ends], ends, much.tolist()):
-            key = flat[begin:end]
-            taken[key] = taken.get(key, 0.0) + times
+        configs += [flat[begin:end] for begin, end in zip([0, *ends], ends)]
+        new.append(much)
+        total += float(much.sum())
         served += got
         weight *= np.exp(-step * got[sizes] / need[sizes])
         weight = np.maximum(weight / weight.max(), 1e-12)
-        reached = sum(taken.values()) / max(1e-12, (served[sizes] / need[sizes]).min()) / least - 1 if done % 16 == 0 or done == rounds else np.inf
-        if reached <= gap:
-            break
+        if done % 16 == 0 or done == rounds:
+            configs, times = thinned(configs, np.concatenate([times, *new]), HELD)
+            new = []
+            reached = total / max(1e-12, (served[sizes] / need[sizes]).min()) / least - 1
+            if reached <= gap:
+                break
     scale = float((sizes * need[sizes]).sum() / (sizes * served[sizes]).sum())
-    return {key: times * scale for key, times in taken.items()}, reached
+    return configs, times * scale, reached
 
 
-def rounded(fractional: dict[bytes, float], left: np.ndarray) -> list[tuple[int, dict[int, int]]]:
-    """Whole numbers of configurations, at most ``ROUNDED`` of them, that take no more than is in ``left``, which they lower.
+def rounded(configs: list[bytes], fractional: np.ndarray, left: np.ndarray) -> list[tuple[int, dict[int, int]]]:
+    """Whole numbers of configurations (in the order that ``thinned`` gives), at most ``ROUNDED`` of them, that take no more than is in ``left``, which they lower.
 
     Numbers are summed up in order of the configurations' lengths and one is taken at each whole step of the sum, so lengths
     keep their shares. The fullest come first where a length runs out.
     """
-    ordered = sorted(fractional, reverse=True)
-    each = max(1, math.ceil(sum(fractional.values()) / ROUNDED))
-    steps = np.diff(np.floor(np.cumsum([fractional[key] for key in ordered]) / each), prepend=0).astype(np.int64) * each
+    each = max(1, math.ceil(float(fractional.sum()) / ROUNDED))
+    steps = np.diff(np.floor(np.cumsum(fractional) / each), prepend=0).astype(np.int64) * each
     chosen = []
-    picked = [(tuple(np.frombuffer(key, dtype=_PACKED).tolist()), times) for key, times in zip(ordered, steps.tolist()) if times]
+    picked = [(tuple(np.frombuffer(key, dtype=_PACKED).tolist()), times) for key, times in zip(configs, steps.tolist()) if times]
     for key, times in sorted(picked, key=lambda x: (-sum(x[0]), x[0])):
         config = Counter(key)
         times = min(times, *(int(left[s]) // n for s, n in config.items()))
@@ -160,19 +183,6 @@ def rounded(fractional: dict[bytes, float], left: np.ndarray) -> list[tuple[int,
     return chosen
 
 
-def kept_share(whole: list[tuple[int, dict[int, int]]], left: np.ndarray, share: float) -> list[tuple[int, dict[int, int]]]:
-    """A share of the sequences, those with the longest pieces; the others' pieces go back to ``left``."""
-    budget, out = int(share * sum(t for t, _ in whole)), []
-    for times, config in sorted(whole, key=lambda x: -max(x[1])):
-        n = min(times, budget)
-        budget -= n
-        if n:
-            out.append((n, config))
-        for s, m in config.items():
-            left[s] += m * (times - n)
-    return out
-
-
 def filled_up(chosen: list[tuple[int, dict[int, int]]], left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
     """The configurations with the longest lengths from ``left``, which is lowered, in the room that they have."""
     out = []
@@ -201,28 +211,16 @@ def planned(counts: np.ndarray, capacity: int, rounds: int = 1000, step: float =
         left[capacity] = 0
     if not left.any():
         return chosen, 0, 0.0
-    least = max(-(-int((left * np.arange(capacity + 1)).sum()) // capacity), int(left[capacity // 2 + 1 :].sum()))
-    best: tuple[int, int, list] | None = None
     all_: list[tuple[int, dict[int, int]]] = []
     reached = 0.0
     for level in range(LEVELS):
         if not left.any():
             break
-        fractional, gap_here = solve(left, capacity, rounds, step, gap)
+        configs, fractional, gap_here = solve(left, capacity, rounds, step, gap)
         reached = gap_here if level == 0 else reached
-        all_ += rounded(fractional, left)
-        del fractional  # some hundred thousand configurations, before the next ones are made
-    for share in SHARES:
-        rest = left.copy()
-        whole = filled_up(kept_share(all_, rest, share), rest, capacity)
-        of_program = sum(t for t, _ in whole)
-        more = best_fit(rest, capacity)
-        total = of_program + sum(t for t, _ in more)
-        if best is None or total < best[0]:
-            best = total, of_program, whole + more
-        if best[0] <= least:
-            break
-    return chosen + best[2], best[1], reached
+        all_ += rounded(configs, fractional, left)
+    whole = filled_up(all_, left, capacity)
+    return chosen + whole + best_fit(left, capacity), sum(t for t, _ in whole), reached
 
 
 def plan(counts: np.ndarray, capacity: int, rounds: int = 1000, step: float = 0.05) -> list[tuple[int, dict[int, int]]]:
