@@ -147,26 +147,21 @@ def _matches(scanned: DataFrame, postings: list[tuple]) -> DataFrame:
     # one row for each of the templates' index words: bounded by TEMPLATES and INDEXED
     index = F.broadcast(spark.createDataFrame(rows, "word string, template int, place int, label string, t_words array<string>, key array<string>, key_at int, needed int"))
     files = scanned.withColumn("looked", opaque(F.array_intersect(_literal(indexed), "words"))).where(F.size("looked") > 0)
-    hits = files.select(
-        "doc_id", "k1", "k2", "words",
-        F.explode(
-            F.filter(
-                F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))),
-                lambda x: F.array_contains(F.col("looked"), x["word"]),
-            )
-        ).alias("hit"),
-    ).select("doc_id", "k1", "k2", "words", F.col("hit.word").alias("word"), F.col("hit.i").alias("i"))
+    # a hit takes along the words that any template may have around it, not the file
+    reach = max(len(t.split()) for _, _, t in TEMPLATES)
+    near = F.filter(
+        F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"), F.greatest(F.lit(0), i - reach).alias("low"))),
+        lambda x: F.array_contains(F.col("looked"), x["word"]),
+    )
+    around = F.transform(near, lambda x: F.struct(x["word"].alias("word"), x["i"].alias("i"), x["low"].alias("low"), F.slice("words", x["low"] + 1, 2 * reach).alias("around")))
+    hits = files.select("doc_id", "k1", "k2", F.explode(around).alias("hit")).select("doc_id", "k1", "k2", "hit.*")
     begun = hits.join(index, "word").withColumn("begin", F.col("i") - F.col("place"))
-    key_from = F.col("begin") + F.col("key_at")
-    there = (key_from >= 0) & (F.when(key_from >= 0, F.slice("words", key_from + 1, F.size("key"))) == F.col("key"))
+    at = F.col("begin") - F.col("low")  # where the template begins among the words around
+    key_from = at + F.col("key_at")
+    there = (key_from >= 0) & (F.when(key_from >= 0, F.slice("around", key_from + 1, F.size("key"))) == F.col("key"))
     share = F.aggregate(
-        F.transform(
-            "t_words",
-            lambda w, k: F.when(F.coalesce(F.when(F.col("begin") + k >= 0, F.get("words", F.col("begin") + k)) == w, F.lit(False)), 1).otherwise(0),
-        ),
-        F.lit(0),
-        lambda a, x: a + x,
-    ) / F.size("t_words")
+        F.transform("t_words", lambda w, k: F.when(F.coalesce(F.when(at + k >= 0, F.get("around", at + k)) == w, F.lit(False)), 1).otherwise(0)), F.lit(0), lambda a, x: a + x
+    ) / F.size("t_words")
     agreed = (
         begun.where(there)
         .select("doc_id", "k1", "k2", "template", "begin", "label", "needed", "word", share.alias("share"))

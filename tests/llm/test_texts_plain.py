@@ -82,6 +82,17 @@ def test_licenses(spark):
     assert got == plain_scan(rows)
 
 
+def test_licenses_of_a_text_of_many_hits(spark):
+    # every second word is one that all templates are looked up by; a notice stands at the end
+    words = sorted({w for _, _, t in licenses.TEMPLATES for w in t.split()})
+    text = " ".join(f"{words[k % len(words)]} {'x' * (k % 5 + 1)}" for k in range(50_000)) + " " + licenses.TEMPLATES[0][2]
+    rows = [(1, text), (2, "plain text"), (3, licenses.TEMPLATES[1][2])]
+    got = {r["doc_id"]: r for r in licenses.scan(made(spark, rows)).collect()}
+    assert got[1]["n_words"] == 100_000 + len(licenses.TEMPLATES[0][2].split())
+    assert licenses.TEMPLATES[0][0] in got[1]["labels"].split(",") and got[1]["score"] == 1.0
+    assert got[2]["labels"] == "" and licenses.TEMPLATES[1][0] in got[3]["labels"].split(",")
+
+
 def plain_sentences(rows, span=20):
     texts = sorted({((i is not None, i or 0), t or "") for i, t in rows})
     spans, firsts = [], {}
