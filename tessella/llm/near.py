@@ -37,6 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.groups import bring_back
 from tessella.llm.native import sketch
 from tessella.llm.words import coded, mixed, slices, texts
 from tessella.session import discard, settle, ship
@@ -44,6 +45,10 @@ from tessella.session import discard, settle, ship
 WORDS = 5
 FEATURES = 1 << 17
 SAMPLES, BANDS = 64, 16
+#: Guests that a host's text is read for at a time, on average.
+GUESTS = 500
+#: Leaders that the members of a large band are compared with, one after the other.
+LEADERS = 3
 #: Members of a band up to which those that its leader hasn't linked are paired without a bound.
 FEW = 32
 _GRAIN = 16
@@ -174,24 +179,35 @@ def alike(marks: Column, others: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, held: DataFrame, weights, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are as similar as ``threshold`` or more."""
+    """The pairs (a, b) whose texts are as similar as ``threshold`` or more.
+
+    In each pair b is the host. A task reads a host's text and behind it those of up to some ``GUESTS`` guests, one after the other, so a
+    leader's text is neither copied for each of its members nor are a hot leader's members read by one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessella.llm import near as own
 
-        rarity = weights.value
-        for batch in own.slices(batches, "ta", 4 << 20):
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            by_node = dict(zip(a, batch.column("ta").to_pylist())) | dict(zip(b, batch.column("tb").to_pylist()))
-            sets = {
-                node: (s, (n * rarity[own.feature(s)]).astype(np.float64))
-                for node, (s, n) in zip(by_node, own.shingles(pa.array(list(by_node.values()), pa.large_string())))
-            }
-            fine = pa.array([own.similarity(sets[x], sets[y]) >= threshold for x, y in zip(a, b)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(fine), batch.column("b").filter(fine)], ["a", "b"])
-
-    left, right = held.select(F.col("node").alias("a"), F.col("text").alias("ta")), held.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+        rarity, host = weights.value, (np.zeros(0, np.uint64), np.zeros(0))
+        for batch in own.slices(batches, "text"):
+            fine = []
+            for guest, (s, n) in zip(batch.column("a"), own.shingles(batch.column("text"))):
+                weighted = s, (n * rarity[own.feature(s)]).astype(np.float64)
+                if not guest.is_valid:
+                    host = weighted
+                fine.append(guest.is_valid and own.similarity(weighted, host) >= threshold)
+            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    hosts = settle(pairs.groupBy("b").agg(F.count("*").alias("guests")), "hosts")
+    total = hosts.agg(F.coalesce(F.sum("guests"), F.lit(0))).first()[0]
+    dealt = bring_back(pairs, hosts, "b", "guests", total).withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("guests") / GUESTS)))
+    dealt = settle(dealt.select("a", "b", "part"), "pairs-dealt")
+    texts_of = lambda name: held.select(F.col("node").alias(name), "text")
+    first = dealt.select("b", "part").distinct().join(texts_of("b"), "b").select("b", "part", F.lit(None).cast("binary").alias("a"), "text")
+    rows = first.unionByName(dealt.join(texts_of("a"), "a").select("b", "part", "a", "text"))
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(n, "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return ordered.select("a", "b", "text").mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,12 +239,12 @@ def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _led(members: DataFrame) -> DataFrame:
-    """Pairs of each member and the leader of its band."""
+    """Pairs of each member and the leader of its band (b) that are in different classes."""
     shares = members.groupBy("node").agg(F.sum("n").alias("share"))
-    most = F.max(F.struct("share", "node", "marks")).alias("x")
-    leaders = members.join(shares, "node").groupBy("band").agg(most).select("band", F.col("x.node").alias("b"), F.col("x.marks").alias("others"))
-    led = members.join(leaders, (members["band"] == leaders["band"]) & (F.col("node") != F.col("b")) & alike(F.col("marks"), F.col("others")))
-    return led.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    most = F.max(F.struct("share", "node", "marks", "label")).alias("x")
+    leaders = members.join(shares, "node").groupBy("band").agg(most).select("band", F.col("x.node").alias("b"), F.col("x.marks").alias("others"), F.col("x.label").alias("o_label"))
+    led = members.join(leaders, (members["band"] == leaders["band"]) & (F.col("label") != F.col("o_label")) & alike(F.col("marks"), F.col("others")))
+    return led.select(F.col("node").alias("a"), "b")
 
 
 def _paired(now: DataFrame, more: Column | None = None) -> DataFrame:
@@ -292,7 +308,10 @@ def classes(
 
     def link(pairs: DataFrame) -> None:
         nonlocal labels
-        found = settle(_verified(settled := settle(pairs.distinct(), "pairs"), held, weights, threshold), "verified")
+        # a pair that was made both ways round stays one way
+        one = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("b").alias("b"))
+        one = one.select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b")
+        found = settle(_verified(settled := settle(one, "pairs"), held, weights, threshold), "verified")
         discard(settled)
         links.append(found)
         if found.limit(1).count():
@@ -300,9 +319,20 @@ def classes(
                 discard(labels)
             labels = components(reduce(DataFrame.unionByName, links))
 
-    link(_led(members))
+    link(_led(members.withColumn("label", F.col("node"))))
     now = settle(_open(members, labels), "now")
     discard(members)
+    for _ in range(LEADERS - 1):
+        # those of a large band that are in no class with its leaders get another one from among themselves
+        large = now.where(F.col("n") > FEW)
+        if not large.limit(1).count():
+            break
+        sizes = large.groupBy("band", "label").agg(F.count("*").alias("m"))
+        led = sizes.groupBy("band").agg(F.max(F.struct("m", "label")).alias("x")).select("band", F.col("x.label").alias("most"))
+        rest = large.join(led, "band").where(F.col("label") != F.col("most")).drop("most")
+        link(_led(rest))
+        before, now = now, settle(_open(now.drop("label"), labels), "now")
+        discard(before)
     large = now.where(F.col("n") > FEW)
     alive = _shared_weights(held.join(large.select("node").distinct(), "node", "left_semi"), weights, threshold)
     common = F.least("common", "o_common")
