@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from tessella.operators import geometry, raster
+from tessella.operators import geometry, raster, shapes
 from tessella.plans.registry import query
 from tessella.plans.spatial import STEP, _P, _R, _points, _raster
+from tessella.sources import features
 
 c = F.col
 
@@ -21,7 +22,7 @@ def _diamonds(t):
 
 @query(_P + ", " + _DIAMOND + " select id, poly from p join d on abs(x - cx) + abs(y - cy) <= r")
 def point_in_polygon(t):
-    return geometry.points_in_polygons(_points(t).select("id", "x", "y"), _diamonds(t), STEP).select("id", "poly")
+    return geometry.points_in_polygons(_points(t).select("id", "x", "y"), _diamonds(t)).select("id", "poly")
 
 
 _CELL_GAP = "greatest(ix * 150 - cx, 0, cx - ix * 150 - 150) + greatest(iy * 150 - cy, 0, cy - iy * 150 - 150)"
@@ -39,6 +40,75 @@ def polygon_overlay_area(t):
     return parts.groupBy("poly").agg(F.round(F.sum("area"), 3).alias("area"), F.count("*").alias("cells"))
 
 
+# two parts: a diamond with a hole of half its size, and one of a quarter beside it
+_FAR = "(greatest(abs(ix * 150 - cx), abs(ix * 150 + 150 - cx)) + greatest(abs(iy * 150 - cy), abs(iy * 150 + 150 - cy)))"
+_GAP_BESIDE = _CELL_GAP.replace("cx", "(cx + 3 * r)")
+
+
+def _ring(cx, cy, a, b):
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return F.array(corner(cx - a, cy), corner(cx, cy - b), corner(cx + a, cy), corner(cx, cy + b))
+
+
+def _shapes(t):
+    at = t.part.select(c("p_partkey").alias("poly"), ((c("p_partkey") * 31) % 3001).cast("double").alias("cx"), ((c("p_partkey") * 47) % 2003).cast("double").alias("cy"), (c("p_size") * 2).cast("double").alias("r"))
+    ring = lambda x, r: _ring(x, c("cy"), r, r)
+    return at.select("poly", F.array(F.array(ring(c("cx"), c("r")), ring(c("cx"), c("r") / 2)), F.array(ring(c("cx") + 3 * c("r"), c("r") / 4))).alias("parts"))
+
+
+@query(_P + ", " + _DIAMOND + " select id, poly from p join d on abs(x - cx) + abs(y - cy) between r / 2 and r or abs(x - cx - 3 * r) + abs(y - cy) <= r / 4")
+def points_in_shapes(t):
+    return shapes.points_in_shapes(_points(t).select("id", "x", "y"), _shapes(t), ["poly"]).select("id", "poly")
+
+
+@query(_P + ", " + _DIAMOND + " select id, count(d.poly) as holders from p left join d on abs(x - cx) + abs(y - cy) > r / 2 and abs(x - cx) + abs(y - cy) < r or abs(x - cx - 3 * r) + abs(y - cy) < r / 4 group by 1")
+def points_within_shapes(t):
+    # strictly inside, as contains has it; points in no shape stay
+    points = _points(t).select("id", "x", "y")
+    held = shapes.points_in_shapes(points, _shapes(t), ["poly"], boundary=False).groupBy("id").agg(F.count("*").alias("n"))
+    return points.select("id").join(held, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("holders"))
+
+
+@query("with " + _DIAMOND + f", g as (select distinct cast(floor(x / 150) as int) as ix, cast(floor(y / 150) as int) as iy from (select (c_custkey * 7919) % 3001 as x, (c_custkey * 104729) % 2003 as y from customer))"
+       f" select ix, iy, count(poly) as n, cast(count(poly) > 0 as int) as flooded from g left join d on ({_CELL_GAP} <= r and {_FAR} >= r / 2) or {_GAP_BESIDE} <= r / 4 group by 1, 2")
+def flooded_cells(t):
+    # every cell of the grid with the shapes that it meets: those that none meets, be it for a hole, are there with 0
+    cell = lambda v: F.floor(c(v) / STEP).cast("int")
+    cells = _points(t).select(cell("x").alias("ix"), cell("y").alias("iy")).distinct()
+    met = shapes.shape_cells(_shapes(t), STEP, ["poly"]).groupBy("ix", "iy").agg(F.count("*").alias("met"))
+    n = F.coalesce("met", F.lit(0))
+    return cells.join(met, ["ix", "iy"], "left").select("ix", "iy", n.alias("n"), (n > 0).cast("int").alias("flooded"))
+
+
+@query("with " + _DIAMOND + f" select poly, round(any_value(2 * r * r - r * r / 2 + r * r / 8), 3) as area, count(*) as cells from d, range(-2, 25) a(ix), range(-2, 16) b(iy) where ({_CELL_GAP} < r and {_FAR} > r / 2) or {_GAP_BESIDE} < r / 4 group by 1")
+def shape_overlay_area(t):
+    parts = shapes.overlay_areas(_shapes(t), STEP, ["poly"])
+    return parts.groupBy("poly").agg(F.round(F.sum("area"), 3).alias("area"), F.count("*").alias("cells"))
+
+
+@query("with " + _DIAMOND + " select poly, 'MultiPolygon' as kind, 2 as n_parts, 3 as n_rings, 9 + 2 * 9 + 3 * (4 + 5 * 16) as n_bytes, round(2 * r * r - r * r / 2 + r * r / 8, 3) as area from d")
+def shape_wkb_round_trip(t):
+    # shapes written as well-known binary and read again
+    told = features.shapes_to_wkb(_shapes(t).withColumn("kind", F.lit("MultiPolygon"))).select("poly", "wkb")
+    back = features.parse_wkb_shapes(told, "wkb")
+    return back.select("poly", "kind", F.size("parts").alias("n_parts"), F.size(F.flatten("parts")).alias("n_rings"), F.length("wkb").alias("n_bytes"), F.round(shapes.area(c("parts")), 3).alias("area"))
+
+
+_ZONES = "d as (select p_partkey as poly, p_partkey * 31 % 101 + 0.3 as cx, p_partkey * 47 % 499 + 0.2 as cy, p_size % 9 + 1.37 as a, p_size % 5 + 2.61 as b from part)"
+
+
+@query(_R + ", " + _ZONES + """ select poly, count(*) as n, round(avg(z), 9) as mean from d join r on j between cx - a - 1 and cx + a + 1 and i between cy - b - 1 and cy + b + 1 and z >= 20
+ and abs(j + 0.5 - cx) / a + abs(i + 0.5 - cy) / b between 0.5 and 1 group by 1""")
+def zonal_mean_of_shapes(t):
+    # pixels whose centres lie in slanted shapes with a hole; pixels without a value play no part
+    k, size = c("p_partkey"), c("p_size")
+    at = t.part.select(k.alias("poly"), (k * 31 % 101 + 0.3).alias("cx"), (-(k * 47 % 499 + 0.2)).alias("cy"), (size % 9 + 1.37).alias("a"), (size % 5 + 2.61).alias("b"))
+    zones = at.select("poly", F.array(F.array(_ring(c("cx"), c("cy"), c("a"), c("b")), _ring(c("cx"), c("cy"), c("a") / 2, c("b") / 2))).alias("parts"))
+    pixels = _raster(t).select(c("i").cast("int").alias("row"), c("j").cast("int").alias("col"), F.when(c("z") >= 20, c("z")).alias("value"))
+    means = shapes.zonal_means(zones, ["poly"], pixels, 0.0, 0.0, (1.0, 1.0), 1 << 30, 100)
+    return means.select("poly", "n", F.round("mean", 9).alias("mean"))
+
+
 _ROADS = "r as (select o_orderkey as id, o_custkey % 100 as line, o_orderkey % 997 as low, o_orderkey % 997 + 5 + o_custkey % 20 as high, o_orderpriority as p from orders)"
 
 

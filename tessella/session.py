@@ -70,6 +70,15 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/tessella-{spark.sparkContext.applicationId}"
 
 
+def spread(df: DataFrame, below: int = 64 << 20) -> DataFrame:
+    """``df`` dealt to all cores if Spark takes it for smaller than ``below`` bytes: for tables of few partitions with much work to a row.
+
+    Larger tables have partitions enough and aren't shuffled.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+
+
 def settle(df: DataFrame, label: str, plain: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here.
 

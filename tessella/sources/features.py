@@ -17,47 +17,112 @@ from pyspark.sql import functions as F
 from tessella.session import ship
 
 _CORNERS = "array<struct<x:double,y:double>>"
+# Numbers of well-known-binary kinds, and the names of kinds in feature files.
+WKB_KINDS = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}
 
 
-def read_geojson(spark: SparkSession, path: str, properties: dict[str, str]) -> DataFrame:
-    """One row per feature: its ``properties`` (name and type) and ``corners``, the outer ring of a polygon or the points of a line or point.
+def read_geojson(spark: SparkSession, path: str, properties: dict[str, str], by_line: bool = False) -> DataFrame:
+    """One row per feature: its ``properties`` (name and type), ``kind``, ``parts`` (see ``operators.shapes``; a line is a part of one
+    ring, a point one of one corner) and ``corners``, those of the first part's first ring.
 
-    Rings are closed in the file; the repeated last corner is left out.
+    A file is one collection, or, ``by_line``, holds a feature on each line and can be read by many tasks. Rings are closed in the file; the
+    repeated last corner is left out. A feature without a geometry has nulls; a geometry collection or an unknown kind is an error.
     """
     fields = ",".join(f"`{n}`:{t}" for n, t in properties.items())
-    kind = f"struct<features:array<struct<properties:struct<{fields}>,geometry:struct<type:string,coordinates:string>>>>"
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("f"))
-    rows = text.select(F.explode("f.features").alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("_t"), F.col("f.geometry.coordinates").alias("_c"))
-    ring = F.get(F.from_json("_c", "array<array<array<double>>>"), F.lit(0))
-    line, point = F.from_json("_c", "array<array<double>>"), F.array(F.from_json("_c", "array<double>"))
-    places = F.when(F.col("_t") == "Polygon", F.slice(ring, 1, F.greatest(F.lit(0), F.size(ring) - 1))).when(F.col("_t") == "LineString", line).when(F.col("_t") == "Point", point)
-    corners = F.transform(places, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))
-    return rows.withColumn("corners", corners).drop("_t", "_c")
+    one = f"struct<properties:struct<{fields}>,geometry:struct<type:string,coordinates:string>>"
+    if by_line:
+        rows = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", one).alias("f"))
+    else:
+        text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<features:array<{one}>>").alias("f"))
+        rows = text.select(F.explode("f.features").alias("f"))
+    rows = rows.select("f.properties.*", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("_c"))
+    deep = lambda n: F.from_json("_c", "array<" * n + "double" + ">" * n)
+    open_ring = lambda ring: F.slice(ring, 1, F.greatest(F.lit(0), F.size(ring) - 1))
+    closed = lambda part: F.transform(part, open_ring)
+    known = {
+        "Point": F.array(F.array(F.array(deep(1)))), "MultiPoint": F.transform(deep(2), lambda p: F.array(F.array(p))),
+        "LineString": F.array(F.array(deep(2))), "MultiLineString": F.transform(deep(3), lambda line: F.array(line)),
+        "Polygon": F.array(closed(deep(3))), "MultiPolygon": F.transform(deep(4), closed),
+    }
+    places = F.when(F.col("kind").isNull(), None)
+    for kind, value in known.items():
+        places = places.when(F.col("kind") == kind, value)
+    unknown = F.raise_error(F.concat(F.lit("geometry of kind "), F.col("kind"))).cast("array<array<array<array<double>>>>")
+    parts = F.transform(places.otherwise(unknown), lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))))
+    return rows.withColumn("parts", parts).withColumn("corners", F.get(F.get("parts", 0), 0)).drop("_c")
+
+
+def _wkb(data: bytes, at: int) -> tuple[str, list, int]:
+    """Kind and parts of the geometry that starts at a byte, and where it ends. Heights and measures are left out."""
+    order = "<" if data[at] == 1 else ">"
+    code = struct.unpack_from(order + "I", data, at + 1)[0]
+    at += 5 + 4 * bool(code & 0x20000000)  # the number of a reference system
+    more = bool(code & 0x80000000) + bool(code & 0x40000000) + (0, 1, 1, 2)[(code & 0xFFFF) // 1000 % 4]
+    kind = WKB_KINDS.get((code & 0xFFFF) % 1000)
+    if kind is None:
+        raise ValueError(f"geometry of type {code}")
+    width = 2 + more
+
+    def number() -> int:
+        nonlocal at
+        at += 4
+        return struct.unpack_from(order + "I", data, at - 4)[0]
+
+    def corners(n: int) -> list[dict]:
+        nonlocal at
+        values = struct.unpack_from(f"{order}{width * n}d", data, at)
+        at += 8 * width * n
+        return [{"x": x, "y": y} for x, y in zip(values[::width], values[1::width])]
+
+    if kind == "Point":
+        return kind, [[corners(1)]], at
+    if kind == "LineString":
+        return kind, [[corners(number())]], at
+    if kind == "Polygon":
+        return kind, [[corners(number())[:-1] for _ in range(number())]], at
+    parts = []
+    for _ in range(number()):
+        _, own, at = _wkb(data, at)
+        parts += own
+    return kind, parts, at
+
+
+def shape_of(data: bytes) -> dict:
+    """Kind and parts of a well-known-binary geometry; kinds that have no parts raise an error."""
+    kind, parts, _ = _wkb(data, 0)
+    return {"kind": kind, "parts": parts}
 
 
 def corners_of(data: bytes) -> list[dict]:
-    """Points of a well-known-binary point, line or polygon (its outer ring, without the repeated last corner)."""
-    order = "<" if data[0] == 1 else ">"
-    kind = struct.unpack_from(order + "I", data, 1)[0]
-    at = 5
-    if kind == 1:
-        n = 1
-    else:
-        if kind == 3:
-            at += 4
-        elif kind != 2:
-            raise ValueError(f"geometry type {kind}")
-        n = struct.unpack_from(order + "I", data, at)[0]
-        at += 4
-    values = struct.unpack_from(f"{order}{2 * n}d", data, at)
-    points = [{"x": x, "y": y} for x, y in zip(values[::2], values[1::2])]
-    return points[:-1] if kind == 3 else points
+    """Points of a well-known-binary point, line or polygon of one ring (without the repeated last corner); others raise an error."""
+    kind, parts, _ = _wkb(data, 0)
+    if len(parts) != 1 or len(parts[0]) != 1:
+        raise ValueError(f"{kind} of {len(parts)} parts and {sum(map(len, parts))} rings: read it as a shape")
+    return parts[0][0]
+
+
+def binary_of_shape(shape: dict) -> bytes:
+    """A shape in well-known binary: of the kind it has, or the one for several parts if it has several."""
+    kind, parts = shape["kind"].removeprefix("Multi"), shape["parts"]
+    code = {name: n for n, name in WKB_KINDS.items()}
+    pairs = lambda points: b"".join(struct.pack("<dd", p["x"], p["y"]) for p in points)
+
+    def one(part: list) -> bytes:
+        head = struct.pack("<BI", 1, code[kind])
+        if kind == "Point":
+            return head + pairs(part[0])
+        if kind == "LineString":
+            return head + struct.pack("<I", len(part[0])) + pairs(part[0])
+        return head + struct.pack("<I", len(part)) + b"".join(struct.pack("<I", len(ring) + 1) + pairs([*ring, ring[0]]) for ring in part)
+
+    if len(parts) == 1 and not shape["kind"].startswith("Multi"):
+        return one(parts[0])
+    return struct.pack("<BII", 1, code["Multi" + kind], len(parts)) + b"".join(map(one, parts))
 
 
 def binary_of(points: list[dict]) -> bytes:
     """A polygon of these corners in well-known binary."""
-    ring = [*points, points[0]]
-    return struct.pack("<BIII", 1, 3, 1, len(ring)) + b"".join(struct.pack("<dd", p["x"], p["y"]) for p in ring)
+    return binary_of_shape({"kind": "Polygon", "parts": [[points]]})
 
 
 def _converted(df: DataFrame, column: str, result: str, kind: str, arrow: pa.DataType, name: str) -> DataFrame:
@@ -74,10 +139,20 @@ def _converted(df: DataFrame, column: str, result: str, kind: str, arrow: pa.Dat
     return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", {result} {kind}")
 
 
+_PLACE = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+_PARTS = pa.list_(pa.list_(pa.list_(_PLACE)))
+_SHAPE = "struct<kind:string,parts:array<array<array<struct<x:double,y:double>>>>>"
+
+
 def parse_wkb(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``corners`` of the binary geometries in ``column``."""
-    place = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-    return _converted(df, column, "corners", _CORNERS, pa.list_(place), "corners_of")
+    """``df`` with ``corners`` of the binary geometries in ``column``, which have one part and one ring."""
+    return _converted(df, column, "corners", _CORNERS, pa.list_(_PLACE), "corners_of")
+
+
+def parse_wkb_shapes(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``kind`` and ``parts`` of the binary geometries in ``column``, whatever parts and rings they have."""
+    read = _converted(df, column, "_shape", _SHAPE, pa.struct([("kind", pa.string()), ("parts", _PARTS)]), "shape_of")
+    return read.withColumns({"kind": F.col("_shape.kind"), "parts": F.col("_shape.parts")}).drop("_shape")
 
 
 def to_wkb(df: DataFrame, column: str = "corners") -> DataFrame:
@@ -85,6 +160,12 @@ def to_wkb(df: DataFrame, column: str = "corners") -> DataFrame:
     return _converted(df, column, "wkb", "binary", pa.binary(), "binary_of")
 
 
+def shapes_to_wkb(df: DataFrame) -> DataFrame:
+    """``df`` (with ``kind`` and ``parts``) with ``wkb``."""
+    whole = F.when(F.col("parts").isNotNull(), F.struct("kind", F.col("parts").cast("array<array<array<struct<x:double,y:double>>>>").alias("parts")))
+    return _converted(df.withColumn("_shape", whole), "_shape", "wkb", "binary", pa.binary(), "binary_of_shape").drop("_shape")
+
+
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at ``path``, built and written there first if there is none."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -134,8 +215,12 @@ def paged(spark: SparkSession, fetch: Callable[[int, int], tuple[list[dict], boo
         start += block
 
 
-def geocoded(addresses: DataFrame, client: Callable[[list[dict]], list[dict]], schema: str, chunk: int = 500, tries: int = 3, wait: float = 1.0) -> DataFrame:
-    """What the client answers for each chunk of addresses; a chunk that fails in all tries gives no rows."""
+def geocoded(addresses: DataFrame, client: Callable[[list[dict]], list[dict]], schema: str, chunk: int = 500, tries: int = 3, wait: float = 1.0, failed: str | None = None) -> DataFrame:
+    """What the client answers for each chunk of addresses.
+
+    With ``failed``, the name of a new column, the addresses of a chunk that fails in all tries are rows of their own, true in that column,
+    with those of the schema's columns that addresses have too; other rows are false there. Without it such a chunk raises an error.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = addresses.sparkSession.createDataFrame([], schema).schema
@@ -145,13 +230,18 @@ def geocoded(addresses: DataFrame, client: Callable[[list[dict]], list[dict]], s
         for batch in batches:
             for start in range(0, batch.num_rows, chunk):
                 part = batch.slice(start, chunk).to_pylist()
+                lost = False
                 try:
                     rows = tried(lambda: client(part), tries, wait)  # noqa: B023
                 except ConnectionError:
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types)], names)
-
-    return addresses.mapInArrow(run, schema)
+                    if failed is None:
+                        raise
+                    rows, lost = part, True
+                columns = [pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types)]
+                marks = [] if failed is None else [pa.array([lost] * len(rows), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*columns, *marks], [*names, *([] if failed is None else [failed])])
+
+    return addresses.mapInArrow(run, schema if failed is None else f"{schema}, `{failed}` boolean")
 
 
 def download(spark: SparkSession, urls: list[tuple[str, int]], fetch: Callable[[str], bytes], folder: str, side_by_side: int = 4) -> DataFrame:

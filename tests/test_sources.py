@@ -53,8 +53,55 @@ def test_geocoding_in_chunks(spark):
         return [{"id": r["id"], "x": r["id"] / 2} for r in rows]
 
     df = spark.range(20).coalesce(1)
-    got = features.geocoded(df, client, "id bigint, x double", chunk=4, wait=0.0).collect()
-    assert sorted(r["id"] for r in got) == [i for i in range(20) if i // 4 != 3]
+    got = features.geocoded(df, client, "id bigint, x double", chunk=4, wait=0.0, failed="lost").collect()
+    assert sorted(r["id"] for r in got if not r["lost"]) == [i for i in range(20) if i // 4 != 3]
+    assert sorted((r["id"], r["x"]) for r in got if r["lost"]) == [(i, None) for i in range(12, 16)]
+    with pytest.raises(Exception, match="ConnectionError"):
+        features.geocoded(df, client, "id bigint, x double", chunk=4, wait=0.0).collect()
+
+
+def closed(part):
+    return [[*ring, ring[0]] for ring in part]
+
+
+def test_shapes_of_several_rings_and_parts(spark, tmp_path):
+    outer, hole, other = [[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0]], [[2.0, 2.0], [2.0, 4.0], [4.0, 4.0]], [[20.0, 0.0], [22.0, 0.0], [20.0, 3.0]]
+    kinds = {
+        "Point": [1.0, 2.0], "MultiPoint": [[1.0, 2.0], [3.0, 4.0]], "LineString": outer, "MultiLineString": [outer, hole],
+        "Polygon": closed([outer, hole]), "MultiPolygon": [closed([outer, hole]), closed([other])],
+    }
+    want = {
+        "Point": [[[[1.0, 2.0]]]], "MultiPoint": [[[[1.0, 2.0]]], [[[3.0, 4.0]]]], "LineString": [[outer]], "MultiLineString": [[outer], [hole]],
+        "Polygon": [[outer, hole]], "MultiPolygon": [[outer, hole], [other]],
+    }
+    rows = [{"type": "Feature", "properties": {"n": i}, "geometry": {"type": t, "coordinates": c}} for i, (t, c) in enumerate(kinds.items())] + [{"type": "Feature", "properties": {"n": 9}, "geometry": None}]
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": rows}, indent=1))
+    (tmp_path / "b.geojsonl").write_text("\n".join(map(json.dumps, rows)) + "\n\n")
+    plain = lambda parts: parts and [[[[p["x"], p["y"]] for p in ring] for ring in part] for part in parts]
+    for read in (features.read_geojson(spark, str(tmp_path / "a.geojson"), {"n": "int"}), features.read_geojson(spark, str(tmp_path / "b.geojsonl"), {"n": "int"}, by_line=True)):
+        assert {r["kind"]: plain(r["parts"]) for r in read.collect()} == want | {None: None}
+    back = features.parse_wkb_shapes(features.shapes_to_wkb(read).drop("parts", "kind"), "wkb").collect()
+    assert {r["kind"]: plain(r["parts"]) for r in back} == want | {None: None}
+    assert all(r["wkb"] is None or features.binary_of_shape(features.shape_of(bytes(r["wkb"]))) == bytes(r["wkb"]) for r in back)
+    rows.append({"type": "Feature", "properties": {"n": 7}, "geometry": {"type": "GeometryCollection", "geometries": []}})
+    (tmp_path / "c.geojson").write_text(json.dumps({"features": rows}))
+    with pytest.raises(Exception, match="GeometryCollection"):
+        features.read_geojson(spark, str(tmp_path / "c.geojson"), {"n": "int"}).collect()
+
+
+def test_binary_geometries_of_other_makes():
+    # big-endian, with heights; with the number of a reference system; collections and several rings raise
+    high = struct.pack(">BII", 0, 1002, 2) + struct.pack(">6d", 1, 2, 9, 3, 4, 9)
+    assert features.shape_of(high) == {"kind": "LineString", "parts": [[[{"x": 1.0, "y": 2.0}, {"x": 3.0, "y": 4.0}]]]}
+    known = struct.pack("<BIIdd", 1, 1 | 0x20000000, 4326, 5, 6)
+    assert features.corners_of(known) == [{"x": 5.0, "y": 6.0}]
+    measured = struct.pack("<BI4d", 1, 3001, 5, 6, 7, 8)
+    assert features.corners_of(measured) == [{"x": 5.0, "y": 6.0}]
+    with pytest.raises(ValueError):
+        features.shape_of(struct.pack("<BII", 1, 7, 0))
+    ring = [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 1.0, "y": 2.0}]
+    with pytest.raises(ValueError):
+        features.corners_of(features.binary_of_shape({"kind": "Polygon", "parts": [[ring, ring]]}))
 
 
 def test_downloads_and_coverage(spark, tmp_path):
