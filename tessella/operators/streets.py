@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.similarity import damerau_levenshtein, jaro_winkler
+from tessella.functions.similarity import jaro_winkler
 from tessella.operators.fuzzy import best_match
 from tessella.session import ship
 
@@ -71,36 +71,42 @@ def with_ordinals(df: DataFrame, column: str) -> DataFrame:
     return df.join(spelled, F.col(column) == F.col("_t"), "left").withColumn(column, F.col("_new")).drop("_t", "_new")
 
 
-def resolve(df: DataFrame, known: DataFrame, by: str, order: str, street: str = "street", reach: int = 31) -> DataFrame:
+def resolve(df: DataFrame, known: DataFrame, by: list[str], order: str, page: str, street: str = "street", reach: int = 31) -> DataFrame:
     """``df`` with ``match`` and ``round``, 1 to 4, or 0 where the street stands for itself; a null street has neither.
 
-    Round 1: equal to a known street (``known``: entry, pos). Round 2: rows in ``order`` within ``by`` whose street is like the row's
-    before it (Jaro-Winkler of 0.8) take its match, over ``reach`` rows at most. Round 3: the street is among its page's own, so it is
-    itself the page's best candidate, and takes the known street that is most like it (Damerau-Levenshtein). Round 4, a cutoff of 0.6 on the same
-    scores, is left with rows for which no street is known at all, and so with none; those keep their street.
+    Round 1: equal to a known street (``known``: entry, pos). Round 2: rows in ``order`` within ``by``, a city say, whose street is like the
+    row's before it (Jaro-Winkler of 0.8), whatever their pages, take its match, over ``reach`` rows at most. Round 3: on a ``page`` the
+    street is among the page's own, so it is itself the page's best candidate, and takes the known street that is most like it
+    (Damerau-Levenshtein), however little. Round 4: rows without a page, which have no candidates, take the known street that is most like
+    theirs from a similarity of 0.6 on. All that is left, as where no street is known, keeps its street.
     """
     ship(df.sparkSession)
     first = known.groupBy("entry").agg(F.min("pos").alias("pos"))
     rows = df.join(first.select(F.col("entry").alias("_known")), F.col(street) == F.col("_known"), "left")
-    w = Window.partitionBy(by).orderBy(order)
+    w = Window.partitionBy(*by).orderBy(order)
     rows = rows.withColumn("_before", F.lag(street).over(w))
     # each pair of neighbouring names is compared once
     pairs = rows.select(F.col(street).alias("_a"), F.col("_before").alias("_b")).where("_a is not null and _b is not null").distinct()
     pairs = pairs.withColumn("_like", jaro_winkler("_a", "_b") >= 0.8)
     rows = rows.join(pairs, (F.col(street) == F.col("_a")) & (F.col("_before") == F.col("_b")), "left").withColumn("_like", F.coalesce("_like", F.lit(False)))
     rows = rows.withColumn("_segment", F.sum(F.when(F.col("_like"), 0).otherwise(1)).over(w))
-    s = Window.partitionBy(by, "_segment").orderBy(order).rowsBetween(-reach, 0)
+    s = Window.partitionBy(*by, "_segment").orderBy(order).rowsBetween(-reach, 0)
     rows = rows.withColumn("_carried", F.last("_known", True).over(s))
-    open_ = rows.where(F.col("_carried").isNull() & F.col(street).isNotNull()).select(F.col(street).alias("_o"))
-    best = best_match(open_, "_o", first, damerau_levenshtein, -1.0).select("_o", F.col("match").alias("_best"))
-    rows = rows.join(best, F.col(street) == F.col("_o"), "left")
-    turn = F.when(F.col(street).isNull(), None).when(F.col("_known").isNotNull(), 1).when(F.col("_carried").isNotNull(), 2).when(F.col("_best").isNotNull(), 3).otherwise(0)
-    match = F.when(F.col(street).isNotNull(), F.coalesce("_known", "_carried", "_best", street))
-    return rows.withColumn("match", match).withColumn("round", turn).drop("_known", "_before", "_a", "_b", "_like", "_segment", "_carried", "_o", "_best")
+    unmatched = rows.where(F.col("_carried").isNull() & F.col(street).isNotNull())
+    paged = F.col(page).isNotNull()
+    # streets that only rows without a page have need no match below the cutoff
+    best = best_match(unmatched.where(paged).select(F.col(street).alias("_o")), "_o", first, "dl", 0.0)
+    rows = rows.join(best.select("_o", F.col("match").alias("_best")), F.col(street) == F.col("_o"), "left").drop("_o")
+    least = best_match(unmatched.where(~paged).select(F.col(street).alias("_o")), "_o", first, "dl", 0.6)
+    rows = rows.join(least.select("_o", F.col("match").alias("_least")), F.col(street) == F.col("_o"), "left")
+    third, fourth = F.when(paged, F.col("_best")), F.when(~paged, F.col("_least"))
+    turn = F.when(F.col(street).isNull(), None).when(F.col("_known").isNotNull(), 1).when(F.col("_carried").isNotNull(), 2).when(third.isNotNull(), 3).when(fourth.isNotNull(), 4).otherwise(0)
+    match = F.when(F.col(street).isNotNull(), F.coalesce("_known", "_carried", third, fourth, street))
+    return rows.withColumn("match", match).withColumn("round", turn).drop("_known", "_before", "_a", "_b", "_like", "_segment", "_carried", "_o", "_best", "_least")
 
 
 def renamed(df: DataFrame, changes: DataFrame, street: str = "match", cutoff: float = 0.7) -> DataFrame:
     """``df`` with the new name of a street that was renamed (``changes``: entry, pos, new_name); a duplicate entry gives a row for each."""
-    best = best_match(df.select(F.col(street).alias("_s")), "_s", changes.groupBy("entry").agg(F.min("pos").alias("pos")), damerau_levenshtein, cutoff)
+    best = best_match(df.select(F.col(street).alias("_s")), "_s", changes.groupBy("entry").agg(F.min("pos").alias("pos")), "dl", cutoff)
     named = best.join(changes.select(F.col("entry").alias("match"), "new_name"), "match").select("_s", F.col("match").alias("old_name"), "new_name")
     return df.join(named, F.col(street) == F.col("_s"), "left").drop("_s")

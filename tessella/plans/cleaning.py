@@ -71,23 +71,29 @@ def ordinal_words_fuzzy(t):
     return streets.with_ordinals(typed, "street").select("p_partkey", "street")
 
 
+# every third street has letters of its own, and every seventh row no page
 _ROWS = """with k as (select p_name as entry, min(p_partkey) as pos from part group by 1),
- r as (select c_custkey as id, c_nationkey as page, case c_custkey % 5 when 0 then p_name when 1 then p_name || 's' when 2 then substr(p_name, 2) when 3 then null else p_name end as street from customer join part on p_partkey = 1 + (c_custkey // 3) % 50) """
+ r as (select c_custkey as id, n_regionkey as city, case when c_custkey % 7 = 0 then null else c_custkey // 40 end as page, case c_custkey % 5 when 0 then p_name when 1 then p_name || 's' when 2 then substr(p_name, 2) when 3 then null
+  else case c_custkey % 3 when 0 then 'zq' || c_custkey % 11 || 'xx' when 1 then left(p_name, 6) else p_name end end as street from customer join nation on c_nationkey = n_nationkey join part on p_partkey = 1 + (c_custkey // 3) % 50) """
 
 
-@query(_ROWS + """, a as (select r.*, k.entry as known, lag(street) over (partition by page order by id) as prev from r left join k on street = k.entry),
- s as (select *, sum(case when street is not null and prev is not null and jaro_winkler_similarity(street, prev) >= 0.8 then 0 else 1 end) over (partition by page order by id) as seg from a),
- v as (select *, last_value(known ignore nulls) over (partition by page, seg order by id rows between 31 preceding and current row) as carried from s),
- b as (select street as o, entry as best from (select street, entry, row_number() over (partition by street order by round(1 - damerau_levenshtein(street, entry) / greatest(length(street), length(entry)), 12) desc, pos) as n from (select distinct street from v where carried is null and street is not null), k) where n = 1)
- select id, case when street is not null then coalesce(known, carried, best, street) end as match, cast(case when street is null then null when known is not null then 1 when carried is not null then 2 when best is not null then 3 else 0 end as int) as round from v left join b on street = o""")
+@query(_ROWS + """, a as (select r.*, k.entry as known, lag(street) over (partition by city order by id) as prev from r left join k on street = k.entry),
+ s as (select *, sum(case when street is not null and prev is not null and jaro_winkler_similarity(street, prev) >= 0.8 then 0 else 1 end) over (partition by city order by id) as seg from a),
+ v as (select *, last_value(known ignore nulls) over (partition by city, seg order by id rows between 31 preceding and current row) as carried from s),
+ b as (select street as o, entry as best, score from (select street, entry, score, row_number() over (partition by street order by round(score, 12) desc, pos) as n
+  from (select street, entry, pos, 1 - damerau_levenshtein(street, entry) / greatest(length(street), length(entry)) as score from (select distinct street from v where carried is null and street is not null), k)) where n = 1)
+ select id, case when street is not null then coalesce(known, carried, case when page is not null or round(score, 12) >= 0.6 then best end, street) end as match,
+  cast(case when street is null then null when known is not null then 1 when carried is not null then 2 when page is not null then 3 when round(score, 12) >= 0.6 then 4 else 0 end as int) as round from v left join b on street = o""")
 def street_resolver(t):
     known = t.part.groupBy(c("p_name").alias("entry")).agg(F.min("p_partkey").alias("pos"))
     names = t.part.select("p_partkey", "p_name")
-    k = c("c_custkey") % 5
-    street = F.when(k == 1, F.concat("p_name", F.lit("s"))).when(k == 2, F.expr("substr(p_name, 2)")).when(k != 3, c("p_name"))
-    rows = t.customer.withColumn("p_partkey", 1 + F.expr("c_custkey div 3") % 50).join(names, "p_partkey")
-    rows = rows.select(c("c_custkey").alias("id"), c("c_nationkey").alias("page"), street.alias("street"))
-    return streets.resolve(rows, known, "page", "id").select("id", "match", "round")
+    city = F.broadcast(t.nation.select("n_nationkey", c("n_regionkey").alias("city")))  # one row per nation
+    key = c("c_custkey")
+    own = F.when(key % 3 == 0, F.concat(F.lit("zq"), (key % 11).cast("string"), F.lit("xx"))).when(key % 3 == 1, F.expr("left(p_name, 6)")).otherwise(c("p_name"))
+    street = F.when(key % 5 == 0, c("p_name")).when(key % 5 == 1, F.concat("p_name", F.lit("s"))).when(key % 5 == 2, F.expr("substr(p_name, 2)")).when(key % 5 == 4, own)
+    rows = t.customer.join(city, c("c_nationkey") == c("n_nationkey")).withColumn("p_partkey", 1 + F.expr("c_custkey div 3") % 50).join(names, "p_partkey")
+    rows = rows.select(key.alias("id"), "city", F.when(key % 7 != 0, F.expr("c_custkey div 40")).alias("page"), street.alias("street"))
+    return streets.resolve(rows, known, ["city"], "id", "page").select("id", "match", "round")
 
 
 @query(_P + """, h as (select id, x / 100 as ax, y / 100 as ay, y / 100 as bx, x / 100 as by_, lag(x) over (order by id) / 100 as px, lag(y) over (order by id) / 100 as py from p),

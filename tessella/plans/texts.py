@@ -87,14 +87,13 @@ def _dictionary(t):
 @query(_DICT + "select dirty, entry as match, round(score, 6) as score from (select *, row_number() over (partition by dirty order by score desc, pos) as n from (select dirty, entry, pos, 1 - damerau_levenshtein(dirty, entry) / greatest(length(dirty), length(entry)) as score from l, d) where score >= 0.6) where n = 1")
 def fuzzy_best_match_dl(t):
     dirty, entries = _dictionary(t)
-    return best_match(dirty, "dirty", entries, damerau_levenshtein, 0.6).withColumn("score", F.round("score", 6))
+    return best_match(dirty, "dirty", entries, "dl", 0.6).withColumn("score", F.round("score", 6))
 
 
 @query(_DICT + "select dirty, entry as match, round(score, 6) as score from (select *, row_number() over (partition by dirty order by round(score, 12) desc, pos) as n from (select dirty, entry, pos, jaro_winkler_similarity(dirty, entry) as score from l, d) where score >= 0.8) where n = 1")
 def fuzzy_best_match_jw(t):
     dirty, entries = _dictionary(t)
-    rounded = lambda a, b: F.round(jaro_winkler(a, b), 12)
-    return best_match(dirty, "dirty", entries, rounded, 0.8).withColumn("score", F.round("score", 6))
+    return best_match(dirty, "dirty", entries, "jw", 0.8).withColumn("score", F.round("score", 6))
 
 
 @query("select n_nationkey, 'City_' || upper(left(lower(n_name), 1)) || substr(lower(n_name), 2) as label from nation where n_name not like '% %'")
