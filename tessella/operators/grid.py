@@ -58,15 +58,27 @@ def segment_meets_box(x1, y1, x2, y2, minx, miny, maxx, maxy) -> Column:
     return F.greatest(F.lit(0.0), *[c[0] for c in clips]) <= F.least(F.lit(1.0), *[c[1] for c in clips])
 
 
+def stepped(segments: DataFrame, step: float, width: float = 0.0) -> DataFrame:
+    """``segments`` (x1, y1, x2, y2) with the cells (ix, iy) that may lie within ``width`` of each, edges included: as many as it is long.
+
+    A segment is followed by columns of cells; in a column it takes the rows that it reaches there.
+    """
+    c = F.col
+    low = lambda v: (F.ceil(v / step) - 1).cast("int")
+    high = lambda v: F.floor(v / step).cast("int")
+    wide = segments.withColumn("ix", F.explode(F.sequence(low(F.least("x1", "x2") - width), high(F.greatest("x1", "x2") + width))))
+    dx, dy, room = c("x2") - c("x1"), c("y2") - c("y1"), width + 1e-9 * step
+    # where along the segment the column, widened, begins and ends
+    t = [F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(edge - c("x1"), dx), F.lit(other)))) for edge, other in ((c("ix") * step - room, 0.0), ((c("ix") + 1) * step + room, 1.0))]
+    ys = [c("y1") + k * dy for k in t]
+    return wide.withColumn("iy", F.explode(F.sequence(low(F.least(*ys) - room), high(F.greatest(*ys) + room))))
+
+
 def segment_cells(segments: DataFrame, step: float, keep: list[str]) -> DataFrame:
     """(keep..., ix, iy) of the cells that each segment x1, y1, x2, y2 meets, edges included."""
     c = F.col
-    low = lambda a, b: (F.ceil(F.least(c(a), c(b)) / step) - 1).cast("int")
-    high = lambda a, b: F.floor(F.greatest(c(a), c(b)) / step).cast("int")
-    wide = segments.withColumn("ix", F.explode(F.sequence(low("x1", "x2"), high("x1", "x2"))))
-    wide = wide.withColumn("iy", F.explode(F.sequence(low("y1", "y2"), high("y1", "y2"))))
     box = (c("ix") * step, c("iy") * step, (c("ix") + 1) * step, (c("iy") + 1) * step)
-    return wide.where(segment_meets_box(c("x1"), c("y1"), c("x2"), c("y2"), *box)).select(*keep, "ix", "iy")
+    return stepped(segments, step).where(segment_meets_box(c("x1"), c("y1"), c("x2"), c("y2"), *box)).select(*keep, "ix", "iy")
 
 
 def point_segment_distance(px, py, x1, y1, x2, y2) -> Column:

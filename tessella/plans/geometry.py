@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessella.operators import geometry, raster, shapes
+from tessella.operators import geometry, linework, raster, shapes
 from tessella.plans.registry import query
 from tessella.plans.spatial import STEP, _P, _R, _points, _raster
 from tessella.sources import features
@@ -121,6 +121,35 @@ def overlay_difference(t):
     return left.groupBy("id").agg(F.sum(c("high") - c("low")).cast("bigint").alias("length"))
 
 
+@query("with " + _ROADS + """, u as (select id, line, unnest(range(cast(low as bigint), cast(high as bigint))) as k from r where p = '1-URGENT'), o as (select distinct line, unnest(range(cast(low as bigint), cast(high as bigint))) as k from r where p = '2-HIGH')
+ select id, 5 * count(*) as length from u where not exists (select 1 from o where o.line = u.line and o.k = u.k) group by 1""")
+def line_difference_plane(t):
+    # the same roads as segments in the plane, of two directions, without their lines' names
+    low, line = (c("o_orderkey") % 997).cast("double"), c("o_custkey") % 100
+    high = low + 5 + c("o_custkey") % 20
+    way = [F.when(line % 2 == 0, a).otherwise(b) for a, b in ((3.0, 4.0), (4.0, -3.0))]
+    x, y = (lambda at: line * 10_000.0 + at * way[0]), (lambda at: at * way[1])
+    ends = [x(low).alias("x1"), y(low).alias("y1"), x(high).alias("x2"), y(high).alias("y2")]
+    roads = t.orders.select(c("o_orderkey").alias("id"), c("o_orderpriority").alias("p"), *ends)
+    left = linework.line_difference(roads.where("p = '1-URGENT'").drop("p"), roads.where("p = '2-HIGH'").drop("p"), 300.0, 1e-6)
+    return left.groupBy("id").agg(F.round(F.sum(F.hypot(c("x2") - c("x1"), c("y2") - c("y1")))).cast("bigint").alias("length"))
+
+
+_LATTICE = "s as (select p_size % 5 as zone, p_partkey * 31 % 211 as x, p_partkey * 47 % 97 as y, 1 + p_size % 3 as n from part), u as (select distinct zone, x + i as x, y + j as y from s, range(0, 3) a(i), range(0, 3) b(j) where i < n and j < n)"
+
+
+@query("with " + _LATTICE + """, e as (select u.*, (select count(*) from range(0, 4) d(k) where not exists (select 1 from u v where v.zone = u.zone and v.x = u.x + [0, 1, 0, -1][k + 1] and v.y = u.y + [1, 0, -1, 0][k + 1])) as open from u)
+ select cast(zone as int) as zone, count(*) as area, cast(sum(open) as bigint) as length from e group by 1""")
+def dissolve_outline(t):
+    # squares of one to three units, turned and drawn to five times their size, united by zone
+    x, y, n = (c("p_partkey") * 31 % 211), (c("p_partkey") * 47 % 97), 1 + c("p_size") % 3
+    corner = lambda i, j: F.struct((3.0 * (x + i * n) - 4.0 * (y + j * n)).alias("x"), (4.0 * (x + i * n) + 3.0 * (y + j * n)).alias("y"))
+    squares = t.part.select((c("p_size") % 5).cast("int").alias("zone"), F.array(F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)))).alias("parts"))
+    pieces = linework.outline(squares, ["zone"], 12.0)
+    area, length = F.sum(c("x1") * c("y2") - c("x2") * c("y1")) / 2, F.sum(F.hypot(c("x2") - c("x1"), c("y2") - c("y1")))
+    return pieces.groupBy("zone").agg(F.round(area / 25).cast("bigint").alias("area"), F.round(length / 5).cast("bigint").alias("length"))
+
+
 def _centroids(t):
     k = c("n_nationkey")
     return t.nation.select(F.lit(0).alias("city"), (k + 1).cast("bigint").alias("id"), ((k * 7919 + 100) % 3001).cast("double").alias("x"), ((k * 3079 + 300) % 2003).cast("double").alias("y"))
