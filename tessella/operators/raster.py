@@ -73,43 +73,145 @@ def mosaic(tiles: list[DataFrame], place: list[str], value: str) -> DataFrame:
 
 
 def network(channels: int, seed: int) -> list[dict]:
-    """Untrained weights of the net: convolutions of 5, 11 (dilated by 2), 5 and 11, widths 2, 4, 4 times ``channels`` and 1."""
+    """Untrained weights of the net: convolutions of 5, 11 (dilated by 2), 5 and 11, widths 2, 4, 4 times ``channels`` and 1.
+
+    All but the last are followed by a normalisation with a scale and a shift for each channel.
+    """
     rng = np.random.default_rng(seed)
     widths, kernels, dilations = [channels, 2 * channels, 4 * channels, 4 * channels, 1], (5, 11, 5, 11), (1, 2, 1, 2)
     layers = []
     for n_in, n_out, k, d in zip(widths[:-1], widths[1:], kernels, dilations):
         bound = 1 / np.sqrt(n_in * k * k)
         layers.append({"weight": rng.uniform(-bound, bound, (n_out, n_in, k, k)), "bias": rng.uniform(-bound, bound, n_out), "dilation": d})
+        if n_out > 1:
+            layers[-1] |= {"scale": np.ones(n_out), "shift": np.zeros(n_out)}
     return layers
 
 
 def convolved(x: np.ndarray, layer: dict) -> np.ndarray:
-    """A convolution with the edge repeated outwards; x is (channels, height, width) and keeps its size."""
+    """A convolution with the edge repeated outwards; x is (..., channels, height, width) and keeps its size."""
     weight, d = layer["weight"], layer["dilation"]
     k = weight.shape[2]
     pad = d * (k - 1) // 2
-    wide = np.pad(x, ((0, 0), (pad, pad), (pad, pad)), mode="edge")
-    h, w = x.shape[1:]
-    out = np.zeros((weight.shape[0], h, w))
+    batch = x.reshape(-1, *x.shape[-3:])
+    wide = np.pad(batch, ((0, 0), (0, 0), (pad, pad), (pad, pad)), mode="edge")
+    h, w = x.shape[-2:]
+    out = np.zeros((weight.shape[0], len(batch), h, w))
     for a in range(k):
         for b in range(k):
-            out += np.tensordot(weight[:, :, a, b], wide[:, a * d : a * d + h, b * d : b * d + w], axes=1)
-    return out + layer["bias"][:, None, None]
+            out += np.tensordot(weight[:, :, a, b], wide[:, :, a * d : a * d + h, b * d : b * d + w], axes=(1, 1))
+    out = np.moveaxis(out, 0, 1) + layer["bias"][:, None, None]
+    return out.reshape(*x.shape[:-3], *out.shape[1:])
 
 
 def forward(x: np.ndarray, layers: list[dict]) -> np.ndarray:
-    """A logit per cell: convolutions with each channel normalised over the image and a leaky ramp between them."""
+    """A logit per cell: convolutions with each channel normalised over its image, scaled and shifted, and a leaky ramp between them.
+
+    x is one image (channels, height, width) or a batch of them, each of which is normalised by itself.
+    """
     for i, layer in enumerate(layers):
         x = convolved(x, layer)
         if i < len(layers) - 1:
-            mean, var = x.mean(axis=(1, 2), keepdims=True), x.var(axis=(1, 2), keepdims=True)
+            mean, var = x.mean(axis=(-2, -1), keepdims=True), x.var(axis=(-2, -1), keepdims=True)
             x = (x - mean) / np.sqrt(var + 1e-5)
+            x = x * layer.get("scale", np.ones(x.shape[-3]))[:, None, None] + layer.get("shift", np.zeros(x.shape[-3]))[:, None, None]
             x = np.where(x > 0, x, 0.01 * x)
-    return x[0]
+    return x[..., 0, :, :]
+
+
+def tile_logits(image: np.ndarray, anchors: np.ndarray, layers: list[dict], window: int, batch: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of logits and numbers of patches for each cell of an image (channels, height, width).
+
+    A patch of ``window`` cells is anchored at each of ``anchors`` (row, col of its upper left corner); ``batch`` of them are worked at once.
+    """
+    sums, counts = np.zeros(image.shape[1:]), np.zeros(image.shape[1:], dtype=np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(image, (window, window), axis=(1, 2))
+    for at in range(0, len(anchors), batch):
+        some = anchors[at : at + batch]
+        logits = forward(np.ascontiguousarray(views[:, some[:, 0], some[:, 1]].swapaxes(0, 1)), layers)
+        for (r, k), logit in zip(some.tolist(), logits):
+            sums[r : r + window, k : k + window] += logit
+            counts[r : r + window, k : k + window] += 1
+    return sums, counts
+
+
+def predict_patches(cells: DataFrame, by: str, features: list[str], layers: list[dict], window: int = 18, tile: int = 32, batch: int = 32) -> DataFrame:
+    """by, row, col, logit and prob of every cell (row and col from 0): the mean over all patches that hold it, a patch around each cell.
+
+    A cell's patch begins window // 2 above and left of it; where it holds no cell, and where a feature is null, it is 0. The raster is dealt to tiles of
+    ``tile`` cells, each with a halo of the cells that its patches reach, so a task holds one tile, however large a city is; what a tile
+    found for a cell is summed up with what others found.
+    """
+    ship(cells.sparkSession)
+    sent = cells.sparkSession.sparkContext.broadcast(layers)  # some thousand numbers
+    before, after = window - window // 2 - 1, window // 2
+    kind = dict(cells.dtypes)[by]
+
+    def around(name: str) -> Column:
+        """The tiles whose patches hold the cell: those of the anchors from ``before`` cells before it to ``after`` behind it."""
+        low, high = F.floor((c(name) - before) / tile), F.floor((c(name) + after) / tile)
+        return F.explode(F.sequence(low.cast("int"), high.cast("int")))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        from tessella.operators.raster import tile_logits as work
+
+        top, left = int(frame["tr"].iloc[0]) * tile - window // 2, int(frame["tc"].iloc[0]) * tile - window // 2
+        rows, cols = frame["row"].to_numpy() - top, frame["col"].to_numpy() - left
+        image = np.zeros((len(features), tile + window - 1, tile + window - 1))
+        for k, name in enumerate(features):
+            image[k, rows, cols] = frame[name].astype(float).fillna(0.0).to_numpy()
+        own = (rows >= window // 2) & (rows < tile + window // 2) & (cols >= window // 2) & (cols < tile + window // 2)
+        anchors = np.column_stack([rows[own], cols[own]]) - window // 2
+        sums, counts = work(image, anchors, sent.value, window, batch)
+        out = pd.DataFrame({by: frame[by], "row": frame["row"], "col": frame["col"], "s": sums[rows, cols], "n": counts[rows, cols]})
+        return out[out["n"] > 0]
+
+    dealt = cells.select(by, "row", "col", *features).withColumn("tr", around("row")).withColumn("tc", around("col"))
+    parts = dealt.groupBy(by, "tr", "tc").applyInPandas(run, f"`{by}` {kind}, row int, col int, s double, n bigint")
+    logit = F.sum("s") / F.sum("n")
+    return parts.groupBy(by, "row", "col").agg(logit.alias("logit")).withColumn("prob", 1 / (1 + F.exp(-c("logit"))))
+
+
+def resampling(side: int, angle: float, down: float, right: float) -> np.ndarray:
+    """The weights by which a patch's cells, turned counter-clockwise by ``angle`` degrees about the middle and then moved, make up the new
+    cells: bilinear between the four around a place, 0 outside."""
+    turn, middle = np.radians(angle), (side - 1) / 2
+    i, j = np.mgrid[0:side, 0:side].reshape(2, -1)
+    y, x = i - down - middle, j - right - middle
+    # where a new cell was before: rows count downwards
+    at = np.cos(turn) * y + np.sin(turn) * x + middle, -np.sin(turn) * y + np.cos(turn) * x + middle
+    low = [np.floor(v + 1e-9).astype(int) for v in at]
+    out = np.zeros((side * side, side * side))
+    for a in (0, 1):
+        for b in (0, 1):
+            share = np.abs(1 - a - (at[0] - low[0])) * np.abs(1 - b - (at[1] - low[1]))
+            r, k = low[0] + a, low[1] + b
+            held = (r >= 0) & (r < side) & (k >= 0) & (k < side) & (share > 1e-9)
+            np.add.at(out, (np.flatnonzero(held), r[held] * side + k[held]), share[held])
+    return out
+
+
+def moved_patches(df: DataFrame, side: int, moves: list[tuple[float, float, float]]) -> DataFrame:
+    """Each patch (column ``patch``, row by row) under each of ``moves`` (angle, down, right): columns ``angle``, ``down``, ``right``; see ``resampling``."""
+    ship(df.sparkSession)
+    others = [n for n in df.columns if n != "patch"]
+
+    def run(batches):
+        from tessella.operators.raster import resampling as weights
+
+        tables = [weights(side, *m) for m in moves]
+        for batch in batches:
+            if len(batch):
+                flat = np.stack(batch["patch"].to_list())
+                for (angle, down, right), table in zip(moves, tables):
+                    yield batch[others].assign(angle=angle, down=down, right=right, patch=list(flat @ table.T))
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != "patch")
+    return df.mapInPandas(run, f"{kinds}, angle double, down double, right double, patch array<double>")
 
 
 def infer(cells: DataFrame, city: str, features: list[str], layers: list[dict]) -> DataFrame:
-    """city, row, col, logit and prob; a city's raster is one task's work, as the net looks at whole images. Weights are sent along."""
+    """city, row, col, logit and prob from whole images, each of which is one task's work; large rasters are for ``predict_patches``."""
     ship(cells.sparkSession)
     spark = cells.sparkSession
     sent = spark.sparkContext.broadcast(layers)  # some thousand numbers

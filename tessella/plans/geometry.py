@@ -1,5 +1,6 @@
 """Polygons, rays, corridors, line work and rasters over the driver's tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.operators import geometry, linework, raster, shapes
@@ -238,6 +239,29 @@ def mosaic_tiles(t):
 
 @query()
 def cnn_inference(t):
+    # logits averaged over the patches of 18 cells around all cells; the raster of each city is dealt to tiles
     weights = raster.network(channels=1, seed=42)
     cells = _raster(t).select((c("i") % 4).cast("int").alias("city"), F.floor(c("i") / 4).cast("int").alias("row"), c("j").cast("int").alias("col"), (c("z") / 100).alias("z"))
-    return raster.infer(cells, "city", ["z"], weights)
+    return raster.predict_patches(cells, "city", ["z"], weights)
+
+
+@query(_R + """, a as (select i as ai, j as aj from r), w as (select ai, aj, ai - 2 + x.d as i, aj - 2 + y.d as j from a, range(0, 4) x(d), range(0, 4) y(d)),
+ v as (select w.*, greatest(ai - 2, least(ai + 1, i + p.d)) as ni, greatest(aj - 2, least(aj + 1, j + q.d)) as nj from w, range(-1, 2) p(d), range(-1, 2) q(d)),
+ l as (select ai, aj, v.i, v.j, sum(coalesce(n.z, 0)) / 9 as logit from v left join r n on n.i = ni and n.j = nj group by 1, 2, 3, 4)
+ select l.i, l.j, round(avg(logit), 6) as logit from l join r on r.i = l.i and r.j = l.j group by 1, 2""")
+def patch_prediction(t):
+    # a net of one smoothing layer, so that SQL can follow it: patches of 4 cells with their edge repeated, averaged where they overlap
+    layer = {"weight": np.full((1, 1, 3, 3), 1 / 9), "bias": np.zeros(1), "dilation": 1}
+    cells = _raster(t).select(F.lit(0).alias("city"), c("i").cast("int").alias("row"), c("j").cast("int").alias("col"), "z")
+    found = raster.predict_patches(cells, "city", ["z"], [layer], window=4, tile=16)
+    return found.select(c("row").cast("bigint").alias("i"), c("col").cast("bigint").alias("j"), F.round("logit", 6).alias("logit"))
+
+
+@query(_R + """, m(angle, down, right_) as (values (90.0, 0.0, 0.0), (0.0, 0.5, 0.0), (180.0, 0.0, 1.0)), k as (select a.i, a.j, angle, down, right_, x.d as di, y.d as dj from r a, m, range(-1, 2) x(d), range(-1, 2) y(d)),
+ -- the cells that a new cell is made of, with their weights
+ s as (select *, dj as si, -di as sj, 1.0 as w from k where angle = 90 union all select *, di, dj, 0.5 from k where down = 0.5 union all select *, di - 1, dj, 0.5 from k where down = 0.5 union all select *, -di, 1 - dj, 1.0 from k where angle = 180)
+ select s.i, s.j, angle, down, right_ as right, round(sum(case when si between -1 and 1 and sj between -1 and 1 then w * coalesce(b.z, 0) else 0 end * (3 * (di + 1) + dj + 2)), 3) as checksum from s left join r b on b.i = s.i + si and b.j = s.j + sj group by all""")
+def moved_patches(t):
+    moved = raster.moved_patches(raster.patches(_raster(t), 1), 3, [(90.0, 0.0, 0.0), (0.0, 0.5, 0.0), (180.0, 0.0, 1.0)])
+    total = F.aggregate(F.transform("patch", lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, v: a + v)
+    return moved.select("i", "j", "angle", "down", "right", F.round(total, 3).alias("checksum"))

@@ -53,5 +53,5 @@ def load_weights(spark: SparkSession, path: str) -> tuple[list[dict], dict]:
     stored = np.load(io.BytesIO(bytes(spark.read.parquet(path).first()["data"])))
     state = {k[6:]: stored[k].item() for k in stored.files if k.startswith("state_")}
     numbers = sorted({int(k.rsplit("_", 1)[1]) for k in stored.files if not k.startswith("state_")})
-    layers = [{n: stored[f"{n}_{i}"] for n in ("weight", "bias", "dilation")} for i in numbers]
+    layers = [{n: stored[f"{n}_{i}"] for n in ("weight", "bias", "dilation", "scale", "shift") if f"{n}_{i}" in stored.files} for i in numbers]
     return [layer | {"dilation": int(layer["dilation"])} for layer in layers], state
