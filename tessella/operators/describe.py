@@ -5,23 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.sequence import running
 
-def ranked(df: DataFrame, value: str, tie: str, parts: int = 64) -> DataFrame:
-    """``rank`` from 1 by (value, tie): ranks are counted inside ranges of the value and offset by the ranges before."""
-    edges = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)]).alias("e"))
-    cut = df.crossJoin(F.broadcast(edges)).withColumn("_p", F.size(F.filter("e", lambda e: e < F.col(value)))).drop("e")  # one row
-    sizes = cut.groupBy("_p").agg(F.count("*").alias("_n"))  # at most ``parts`` rows
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(value, tie))
-    return cut.join(F.broadcast(offsets), "_p").withColumn("rank", own + F.col("_o")).drop("_p", "_o")
 
+def ranked(df: DataFrame, value: str, tie: str) -> DataFrame:
+    """``rank`` from 1 by (value, tie)."""
+    return running(df, [], [value, tie], {}).withColumnRenamed("place", "rank")
 
-def gini(df: DataFrame, value: str, tie: str) -> DataFrame:
-    """Gini coefficient of positive values."""
-    r = ranked(df, value, tie).agg(
-        F.sum(F.col("rank") * F.col(value)).alias("rx"), F.sum(value).alias("s"), F.count("*").alias("n")
-    )
+
+def gini(df: DataFrame, value: str) -> DataFrame:
+    """Gini coefficient of positive values, from each distinct value and how many rows hold it, which together take ranks in a row."""
+    held = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    upto = running(held, [], ["v"], {"high": F.col("n")})
+    rank = F.col("n") * (F.col("high") - F.col("n")) + F.col("n") * (F.col("n") + 1) / 2
+    r = upto.agg(F.sum(rank * F.col("v")).alias("rx"), F.sum(F.col("n") * F.col("v")).alias("s"), F.sum("n").alias("n"))
     return r.select(F.round((2 * F.col("rx") - (F.col("n") + 1) * F.col("s")) / (F.col("n") * F.col("s")), 8).alias("gini"))
 
 

@@ -261,7 +261,7 @@ def prob_bins(t):
 def gini(t):
     from tessella.operators.describe import gini as of
 
-    return of(t.customer.where("c_acctbal > 0"), "c_acctbal", "c_custkey")
+    return of(t.customer.where("c_acctbal > 0"), "c_acctbal")
 
 
 @query("select round(avg((l_discount >= 0.05)::int), 8) as recall, round(avg(l_discount), 8) as mean_prob, (select count(*) from lineitem where l_discount >= 0.05) as pool from lineitem where l_returnflag = 'R'")

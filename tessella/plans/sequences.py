@@ -37,26 +37,28 @@ def sandwich_fill(t):
     return sequence.sandwich(rows, "street", ["page"], "id").select("id", "filled")
 
 
-@query(_E + """, a as (select id, page, own, case when num is null and own is distinct from 1 then lag(num) over (partition by page order by id) else num end as x from e)
- select id, case when x is null and own = 1 then lag(x) over (partition by page order by id) + 2 else x end as number from a""")
+@query(_E + """, t as (select *, case when id % 13 <> 0 then id // 6 end as road from e), a as (select *, coalesce(road = lag(road) over w, false) as same, lag(num) over w as before from t window w as (partition by page order by id)),
+ b as (select *, case when num is null and own is distinct from 1 and same then before else num end as x from a)
+ select id, case when x is null and own = 1 and same then lag(x) over (partition by page order by id) + 2 else x end as number from b""")
 def lag_fill_conditional(t):
-    w = Window.partitionBy("page").orderBy("id")
-    rent = F.when(c("num").isNull() & ~c("own").eqNullSafe(1), F.lag("num").over(w)).otherwise(c("num"))
-    first = _rows(t).withColumn("x", rent)
-    return first.select("id", F.when(c("x").isNull() & (c("own") == 1), F.lag("x").over(w) + 2).otherwise(c("x")).alias("number"))
+    rows = _rows(t).withColumn("road", F.when(c("id") % 13 != 0, F.expr("id div 6")))
+    return sequence.fill_numbers(rows, "num", "road", c("own") == 1, ["page"], "id").select("id", c("filled").alias("number"))
 
 
-@query("select user_id, event_id, round(case when n >= 10 then m end + 0.00000001, 6) as mean from (select user_id, event_id, avg(value) over w as m, count(*) over w as n from events window w as (partition by user_id % 5 order by event_id rows between 25 preceding and 24 following))")
+@query("select user_id, event_id, round(case when n >= 10 then m end + 0.00000001, 6) as mean from (select user_id, event_id, avg(value) over w as m, count(value) over w as n from events window w as (partition by user_id % 5 order by event_id rows between 25 preceding and 24 following))")
 def rolling_mean_centered(t):
-    w = Window.partitionBy(c("user_id") % 5).orderBy("event_id").rowsBetween(-25, 24)
-    return t.events.select("user_id", "event_id", F.round(F.when(F.count("*").over(w) >= 10, F.avg("value").over(w)) + 0.00000001, 6).alias("mean"))
+    rows = t.events.select("user_id", "event_id", "value", (c("user_id") % 5).alias("g"))
+    means = sequence.centred_mean(rows, "value", ["g"], ["event_id"], least=50, part=1 << 60)
+    return means.select("user_id", "event_id", F.round(c("mean") + 0.00000001, 6).alias("mean"))
 
 
-@query("""with n as (select event_type, count(*) as n from events group by 1), e as (select events.*, greatest(50, n // 20) as width from events join n using (event_type))
- select event_id, round(case when k >= 10 then m end + 0.0000001, 4) as mean from (select event_id, avg(value) over w as m, count(value) over w as k from e window w as (partition by event_type order by event_id rows between width // 2 preceding and (width - 1) // 2 following))""")
+@query("""with n as (select event_type, count(*) as n from events group by 1), e as (select events.*, event_id // 3 as tied, greatest(50, n // 20) as width from events join n using (event_type))
+ select event_id, round(case when k >= 10 then m end + 0.00000001, 6) as mean from (select event_id, avg(value) over w as m, count(value) over w as k from e window w as (partition by event_type order by tied, event_id desc rows between width // 2 preceding and (width - 1) // 2 following))""")
 def rolling_mean_sized(t):
-    means = sequence.centred_mean(t.events.select("event_id", "event_type", "value"), "value", ["event_type"], "event_id")
-    return means.select("event_id", F.round(c("mean") + 0.0000001, 4).alias("mean"))
+    # the order ties in threes; what tells rows apart runs the other way
+    rows = t.events.select("event_id", "event_type", "value", F.expr("event_id div 3").alias("tied"), (-c("event_id")).alias("then"))
+    means = sequence.centred_mean(rows, "value", ["event_type"], ["tied", "then"])
+    return means.select("event_id", F.round(c("mean") + 0.00000001, 6).alias("mean"))
 
 
 @query(_E.replace("with e as", "with recursive e as") + """, k as (select id, page, (id * 7) % 101 as a, (id * 13) % 97 as b, row_number() over (partition by page order by id) as n from e),

@@ -154,3 +154,27 @@ def test_exact_quantiles(spark):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
         assert np.allclose(exact_quantiles(df, "x", shares, 16), np.quantile(values, shares))
     assert exact_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == [None]
+
+
+def test_rolling_means_and_ranks_of_hot_groups(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(k), "hot" if k % 10 else None, int(k) // 4, float(v) if k % 6 else None) for k, v in enumerate(1e6 + rng.normal(size=3000))]
+    df = spark.createDataFrame(rows, "id int, g string, tied int, v double").repartition(7)
+    got = {r["id"]: r["mean"] for r in sequence.centred_mean(df, "v", ["g"], ["tied", "id"], least=7, part=300, rows=3).collect()}
+    for group in ("hot", None):
+        own = sorted((t, i, v) for i, g, t, v in rows if g == group)
+        width = max(7, len(own) // 300)
+        for k, (_, i, _) in enumerate(own):
+            some = [v for _, _, v in own[max(0, k - width // 2) : k + (width - 1) // 2 + 1] if v is not None]
+            assert (got[i] is None) == (len(some) < 3) and (len(some) < 3 or abs(got[i] - sum(some) / len(some)) < 1e-7)
+    values = [1.0] * 500 + [2.0, 7.5, 7.5] + [3.0] * 40
+    ordered = sorted(values)
+    want = sum((2 * (i + 1) - len(ordered) - 1) * x for i, x in enumerate(ordered)) / len(ordered) / sum(ordered)
+    assert abs(describe.gini(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()["gini"] - want) < 1e-8
+
+
+def test_house_numbers_of_the_same_street(spark):
+    rows = [(1, "a", 5, 0), (2, "a", None, 0), (3, "a", None, 1), (4, "b", None, 0), (5, "b", None, 1), (6, None, None, 0), (7, None, None, 1), (8, "b", 9, 1), (9, "b", None, 1), (10, "b", None, 1), (11, "b", None, None)]
+    df = spark.createDataFrame(rows, "id int, street string, number int, own int").withColumn("p", F.lit(1))
+    got = {r["id"]: r["filled"] for r in sequence.fill_numbers(df, "number", "street", F.col("own") == 1, ["p"], "id").collect()}
+    assert got == {1: 5, 2: 5, 3: 7, 4: None, 5: None, 6: None, 7: None, 8: 9, 9: 11, 10: None, 11: None}
