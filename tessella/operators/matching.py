@@ -1,10 +1,12 @@
-"""Nearest-score matching in one dimension, without pairing all treated with all candidates."""
+"""Nearest-score matching in one dimension, without pairing all treated with all candidates, and effects by distance from matched places."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import settle
+
 
 def nearest_score(treated: DataFrame, candidates: DataFrame, width: float) -> DataFrame:
     """id and the ``other`` whose score ov is nearest to v; ties to the smaller ``other``.
@@ -27,3 +29,27 @@ def nearest_score(treated: DataFrame, candidates: DataFrame, width: float) -> Da
     offered = own.select("ov", "other", "b").unionByName(below).unionByName(above)
     gap = F.struct(F.abs(F.col("v") - F.col("ov")).alias("d"), F.col("other"))
     return left.join(offered, "b").groupBy("id").agg(F.min(gap).alias("x")).select("id", "x.other")
+
+
+def effects_by_distance(pairs: DataFrame, places: DataFrame, outcomes: DataFrame, width: float) -> DataFrame:
+    """bin, n (pairs), tau and se for each ring of ``width`` around places: ``pairs`` (i, s, d), ``places`` (s, treated, p), ``outcomes`` (i, y).
+
+    tau is the mean outcome around treated places less that around the others, which count by the odds p / (1 - p) of their score. Its variance
+    takes outcomes as independent of each other: an outcome adds the square of the sum, over all places in whose ring it is, of its weight
+    times what it differs by from its side's mean. So two places covary by the outcomes that their rings share, and no two places are
+    ever paired. A bin without places on both sides has neither; places without a treatment, a score or a pair, and null outcomes, play no part.
+    """
+    c = F.col
+    weight = F.when(c("treated"), 1.0).otherwise(c("p") / (1 - c("p")))
+    rows = pairs.join(places.where("treated is not null").select("s", "treated", weight.alias("w")).where("w is not null"), "s")
+    rows = rows.join(outcomes.where("y is not null").select("i", "y"), "i").select("i", F.floor(c("d") / width).cast("int").alias("bin"), "treated", "w", "y")
+    rows = settle(rows, "rings")
+    side = lambda on, v: F.sum(F.when(c("treated") == on, v))
+    means = rows.groupBy("bin").agg(
+        F.count("*").alias("n"), side(True, c("w")).alias("n1"), side(False, c("w")).alias("n0"), side(True, c("w") * c("y")).alias("s1"), side(False, c("w") * c("y")).alias("s0")
+    ).where("n1 > 0 and n0 > 0")
+    means = settle(means.select("bin", "n", "n1", "n0", (c("s1") / c("n1")).alias("m1"), (c("s0") / c("n0")).alias("m0")), "ring-means")
+    share = F.when(c("treated"), c("w") * (c("y") - c("m1")) / c("n1")).otherwise(-c("w") * (c("y") - c("m0")) / c("n0"))
+    each = rows.join(means, "bin").groupBy("bin", "i").agg(F.sum(share).alias("u"))
+    spread = each.groupBy("bin").agg(F.sqrt(F.sum(c("u") * c("u"))).alias("se"))
+    return means.join(spread, "bin").select("bin", "n", (c("m1") - c("m0")).alias("tau"), "se")

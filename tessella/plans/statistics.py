@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tessella.operators import estimators
+from tessella.operators import estimators, grid
 from tessella.operators.describe import exact_quantiles
-from tessella.operators.matching import nearest_score
+from tessella.operators.matching import effects_by_distance, nearest_score
 from tessella.plans.registry import query
 
 c = F.col
@@ -92,6 +92,24 @@ def effect_by_distance(t):
     return _lines(t).groupBy(F.floor(c("tax") * 100).cast("int").alias("bin")).agg(F.round(F.avg(F.when(c("y") == 1, c("q"))) - F.try_divide(F.sum(w * c("q")), F.sum(w)), 6).alias("tau"))
 
 
+_RINGS = """places as (select s_suppkey as s, cast((s_suppkey * 6151) % 3001 as double) as ox, cast((s_suppkey * 3079) % 2003 as double) as oy, s_suppkey % 4 = 0 as treated, 0.1 + s_suppkey % 7 / 10.0 as p from supplier),
+ seen as (select c_custkey as i, cast((c_custkey * 7919) % 3001 as double) as x, cast((c_custkey * 104729) % 2003 as double) as y, c_acctbal as v from customer),
+ pairs as (select i, v, treated, case when treated then 1.0 else p / (1 - p) end as w, cast(floor(sqrt((x - ox) ** 2 + (y - oy) ** 2) / 50) as int) as bin from seen, places where (x - ox) ** 2 + (y - oy) ** 2 <= 90000)"""
+
+
+@query("with " + _RINGS + """, m as (select bin, count(*) as n, sum(w) filter (treated) as n1, sum(w) filter (not treated) as n0, sum(w * v) filter (treated) / sum(w) filter (treated) as m1, sum(w * v) filter (not treated) / sum(w) filter (not treated) as m0 from pairs group by 1),
+ u as (select bin, i, sum(case when treated then w * (v - m1) / n1 else -w * (v - m0) / n0 end) as u from pairs join m using (bin) group by 1, 2)
+ select m.bin, any_value(n) as n, round(any_value(m1 - m0), 5) as tau, round(sqrt(sum(u * u)), 5) as se from m join u on m.bin = u.bin where n1 > 0 and n0 > 0 group by 1""")
+def effect_by_distance_errors(t):
+    # customers in rings around suppliers, of which every fourth is treated
+    seen = t.customer.select(c("c_custkey").alias("id"), ((c("c_custkey") * 7919) % 3001).cast("double").alias("x"), ((c("c_custkey") * 104729) % 2003).cast("double").alias("y"))
+    at = t.supplier.select(c("s_suppkey").alias("other_id"), ((c("s_suppkey") * 6151) % 3001).cast("double").alias("ox"), ((c("s_suppkey") * 3079) % 2003).cast("double").alias("oy"))
+    pairs = grid.within_radius(seen, at, 300.0).select(c("id").alias("i"), c("other_id").alias("s"), c("dist").alias("d"))
+    places = t.supplier.select(c("s_suppkey").alias("s"), (c("s_suppkey") % 4 == 0).alias("treated"), (c("s_suppkey") % 7 / 10 + 0.1).alias("p"))
+    found = effects_by_distance(pairs, places, t.customer.select(c("c_custkey").alias("i"), c("c_acctbal").alias("y")), 50.0)
+    return found.select("bin", "n", F.round("tau", 5).alias("tau"), F.round("se", 5).alias("se"))
+
+
 @query("select cast(cut as int) as cut, count(*) filter (p_size >= cut) as n, round(avg(p_retailprice) filter (p_size >= cut), 4) as mean from part, range(10, 45, 5) r(cut) group by 1")
 def threshold_sweep(t):
     swept = t.part.select("p_size", "p_retailprice", F.explode(F.sequence(F.lit(10), F.lit(40), F.lit(5))).alias("cut"))
