@@ -4,8 +4,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.operators import geometry, linework, raster, shapes
+from tessella.operators.models import draw_summary, draw_sums, weights_sql
 from tessella.plans.registry import query
 from tessella.plans.spatial import STEP, _P, _R, _points, _raster
+from tessella.session import settle
 from tessella.sources import features
 
 c = F.col
@@ -176,8 +178,10 @@ _WIDTHS = (0, 100, 150, 200, 250, 300)
 
 
 @query("with " + _RAYS + """, g as (select cast(floor(x / 150) as int) as ix, cast(floor(y / 150) as int) as iy, count(*) as n from (select cast((c_custkey * 7919) % 3001 as double) as x, cast((c_custkey * 104729) % 2003 as double) as y from customer) group by 1, 2),
- m as (select ix, iy, min(dist) as dist from near where other = 0 group by 1, 2), s as (select w, n, coalesce(round(dist, 6) <= w, false) as inside from g left join m using (ix, iy), (values (0), (100), (150), (200), (250), (300)) v(w))
- select w as width, count(*) filter (inside) as cells, round(avg(n) filter (inside) - avg(n) filter (not inside), 6) as coef from s group by 1""")
+ m as (select ix, iy, min(dist) as dist from near where other = 0 group by 1, 2),
+ s as (select v.w as width, k.draw, n, coalesce(round(dist, 6) <= v.w, false) as inside, case when draw < 0 then 1 else """ + weights_sql("(ix * 1000 + iy)", "greatest(draw, 0)") + """ end as w from g left join m using (ix, iy), (values (0), (100), (150), (200), (250), (300)) v(w), range(-1, 500) k(draw)),
+ f as (select width, draw, count(*) filter (inside) as cells, sum(w * n) filter (inside) / nullif(sum(w) filter (inside), 0) - sum(w * n) filter (not inside) / nullif(sum(w) filter (not inside), 0) as coef from s group by 1, 2)
+ select width, any_value(cells) as cells, round(any_value(coef) filter (draw < 0), 6) as coef, round(stddev_pop(coef) filter (draw >= 0), 6) as se from f group by 1""")
 def corridor_width_refit(t):
     # cells by their distance to the nearest ray to the centre, so all widths are refitted from one pass
     inward = geometry.rays(_centroids(t), (1500.0, 1000.0), ["city"]).where("other = 0")
@@ -188,10 +192,18 @@ def corridor_width_refit(t):
     nearest = wide.groupBy("ix", "iy").agg(F.min(dist).alias("dist"))
     cell = lambda v: F.floor(c(v) / STEP).cast("int")
     counts = _points(t).groupBy(cell("x").alias("ix"), cell("y").alias("iy")).agg(F.count("*").alias("n"))
-    swept = counts.join(nearest, ["ix", "iy"], "left").withColumn("width", F.explode(F.array(*map(F.lit, _WIDTHS))))
-    inside = F.coalesce(c("dist") <= c("width"), F.lit(False))
-    fit = F.avg(F.when(inside, c("n"))) - F.avg(F.when(~inside, c("n")))
-    return swept.groupBy("width").agg(F.count(F.when(inside, 1)).alias("cells"), F.round(fit, 6).alias("coef"))
+    cells = counts.join(nearest, ["ix", "iy"], "left").select((c("ix") * 1000 + c("iy")).cast("bigint").alias("key"), c("n").cast("double").alias("y"), "dist")
+    hit = {w: F.coalesce(c("dist") <= w, F.lit(False)).cast("double") for w in _WIDTHS}
+    sums = {"y": c("y")} | {f"x{w}": x for w, x in hit.items()} | {f"xy{w}": x * c("y") for w, x in hit.items()}
+
+    def coefs(frame):
+        fits = [F.struct(F.lit(w).alias("width"), c(f"x{w}").cast("bigint").alias("cells"), (F.try_divide(c(f"xy{w}"), c(f"x{w}")) - F.try_divide(c("y") - c(f"xy{w}"), c("n") - c(f"x{w}"))).alias("coef")) for w in _WIDTHS]
+        return frame.select(F.explode(F.array(*fits)).alias("f")).select("f.*")
+
+    cells = settle(cells, "corridor-cells")
+    whole = coefs(cells.agg(F.count("*").alias("n"), *[F.sum(e).alias(n) for n, e in sums.items()]))
+    drawn = draw_summary(coefs(draw_sums(cells, "key", sums, 500)), "coef", ["width"])
+    return whole.join(drawn, "width").select("width", "cells", F.round("coef", 6).alias("coef"), F.round("se", 6).alias("se"))
 
 
 @query("select event_id, cast(user_id % 40 - 5 as int) as r, cast(event_id % 60 - 10 as int) as c from events where user_id % 40 - 5 between 0 and 29 and event_id % 60 - 10 between 0 and 39 and value is not null and value <> 0")
