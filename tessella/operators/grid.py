@@ -81,6 +81,15 @@ def segment_cells(segments: DataFrame, step: float, keep: list[str]) -> DataFram
     return stepped(segments, step).where(segment_meets_box(c("x1"), c("y1"), c("x2"), c("y2"), *box)).select(*keep, "ix", "iy")
 
 
+def crossed_cells(cells: DataFrame, segments: DataFrame, step: float, attribute: str, flag: str) -> DataFrame:
+    """``cells`` (ix, iy and more) with ``flag``: 1 where a segment whose ``attribute`` is known meets the cell, edges included, else 0.
+
+    A segment that meets the cell but whose attribute is null counts as none.
+    """
+    met = segment_cells(segments.where(F.col(attribute).isNotNull()), step, []).distinct().withColumn(flag, F.lit(1))
+    return cells.join(met, ["ix", "iy"], "left").withColumn(flag, F.coalesce(flag, F.lit(0)))
+
+
 def point_segment_distance(px, py, x1, y1, x2, y2) -> Column:
     dx, dy = x2 - x1, y2 - y1
     t = F.coalesce(F.try_divide((px - x1) * dx + (py - y1) * dy, dx * dx + dy * dy), F.lit(0.0))

@@ -89,6 +89,17 @@ def segment_cell_intersect(t):
     return grid.segment_cells(_segments(t), STEP, ["seg"])
 
 
+@query(_P + ", " + _SEG + """, g as (select distinct cast(floor(x / 150) as int) as ix, cast(floor(y / 150) as int) as iy from p), k as (select seg, g.ix, g.iy, x1, y1, x2 - x1 as dx, y2 - y1 as dy, g.ix * 150.0 as a, g.iy * 150.0 as b, g.ix * 150.0 + 150 as c, g.iy * 150.0 + 150 as d from g left join (select *, case when seg % 40 = 1 then 55 end as speed from seg) s on speed is not null),
+ w as (select *, list_max([case when dx = 0 then case when x1 between a and c then 0.0 else 2.0 end else least((a - x1) / dx, (c - x1) / dx) end, case when dy = 0 then case when y1 between b and d then 0.0 else 2.0 end else least((b - y1) / dy, (d - y1) / dy) end, 0.0])
+  <= list_min([case when dx = 0 then 1.0 else greatest((a - x1) / dx, (c - x1) / dx) end, case when dy = 0 then 1.0 else greatest((b - y1) / dy, (d - y1) / dy) end, 1.0]) as meets from k)
+ select ix, iy, cast(coalesce(bool_or(meets), false) as int) as hwy from w group by 1, 2""")
+def highway_cells(t):
+    # most roads have no speed and count as none
+    roads = _segments(t).withColumn("speed", F.when(c("seg") % 40 == 1, 55))
+    cells = _points(t).select(grid.cell_of(c("x"), 0, STEP).alias("ix"), grid.cell_of(c("y"), 0, STEP).alias("iy")).distinct()
+    return grid.crossed_cells(cells, roads, STEP, "speed", "hwy")
+
+
 @query(_P + ", " + _SEG + """ select id, round(min(sqrt((x - x1 - u * (x2 - x1)) ** 2 + (y - y1 - u * (y2 - y1)) ** 2)), 6) as dist from (select *, least(1, greatest(0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1) ** 2 + (y2 - y1) ** 2, 0))) as u from p, seg) group by 1""")
 def min_point_segment_dist(t):
     ways = _segments(t).withColumnRenamed("seg", "other_id")

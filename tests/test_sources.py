@@ -134,3 +134,13 @@ def test_sinks(spark, tmp_path):
 def test_tried_gives_up():
     with pytest.raises(ConnectionError):
         features.tried(lambda: (_ for _ in ()).throw(ConnectionError()), 2, 0.0)
+
+
+def test_the_newest_of_several_files(spark, tmp_path):
+    from tessella.sources import readers
+
+    for n, stamp in (("b", 2000), ("c", 3000), ("a", 1000)):
+        spark.createDataFrame([(n, 1)], "name string, v int").coalesce(1).write.parquet(str(tmp_path / n))
+        for path in (tmp_path / n).glob("*.parquet"):
+            os.utime(path, (stamp, stamp))
+    assert [r["name"] for r in readers.newest(spark, str(tmp_path / "*")).collect()] == ["c"]
