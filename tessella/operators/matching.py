@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.sequence import running
 from tessella.session import settle
 
 
+#: Candidates that a treated row asks before it looks again among those that are left, at most.
+MOST_ASKED = 64
+
+
 def nearest_score(treated: DataFrame, candidates: DataFrame, width: float) -> DataFrame:
     """id and the ``other`` whose score ov is nearest to v; ties to the smaller ``other``.
 
@@ -31,6 +38,62 @@ def nearest_score(treated: DataFrame, candidates: DataFrame, width: float) -> Da
     return left.join(offered, "b").groupBy("id").agg(F.min(gap).alias("x")).select("id", "x.other")
 
 
+def _nearest_few(treated: DataFrame, candidates: DataFrame, few: int) -> DataFrame:
+    """(prio, other, rank) of the ``few`` candidates nearest to each of ``treated`` (prio, v), the nearest first, ties to the smaller ``other``.
+
+    Candidates are numbered upwards and downwards, either way from the smaller ``other`` on where scores tie; a treated row looks at the numbers from
+    its own place on, so the join is on equal numbers.
+    """
+    sides = []
+    for sign, at_least in ((1, True), (-1, False)):
+        # a treated row's place is behind the candidates that come before its own score
+        own = candidates.select((sign * F.col("ov")).alias("s"), F.lit(1 if at_least else 0).alias("kind"), "other", "ov", F.lit(None).cast("bigint").alias("prio"))
+        asked = treated.select((sign * F.col("v")).alias("s"), F.lit(0 if at_least else 1).alias("kind"), F.lit(None).cast(candidates.schema["other"].dataType).alias("other"), F.col("v").alias("ov"), "prio")
+        placed = settle(running(own.unionByName(asked), [], ["s", "kind", "other", "prio"], {"n": F.col("other").isNotNull().cast("bigint")}), "scores-placed")
+        numbered = placed.where("other is not null").select("n", "other", F.col("ov").alias("score"))
+        looked = placed.where("prio is not null").select("prio", F.col("ov").alias("v"), F.explode(F.sequence(F.col("n") + 1, F.col("n") + few)).alias("n"))
+        sides.append(looked.join(numbered, "n").select("prio", "other", F.abs(F.col("v") - F.col("score")).alias("d")))
+    order = Window.partitionBy("prio").orderBy("d", "other")  # twice ``few`` rows each
+    return sides[0].unionByName(sides[1]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= few)
+
+
+def matched_once(treated: DataFrame, candidates: DataFrame, few: int = 8) -> DataFrame:
+    """id and ``other`` where treated (id, v), the highest v first and ties by id, each take the nearest candidate (other, ov) that none before
+    has taken, ties to the smaller ``other``; treated for whom none is left are absent.
+
+    That rule asks one after the other. Here all ask at once and ask again where they must give way: a candidate keeps the first in order of those who ask it,
+    and a treated row that loses asks the next one that isn't held by a row before it. As all candidates keep to the same order, this ends with what
+    the sequential rule gives. Rows ask among their nearest: ``few`` at first, ``MOST_ASKED`` at most. If one has run through these, all rows before the first
+    that is still without a candidate are done, since nobody can take theirs; they leave with their candidates, and the others look again among the rest.
+    """
+    rows = running(treated.where("id is not null and v is not null").select("id", "v"), [], [F.desc("v"), "id"], {}).withColumnRenamed("place", "prio")
+    rows = settle(rows.withColumn("prio", F.col("prio").cast("bigint")), "treated")
+    pool = settle(candidates.where("other is not null and ov is not null").groupBy("other").agg(F.min("ov").alias("ov")), "candidates")
+    left, open_ = pool.count(), rows.select("prio")
+    held, done = settle(pool.select("other", F.lit(0).cast("bigint").alias("prio")).limit(0), "held"), []
+    lists = settle(_nearest_few(rows, pool, few), "nearest-few")
+    while left and open_.limit(1).count():
+        asked = lists.join(open_, "prio", "left_semi").join(held.withColumnRenamed("prio", "by"), "other", "left").where("by is null or by > prio")
+        asks = settle(asked.groupBy("prio").agg(F.min_by("other", "rank").alias("other")), "asks")
+        through = settle(open_.join(asks, "prio", "left_anti"), "run-through")
+        anyone = through.limit(1).count() > 0
+        held = settle(held.unionByName(asks.select("other", "prio")).groupBy("other").agg(F.min("prio").alias("prio")), "held")
+        if anyone and few >= left:
+            # they have seen every candidate, and a row before them holds each
+            rows = settle(rows.join(through, "prio", "left_anti"), "treated")
+        open_ = settle(rows.select("prio").join(held, "prio", "left_anti"), "unmatched")
+        if anyone and few < left:
+            first = open_.agg(F.min("prio")).first()[0]
+            final = held.where(F.col("prio") < first)
+            done.append(settle(final.join(rows, "prio").select("id", "other"), "matched"))
+            pool = settle(pool.join(final, "other", "left_anti"), "candidates")
+            rows, held = rows.where(F.col("prio") >= first), held.where(F.col("prio") >= first)
+            left, few = pool.count(), min(MOST_ASKED, 2 * few)
+            lists = settle(_nearest_few(rows, pool, few), "nearest-few")
+    done.append(held.join(rows, "prio").select("id", "other"))
+    return reduce(DataFrame.unionByName, done)
+
+
 def effects_by_distance(pairs: DataFrame, places: DataFrame, outcomes: DataFrame, width: float) -> DataFrame:
     """bin, n (pairs), tau and se for each ring of ``width`` around places: ``pairs`` (i, s, d), ``places`` (s, treated, p), ``outcomes`` (i, y).
 

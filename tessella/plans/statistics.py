@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import estimators, grid
 from tessella.operators.describe import exact_quantiles
-from tessella.operators.matching import effects_by_distance, nearest_score
+from tessella.operators.matching import effects_by_distance, matched_once, nearest_score
 from tessella.plans.registry import query
 
 c = F.col
@@ -139,3 +139,15 @@ def stratify_by_quantile(t):
 def score_nearest_match(t):
     a = t.customer.select(c("c_custkey").alias("id"), c("c_acctbal").alias("v"))
     return nearest_score(a, t.supplier.select(c("s_suppkey").alias("other"), c("s_acctbal").alias("ov")), 500.0)
+
+
+@query("""with recursive t as (select c_custkey as id, c_acctbal as v, row_number() over (order by c_acctbal desc, c_custkey) as n from customer where c_mktsegment = 'BUILDING'),
+ k as (select c_custkey as other, c_acctbal as ov from customer where c_mktsegment <> 'BUILDING'),
+ r as (select cast(0 as bigint) as n, cast(null as bigint) as id, cast(null as bigint) as other, cast([] as bigint[]) as used
+  union all select n, id, other, list_append(used, other) from (select t.n, t.id, (select k.other from k where not list_contains(r.used, k.other) order by abs(t.v - k.ov), k.other limit 1) as other, r.used from r join t on t.n = r.n + 1))
+ select id, other from r where other is not null""")
+def score_match_once(t):
+    # customers of one segment, the highest balance first, each take the nearest of the others that none before has taken
+    rows = t.customer.select(c("c_custkey").alias("id"), c("c_acctbal").alias("v"), c("c_mktsegment").alias("segment"))
+    pool = rows.where("segment <> 'BUILDING'").select(c("id").alias("other"), c("v").alias("ov"))
+    return matched_once(rows.where("segment = 'BUILDING'").select("id", "v"), pool)
