@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessella.operators import grid, sequence, streets
+from tessella.operators import geodesy, sequence, streets
 from tessella.plans.registry import query
 from tessella.plans.spatial import _P, _points
 
@@ -96,12 +96,15 @@ def street_resolver(t):
     return streets.resolve(rows, known, ["city"], "id", "page").select("id", "match", "round")
 
 
-@query(_P + """, h as (select id, x / 100 as ax, y / 100 as ay, y / 100 as bx, x / 100 as by_, lag(x) over (order by id) / 100 as px, lag(y) over (order by id) / 100 as py from p),
- d as (select *, 2 * 6371008.8 * asin(sqrt(sin(radians(ay - py) / 2) ** 2 + cos(radians(py)) * cos(radians(ay)) * sin(radians(ax - px) / 2) ** 2)) as d1, 2 * 6371008.8 * asin(sqrt(sin(radians(by_ - py) / 2) ** 2 + cos(radians(py)) * cos(radians(by_)) * sin(radians(bx - px) / 2) ** 2)) as d2 from h where px is not null)
- select id, case when round(d1, 4) < round(d2, 4) then ax else bx end as x, case when round(d1, 4) < round(d2, 4) then ay else by_ end as y from d""")
+_MATCHES = _P + """, h as (select id, x / 100 as ax, y / 100 as ay, y / 100 as bx, x / 100 as by_, lag(x) over (order by id) / 100 as px, lag(y) over (order by id) / 100 as py from p), g as (select * from h where px is not null)"""
+_FIRST = geodesy.geodesic_sql("g", ("px", "py", "ax", "ay"), "d1")
+
+
+@query(f"""{_MATCHES} select id, case when round(d1, 4) < round(d2, 4) then ax else bx end as x, case when round(d1, 4) < round(d2, 4) then ay else by_ end as y from ({geodesy.geodesic_sql(f"({_FIRST})", ("px", "py", "bx", "by_"), "d2")})""")
 def geocoder_tiebreak(t):
-    # of two matches of an address the one nearer to the row before it; the second if neither is
+    # of two matches of an address the one nearer to the row before it on the ellipsoid; the second if neither is
     now = sequence.row_before(_points(t).select("id", "x", "y"), "id", ["x", "y"]).where("before is not null")
     ax, ay = c("x") / 100, c("y") / 100
-    d1, d2 = (F.round(grid.haversine(c("before.x") / 100, c("before.y") / 100, a, b), 4) for a, b in ((ax, ay), (ay, ax)))
-    return now.select("id", F.when(d1 < d2, ax).otherwise(ay).alias("nx"), F.when(d1 < d2, ay).otherwise(ax).alias("ny")).withColumnsRenamed({"nx": "x", "ny": "y"})
+    d1, d2 = (F.round(geodesy.geodesic(c("before.x") / 100, c("before.y") / 100, a, b), 4) for a, b in ((ax, ay), (ay, ax)))
+    now = now.withColumn("d1", d1).withColumn("d2", d2)
+    return now.select("id", F.when(c("d1") < c("d2"), ax).otherwise(ay).alias("nx"), F.when(c("d1") < c("d2"), ay).otherwise(ax).alias("ny")).withColumnsRenamed({"nx": "x", "ny": "y"})

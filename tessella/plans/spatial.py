@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import grid, sequence
+from tessella.operators import geodesy, grid, sequence
 from tessella.plans.registry import query
 
 c = F.col
@@ -163,6 +163,22 @@ def web_mercator(t):
     return _points(t).select("id", F.round(x, 3).alias("mx"), F.round(y, 3).alias("my"))
 
 
+def _shift_sql():
+    (a, f, (dx, dy, dz)), (a2, f2, _) = geodesy.DATUMS["NAD27"], geodesy.DATUMS["WGS84"]
+    e, b2, e2 = f * (2 - f), a2 * (1 - f2), f2 * (2 - f2)
+    return f""", r as (select id, radians(x / 100 - 100) as lam, radians(y / 100 + 25) as phi from p), n as (select *, {a!r} / sqrt(1 - {e!r} * sin(phi) ** 2) as n from r),
+ k as (select id, n * cos(phi) * cos(lam) + {dx!r} as x, n * cos(phi) * sin(lam) + {dy!r} as y, n * {1 - e!r} * sin(phi) + {dz!r} as z from n),
+ t as (select *, sqrt(x * x + y * y) as flat, atan2(z * {a2!r}, sqrt(x * x + y * y) * {b2!r}) as theta from k)
+ select id, round(degrees(atan2(y, x)), 8) as lon, round(degrees(atan2(z + {e2 / (1 - e2) * b2!r} * sin(theta) ** 3, flat - {e2 * a2!r} * cos(theta) ** 3)), 8) as lat from t"""
+
+
+@query(_P + _shift_sql())
+def datum_shift(t):
+    # points on the old datum of North America, on that of satellites
+    lon, lat = geodesy.shifted(c("x") / 100 - 100, c("y") / 100 + 25, "NAD27")
+    return _points(t).select("id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+
+
 @query(_P + ", h as (select id, lag(x) over (order by id) / 100 as lon0, lag(y) over (order by id) / 100 as lat0, x / 100 as lon1, y / 100 as lat1, y / 100 as lon2, x / 100 as lat2 from p) select id, round(2 * 6371008.8 * asin(sqrt(sin(radians(lat1 - lat0) / 2) ** 2 + cos(radians(lat0)) * cos(radians(lat1)) * sin(radians(lon1 - lon0) / 2) ** 2)), 2) as first_m from h where lon0 is not null")
 def haversine_tiebreak(t):
     now = sequence.row_before(_points(t).select("id", "x", "y"), "id", ["x", "y"]).where("before is not null")
