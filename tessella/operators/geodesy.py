@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,11 @@ DATUMS = {
 ROUNDS = 20
 
 
+def _let(values: dict[str, Column], then: Callable[[Column], Column]) -> Column:
+    """What ``then`` makes of a struct of ``values``, each of which is worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), 1)
+
+
 def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column, datum: str = "WGS84") -> Column:
     """Metres between two points along the ellipsoid, by Vincenty's iteration on the difference of longitude on the auxiliary sphere.
 
@@ -24,45 +30,59 @@ def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column, datum: str
     """
     a, f, _ = DATUMS[datum]
     b = a * (1 - f)
-    # an input is used many times; as fields of one struct it is worked out once
     reduced = lambda lat: F.atan((1 - f) * F.tan(F.radians(lat)))
     turn = F.radians(lon2 - lon1)
     shorter = F.atan2(F.sin(turn), F.cos(turn))
-    ends = F.array(F.struct(F.sin(reduced(lat1)).alias("s1"), F.cos(reduced(lat1)).alias("c1"), F.sin(reduced(lat2)).alias("s2"), F.cos(reduced(lat2)).alias("c2"), shorter.alias("l")))
+    ends = {"s1": F.sin(reduced(lat1)), "c1": F.cos(reduced(lat1)), "s2": F.sin(reduced(lat2)), "c2": F.cos(reduced(lat2)), "l": shorter}
+
+    def along(e: Column, lam: Column, then: Callable[[Column], Column]) -> Column:
+        """What ``then`` makes of the arc's sine and cosine, its length, the azimuth at the equator, 1 - azimuth's square and the middle's cosine."""
+
+        def with_arc(t: Column) -> Column:
+            across = e.c2 * t.sin
+            up = e.c1 * e.s2 - e.s1 * e.c2 * t.cos
+            return _let({"sin": F.sqrt(across * across + up * up), "cos": e.s1 * e.s2 + e.c1 * e.c2 * t.cos, "turn": t.sin}, with_azimuth)
 
-    def along(e: Column, lam: Column) -> dict[str, Column]:
-        sin = F.sqrt(F.pow(e.c2 * F.sin(lam), 2) + F.pow(e.c1 * e.s2 - e.s1 * e.c2 * F.cos(lam), 2))
-        cos = e.s1 * e.s2 + e.c1 * e.c2 * F.cos(lam)
-        return {"sin": sin, "cos": cos, "sigma": F.atan2(sin, cos), "azimuth": F.when(sin == 0, 0.0).otherwise(e.c1 * e.c2 * F.sin(lam) / sin)}
+        def with_azimuth(g: Column) -> Column:
+            azimuth = F.when(g.sin == 0, 0.0).otherwise(e.c1 * e.c2 * g.turn / g.sin)
+            return _let({"sin": g.sin, "cos": g.cos, "sigma": F.atan2(g.sin, g.cos), "azimuth": azimuth}, with_square)
 
-    def middle(e: Column, g: dict[str, Column]) -> tuple[Column, Column]:
-        square = 1 - g["azimuth"] * g["azimuth"]
-        return square, F.when(square < 1e-15, 0.0).otherwise(g["cos"] - 2 * e.s1 * e.s2 / square)
+        def with_square(g: Column) -> Column:
+            return _let({"of": g, "square": 1 - g.azimuth * g.azimuth}, with_middle)
 
-    def advance(e: Column, lam: Column) -> Column:
-        g = along(e, lam)
-        square, mid = middle(e, g)
-        k = f / 16 * square * (4 + f * (4 - 3 * square))
-        return e.l + (1 - k) * f * g["azimuth"] * (g["sigma"] + k * g["sin"] * (mid + k * g["cos"] * (2 * mid * mid - 1)))
+        def with_middle(h: Column) -> Column:
+            mid = F.when(h.square < 1e-15, 0.0).otherwise(h.of.cos - 2 * e.s1 * e.s2 / h.square)
+            return _let({"sin": h.of.sin, "cos": h.of.cos, "sigma": h.of.sigma, "azimuth": h.of.azimuth, "square": h.square, "mid": mid}, then)
+
+        return _let({"sin": F.sin(lam), "cos": F.cos(lam)}, with_arc)
 
     def length(e: Column) -> Column:
         start = F.struct(e.l.alias("lam"), F.lit(1.0).alias("moved"))
 
         def step(state: Column, _: Column) -> Column:
-            return F.element_at(F.transform(F.array(advance(e, state.lam)), lambda new: F.struct(new.alias("lam"), F.abs(new - state.lam).alias("moved"))), 1)
+            def advance(g: Column) -> Column:
+                k = f / 16 * g.square * (4 + f * (4 - 3 * g.square))
+                return _let({"new": e.l + (1 - k) * f * g.azimuth * (g.sigma + k * g.sin * (g.mid + k * g.cos * (2 * g.mid * g.mid - 1)))}, moved)
+
+            def moved(n: Column) -> Column:
+                return F.struct(n.new.alias("lam"), F.abs(n.new - state.lam).alias("moved"))
+
+            # settled points keep what they have
+            return F.when(state.moved < 1e-13, state).otherwise(along(e, state.lam, advance))
 
         def finish(state: Column) -> Column:
-            g = along(e, state.lam)
-            square, mid = middle(e, g)
-            u = square * (a * a - b * b) / (b * b)
-            big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-            small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-            bend = small * g["sin"] * (mid + small / 4 * (g["cos"] * (2 * mid * mid - 1) - small / 6 * mid * (4 * g["sin"] * g["sin"] - 3) * (4 * mid * mid - 3)))
-            return F.when(state.moved < 1e-11, b * big * (g["sigma"] - bend))
+            def metres(g: Column) -> Column:
+                u = g.square * (a * a - b * b) / (b * b)
+                big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+                small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+                bend = small * g.sin * (g.mid + small / 4 * (g.cos * (2 * g.mid * g.mid - 1) - small / 6 * g.mid * (4 * g.sin * g.sin - 3) * (4 * g.mid * g.mid - 3)))
+                return F.when(state.moved < 1e-11, b * big * (g.sigma - bend))
+
+            return along(e, state.lam, metres)
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, finish)
 
-    return F.element_at(F.transform(ends, length), 1)
+    return _let(ends, length)
 
 
 def shifted(lon: Column, lat: Column, datum: str, to: str = "WGS84") -> tuple[Column, Column]:
