@@ -32,9 +32,51 @@ def ols_cluster_se(t):
     return estimators.ols(_lines(t), ["q"], "price", cluster="l_partkey").where("term = 'q'").select("term", F.round("coef", 4).alias("coef"), F.round("se", 5).alias("se"))
 
 
-@query()
+def _det(m):
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + " + ".join(f"{'-1.0 * ' if j % 2 else ''}{m[0][j]} * {_det([row[:j] + row[j + 1 :] for row in m[1:]])}" for j in range(len(m))) + ")"
+
+
+def _inverse(k):
+    """Select list of the inverse i{r}{c} of a symmetric matrix of columns a{r}{c}, r <= c, by its cofactors."""
+    m = [[f"a{min(r, q)}{max(r, q)}" for q in range(k)] for r in range(k)]
+    minor = lambda r, q: _det([row[:q] + row[q + 1 :] for i, row in enumerate(m) if i != r])
+    return ", ".join(f"{'-' if (r + q) % 2 else ''}1.0 * {minor(q, r)} / {_det(m)} as i{r}{q}" for r in range(k) for q in range(k))
+
+
+def _cross(k, weight="1"):
+    """Select list of the cross products a{r}{c} of the columns x0, x1, ..."""
+    return ", ".join(f"sum({weight} * x{r} * x{q}) as a{r}{q}" for r in range(k) for q in range(r, k))
+
+
+def _times(k, vector):
+    """Select list of the inverse times a vector of columns, b{r}."""
+    return ", ".join(" + ".join(f"i{r}{q} * {vector}{q}" for q in range(k)) + f" as b{r}" for r in range(k))
+
+
+def _terms(names, columns):
+    return " union all ".join(f"select '{n}' as term, " + ", ".join(f"{e.format(r=r)} as {name}" for name, e in columns.items()) for r, n in enumerate(names))
+
+
+# the normal distribution's two tails, by a series of positive terms for the error function; 0 to six digits beyond 8 errors
+_TAILS = """case when z > 8 then 0 when z = 0 then 1 else 1 - exp(-z * z / 2) * list_sum([exp((2 * n + 1) * ln(z) - (n + 1) * ln(2) - lgamma(n + 1.5) + ln(2) / 2) for n in range(0, 200)]) end"""
+
+
+def _clustered_sql():
+    k, meat = 4, [(r, q) for r in range(4) for q in range(4)]
+    spread = "(" + " + ".join(f"i{{r}}{r} * m{r}{q} * i{{r}}{q}" for r, q in meat) + ")"
+    return f"""with r as (select l_partkey as g, 1.0::double as x0, l_quantity as x1, l_discount as x2, l_tax as x3, (l_returnflag = 'R')::int as y from lineitem),
+ s as (select count(*) as n, {_cross(k)}, {", ".join(f"sum(x{i} * y) as c{i}" for i in range(k))} from r), i as (select n, {", ".join(f"c{j}" for j in range(k))}, {_inverse(k)} from s), b as (select *, {_times(k, "c")} from i),
+ e as (select g, {", ".join(f"sum(e * x{j}) as s{j}" for j in range(k))} from (select r.*, y - b0 * x0 - b1 * x1 - b2 * x2 - b3 * x3 as e from r, b) group by g),
+ m as (select count(*) as g, {", ".join(f"sum(s{r} * s{q}) as m{r}{q}" for r, q in meat)} from e), w as (select * from b, m),
+ f as ({_terms(["const", "q", "d", "tax"], {"coef": "b{r}", "se": f"sqrt({spread} * (g / (g - 1.0)) * ((n - 1.0) / (n - {k})))"}).replace(" union all ", " from w union all ")} from w), t as (select *, abs(coef / se) as z from f)
+ select term, round(coef, 6) as coef, round(se, 6) as se, round({_TAILS}, 6) as p from t"""
+
+
+@query(_clustered_sql())
 def ols_clustered(t):
-    return estimators.ols(_lines(t), ["q", "d", "tax"], "y", cluster="l_partkey")
+    return estimators.ols(_lines(t), ["q", "d", "tax"], "y", cluster="l_partkey").select("term", *[F.round(n, 6).alias(n) for n in ("coef", "se", "p")])
 
 
 @query()
@@ -46,20 +88,30 @@ def bootstrap_se(t):
     return draws.groupBy("term").agg(F.stddev_pop("coef").alias("se"), F.percentile("coef", 0.025).alias("low"), F.percentile("coef", 0.975).alias("high"), p)
 
 
+def _fit_sql(start, mean, weight):
+    """A fit on a constant and two columns by 25 rounds of weighted least squares, written as recursion."""
+    k = 3
+    return f"""with recursive r as (select 1.0::double as x0, l_quantity / 50 as x1, l_discount as x2, (l_returnflag = 'R')::int as y from lineitem),
+ f as (select 0 as turn, {start} as b0, 0.0::double as b1, 0.0::double as b2, 0.0::double as v0, 0.0::double as v1, 0.0::double as v2 from (select avg(y) as m from r)
+  union all select turn + 1, {_times(k, "c")}, i00, i11, i22 from (select turn, {", ".join(f"c{j}" for j in range(k))}, {_inverse(k)} from (select turn, {_cross(k, "w")}, {", ".join(f"sum(w * x{j} * z) as c{j}" for j in range(k))}
+  from (select *, eta + (y - mu) / w as z from (select *, {weight} as w from (select *, {mean} as mu from (select turn, x0, x1, x2, y, b0 + b1 * x1 + b2 * x2 as eta from f, r where turn < 25)))) group by turn))),
+ w as (select * from f where turn = 25) {_terms(["const", "qs", "d"], {"coef": "round(b{r}, 6)", "se": "round(sqrt(v{r}), 6)"}).replace(" union all ", " from w union all ")} from w"""
+
+
 def _fit(t, family):
     x = ["qs", "d"]
     df = _lines(t).withColumn("qs", c("q") / 50)
     beta, inv = estimators.glm(df, x, "y", family)
-    rows = [(n, float(b), float(v) ** 0.5) for n, b, v in zip(["const", *x], beta, inv.diagonal())]
+    rows = [(n, round(float(b), 6), round(float(v) ** 0.5, 6)) for n, b, v in zip(["const", *x], beta, inv.diagonal())]
     return t.spark.createDataFrame(rows, "term string, coef double, se double")
 
 
-@query()
+@query(_fit_sql("ln(m)", "exp(eta)", "mu"))
 def ppml_fit(t):
     return _fit(t, "poisson")
 
 
-@query()
+@query(_fit_sql("ln(m / (1 - m))", "1 / (1 + exp(-eta))", "mu * (1 - mu)"))
 def propensity_logit(t):
     return _fit(t, "binomial")
 
