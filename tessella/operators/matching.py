@@ -116,3 +116,52 @@ def effects_by_distance(pairs: DataFrame, places: DataFrame, outcomes: DataFrame
     each = rows.join(means, "bin").groupBy("bin", "i").agg(F.sum(share).alias("u"))
     spread = each.groupBy("bin").agg(F.sqrt(F.sum(c("u") * c("u"))).alias("se"))
     return means.join(spread, "bin").select("bin", "n", (c("m1") - c("m0")).alias("tau"), "se")
+
+
+#: Bins of the predicted chance, closed on the right, and those of them whose balance counts.
+CHANCE_BINS, COUNTED_BINS = (0.0, 0.05, 0.10, 0.15, 0.20, 0.30, 1.0), (1, 2, 3)
+
+
+def settings_compared(
+    df: DataFrame, settings: list[str], chance: str, outcome: str, features: list[str], threshold: float, least_recall: float = 0.5, bins: tuple = CHANCE_BINS, counted: tuple = COUNTED_BINS
+) -> DataFrame:
+    """For each setting of a search: mean_smd, n_cand, recall, and which one is ``chosen``.
+
+    mean_smd is the mean absolute standardised difference between rows with and without the outcome, over the counted bins of the chance and
+    all features. A bin needs two rows of either kind, a feature two values of either kind that aren't all the same; else that pair doesn't
+    count, and a setting without any has a null. n_cand rows without the outcome are predicted at ``threshold`` or above, and recall is the share
+    of rows with it that are (null without any). The chosen setting has the least mean_smd of those whose recall is above ``least_recall``, the first in the
+    settings' order if several have; none may. Rows without a chance or an outcome take no part.
+
+    One aggregation by setting and bin serves all features; the table of settings is what is left, and no window runs over rows.
+    """
+    on, off = F.col(outcome) == 1, F.col(outcome) == 0
+    p = F.col(chance)
+    rows = df.where(p.isNotNull() & F.col(outcome).isNotNull())
+    at = F.lit(-1)
+    for i, (low, high) in enumerate(zip(bins, bins[1:])):
+        at = F.when((p > low if i else p >= low) & (p <= high), i).otherwise(at)
+    numbers = [F.count(F.when(on, 1)).alias("n1"), F.count(F.when(off, 1)).alias("n0"), F.count(F.when(off & (p >= threshold), 1)).alias("above"), F.count(F.when(on & (p >= threshold), 1)).alias("hit")]
+    for i, name in enumerate(features):
+        v = F.col(name).cast("double")
+        for kind, of in (("1", on), ("0", off)):
+            own = F.when(of, v)
+            numbers += [F.count(own).alias(f"k{kind}_{i}"), F.avg(own).alias(f"m{kind}_{i}"), F.stddev_pop(own).alias(f"d{kind}_{i}")]
+    cells = rows.groupBy(*settings, at.alias("_bin")).agg(*numbers)
+    smds = []
+    for i in range(len(features)):
+        one, two = F.col(f"d1_{i}"), F.col(f"d0_{i}")
+        fit = F.col("_bin").isin(*counted) & (F.least("n1", "n0", f"k1_{i}", f"k0_{i}") >= 2) & (one > 0) & (two > 0)
+        smds.append(F.when(fit, F.abs(F.col(f"m1_{i}") - F.col(f"m0_{i}")) / F.sqrt((one * one + two * two) / 2)))
+    zero = F.lit(0.0)
+    cells = cells.withColumn("_sum", sum((F.coalesce(s, zero) for s in smds), zero)).withColumn("_pairs", sum((s.isNotNull().cast("int") for s in smds), F.lit(0)))
+    found = cells.groupBy(*settings).agg(
+        F.try_divide(F.sum("_sum"), F.sum("_pairs")).alias("mean_smd"), F.sum("above").alias("n_cand"), F.try_divide(F.sum("hit").cast("double"), F.sum("n1")).alias("recall")
+    )
+    able = F.when((F.col("recall") > least_recall) & F.col("mean_smd").isNotNull(), F.struct("mean_smd", *settings))
+    best = found.agg(F.min(able).alias("_best"))
+    same = [F.col(s).eqNullSafe(F.col(f"_best.{s}")) for s in settings]
+    chosen = F.col("_best").isNotNull()
+    for s in same:
+        chosen = chosen & s
+    return found.crossJoin(F.broadcast(best)).withColumn("chosen", chosen).drop("_best")  # one row

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import estimators, grid
 from tessella.operators.describe import exact_quantiles
-from tessella.operators.matching import effects_by_distance, matched_once, nearest_score
+from tessella.operators.matching import effects_by_distance, matched_once, nearest_score, settings_compared
 from tessella.plans.registry import query
 
 c = F.col
@@ -203,3 +203,19 @@ def score_match_once(t):
     rows = t.customer.select(c("c_custkey").alias("id"), c("c_acctbal").alias("v"), c("c_mktsegment").alias("segment"))
     pool = rows.where("segment <> 'BUILDING'").select(c("id").alias("other"), c("v").alias("ov"))
     return matched_once(rows.where("segment = 'BUILDING'").select("id", "v"), pool)
+
+
+@query("""with r as (select pad, pot, l_quantity, l_extendedprice, l_tax, (l_returnflag = 'R')::int as y, (l_linenumber * 3 + pad + l_partkey % 7) / (100.0 + pot * 10)::double as p from lineitem, (values (6), (8), (10), (12)) a(pad), (values (2), (4), (6)) b(pot)),
+ v as (select pad, pot, y, case when p > 0.05 and p <= 0.1 then 1 when p > 0.1 and p <= 0.15 then 2 when p > 0.15 and p <= 0.2 then 3 else 0 end as bin, unnest([l_quantity, l_extendedprice, l_tax]) as v, unnest(['q', 'e', 't']) as f from r),
+ d as (select pad, pot, abs(avg(v) filter (y = 1) - avg(v) filter (y = 0)) / sqrt((var_pop(v) filter (y = 1) + var_pop(v) filter (y = 0)) / 2) as smd from v where bin > 0 group by pad, pot, bin, f
+  having count(*) filter (y = 1) >= 2 and count(*) filter (y = 0) >= 2 and var_pop(v) filter (y = 1) > 0 and var_pop(v) filter (y = 0) > 0),
+ m as (select pad, pot, avg(smd) as mean_smd from d group by 1, 2), k as (select pad, pot, count(*) filter (p >= 0.15 and y = 0) as n_cand, count(*) filter (p >= 0.15 and y = 1) / nullif(count(*) filter (y = 1), 0)::double as recall from r group by 1, 2),
+ j as (select pad, pot, mean_smd, n_cand, recall, row_number() over (order by recall > 0.3 and mean_smd is not null desc, mean_smd, pad, pot) as o from k left join m using (pad, pot))
+ select cast(pad as int) as padding, cast(pot as int) as potential, round(mean_smd, 6) as mean_smd, n_cand, round(recall, 6) as recall, o = 1 and recall > 0.3 and mean_smd is not null as chosen from j""")
+def window_search(t):
+    # twelve windows' predictions for the same rows, compared by balance inside bins of the chance, candidates and recall
+    lines = t.lineitem.select("l_quantity", "l_extendedprice", "l_tax", "l_linenumber", "l_partkey", (c("l_returnflag") == "R").cast("int").alias("y"))
+    lines = lines.withColumn("padding", F.explode(F.array(*map(F.lit, (6, 8, 10, 12))))).withColumn("potential", F.explode(F.array(*map(F.lit, (2, 4, 6)))))
+    lines = lines.withColumn("p", (c("l_linenumber") * 3 + c("padding") + c("l_partkey") % 7) / (c("potential") * 10 + 100.0))
+    found = settings_compared(lines, ["padding", "potential"], "p", "y", ["l_quantity", "l_extendedprice", "l_tax"], 0.15, 0.3)
+    return found.select("padding", "potential", F.round("mean_smd", 6).alias("mean_smd"), "n_cand", F.round("recall", 6).alias("recall"), "chosen")
