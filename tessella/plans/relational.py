@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessella.operators import describe
 from tessella.operators.sequence import first_per_key
 from tessella.plans.registry import query
+from tessella.sources import webpages
 
 c = F.col
 
@@ -384,3 +385,11 @@ def pages_link_pairs(t):
     pairs = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("href"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("label"))
     rows = t.pages.select("page_id", F.explode(pairs).alias("p")).select("page_id", "p.href", F.trim("p.label").alias("label"))
     return rows.groupBy("page_id", "href", "label").agg(F.count("*").alias("n"))
+
+
+@query(r"""with l as (select page_id, unnest(regexp_extract_all(html, '(?is)<li(?:\s[^>]*)?>(.*?)</li>', 1)) as i from pages),
+ t as (select page_id, replace(replace(replace(replace(replace(replace(regexp_replace(i, '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') as s from l)
+ select page_id, trim(regexp_replace(s, '\s+', ' ', 'g')) as entry, count(*) as n from t group by 1, 2""")
+def page_list_entries(t):
+    entries = t.pages.select("page_id", F.explode(webpages.parts(c("html"), "li")).alias("i")).select("page_id", webpages.text_of(c("i")).alias("entry"))
+    return entries.groupBy("page_id", "entry").agg(F.count("*").alias("n"))
