@@ -190,7 +190,7 @@ def stratify_by_quantile(t):
 @query("""select id, other from (select c_custkey as id, s_suppkey as other, row_number() over (partition by c_custkey order by abs(c_acctbal - s_acctbal), s_suppkey) as n from customer, supplier) where n = 1""")
 def score_nearest_match(t):
     a = t.customer.select(c("c_custkey").alias("id"), c("c_acctbal").alias("v"))
-    return nearest_score(a, t.supplier.select(c("s_suppkey").alias("other"), c("s_acctbal").alias("ov")), 500.0)
+    return nearest_score(a, t.supplier.select(c("s_suppkey").alias("other"), c("s_acctbal").alias("ov")))
 
 
 @query("""with recursive t as (select c_custkey as id, c_acctbal as v, row_number() over (order by c_acctbal desc, c_custkey) as n from customer where c_mktsegment = 'BUILDING'),
