@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import describe
 from tessella.operators.sequence import first_per_key
+from tessella.operators.grid import dealt
 from tessella.plans.registry import query
 from tessella.sources import webpages
 
@@ -155,7 +156,11 @@ def validated_m1_join(t):
 @query("select s_suppkey, c_custkey from supplier left join (select c_custkey, c_nationkey from customer where c_acctbal > 8000) on s_nationkey = c_nationkey")
 def fanout_left_join(t):
     right = t.customer.where("c_acctbal > 8000").select("c_custkey", "c_nationkey")
-    return t.supplier.join(right, c("s_nationkey") == c("c_nationkey"), "left").select("s_suppkey", "c_custkey")
+    # pairs are as many as they are: each nation's suppliers are dealt to shares, and every share meets all of the nation's customers
+    shares = 16
+    left = dealt(t.supplier.select("s_suppkey", "s_nationkey", F.pmod(F.xxhash64("s_suppkey"), F.lit(shares)).cast("int").alias("share")), "s_nationkey", "share")
+    right = dealt(right.withColumn("share_c", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))), "c_nationkey", "share_c").hint("merge")
+    return left.join(right, (c("s_nationkey") == c("c_nationkey")) & (c("share") == c("share_c")), "left").select("s_suppkey", "c_custkey")
 
 
 @query("""select r_regionkey, s as segment, coalesce(n, 0) as n from region cross join (select distinct c_mktsegment as s from customer)
