@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.session import settle
+from tessella.session import spread as shared
 
 
 def make_grid(bounds: DataFrame, step: float, by: list[str]) -> DataFrame:
@@ -154,17 +155,16 @@ def nearest(points: DataFrame, sites: DataFrame, cells: Callable[[DataFrame, flo
     extent = sites.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c, t in sites.dtypes if t == "double"])).alias("m")).first()["m"]
     if extent is None:
         return points.select("id", F.lit(None).cast(sites.schema["other_id"].dataType).alias("other_id"), F.lit(None).cast("double").alias("dist")).limit(0)
+    sites = shared(sites)
     step, far = _first_step(points, sites, cells, step)
     reach = max(extent, far)
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     left, found = points, []
     while True:
-        own = left.withColumn("ix", cell_of(F.col("x"), 0.0, step)).withColumn("iy", cell_of(F.col("y"), 0.0, step))
-        # only cells that points ask for are filled
-        asked = own.select(F.explode(around).alias("o"), "ix", "iy").select((F.col("ix") + F.col("o.a")).alias("cx"), (F.col("iy") + F.col("o.b")).alias("cy")).distinct()
-        held = cells(sites, step).withColumnsRenamed({"ix": "cx", "iy": "cy"}).join(asked, ["cx", "cy"], "left_semi")
-        spread = held.withColumn("o", F.explode(around)).withColumn("ix", F.col("cx") + F.col("o.a")).withColumn("iy", F.col("cy") + F.col("o.b")).drop("o", "cx", "cy")
-        met = dealt(own, "ix", "iy").join(dealt(spread, "ix", "iy").hint("merge"), ["ix", "iy"])
+        # points go to the nine cells, not sites: a site may touch many cells
+        asked = left.withColumn("o", F.explode(around))
+        asked = asked.withColumn("ix", cell_of(F.col("x"), 0.0, step) + F.col("o.a")).withColumn("iy", cell_of(F.col("y"), 0.0, step) + F.col("o.b")).drop("o")
+        met = dealt(asked, "ix", "iy").join(dealt(cells(sites, step), "ix", "iy").hint("merge"), ["ix", "iy"])
         best = met.withColumn("dist", distance).groupBy("id").agg(F.min(F.struct("dist", "other_id")).alias("b"))
         last = step > 2 * reach  # one cell and those around it hold everything
         done = settle(best.select("id", "b.other_id", "b.dist").where(F.lit(last) | (F.col("dist") <= step)), "nearest")
