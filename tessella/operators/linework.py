@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import shapes
-from tessella.operators.grid import segment_cells
-from tessella.session import discard, settle
+from tessella.operators.grid import dealt, segment_cells
+from tessella.session import discard, settle, spread
 
 _ENDS = ["x1", "y1", "x2", "y2"]
 
@@ -67,9 +67,9 @@ def noded(segments: DataFrame, by: list[str], step: float, tolerance: float) ->
 
     Ends within ``tolerance`` of a segment cut it at that end; a crossing is worked out once for both, so their pieces share its corner.
     """
-    cells = segment_cells(segments, step, ["_id", *by, *_ENDS])
+    cells = dealt(segment_cells(spread(segments), step, ["_id", *by, *_ENDS]), *by, "ix", "iy")
     other = cells.withColumnsRenamed({n: n + "_o" for n in ["_id", *_ENDS]})
-    pairs = cells.join(other, [*by, "ix", "iy"]).where("_id < _id_o").drop("ix", "iy").distinct()
+    pairs = cells.join(other, [*by, "ix", "iy"]).where("_id < _id_o").drop("ix", "iy")  # pairs of several cells come again; cuts are told apart below
     place = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     corner = lambda k, tag: (F.col(f"x{k}{tag}"), F.col(f"y{k}{tag}"))
 
@@ -110,16 +110,18 @@ def outline(polygons: DataFrame, by: list[str], step: float, tolerance: float =
     middle lies inside another shape; of equal ones one stays. The union's area is the sum of (x1 * y2 - x2 * y1) / 2, its outline's length
     that of the pieces.
     """
-    rows = settle(polygons.select(*by, "parts").withColumn("_poly", F.monotonically_increasing_id()), "shapes-united")
+    # equal shapes of a group, and equal sides of its shapes, are worked once: a union doesn't change with repeats
+    rows = settle(polygons.select(*by, "parts").distinct().withColumn("_poly", F.monotonically_increasing_id()), "shapes-united")
     sides = shapes.boxed(rows, ["_poly", *by]).select("_poly", *by, F.explode("sides").alias("e")).where("e.s <> 0 and (e.x1 <> e.x2 or e.y1 <> e.y2)")
     end = lambda a, b: F.when(F.col("e.s") > 0, F.col(f"e.{a}")).otherwise(F.col(f"e.{b}"))
     directed = sides.select("_poly", *by, end("x1", "x2").alias("x1"), end("y1", "y2").alias("y1"), end("x2", "x1").alias("x2"), end("y2", "y1").alias("y2"))
+    directed = directed.groupBy(*by, *_ENDS).agg(F.collect_set("_poly").alias("_polys"))
     directed = settle(directed.withColumn("_id", F.monotonically_increasing_id()), "sides-united")
     pieces = noded(directed, by, step, tolerance)
     # each piece the same way round, with the shapes to its left and to its right
     forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
-    turned = pieces.select("_poly", *by, forward.alias("f"), *[F.when(forward, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in zip(_ENDS, ("x2", "y2", "x1", "y1"))])
-    shared = turned.groupBy(*by, *_ENDS).agg(F.bool_or("f").alias("left"), F.bool_or(~F.col("f")).alias("right"), F.collect_set("_poly").alias("owners"))
+    turned = pieces.select("_polys", *by, forward.alias("f"), *[F.when(forward, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in zip(_ENDS, ("x2", "y2", "x1", "y1"))])
+    shared = turned.groupBy(*by, *_ENDS).agg(F.bool_or("f").alias("left"), F.bool_or(~F.col("f")).alias("right"), F.array_distinct(F.flatten(F.collect_list("_polys"))).alias("owners"))
     bare = settle(shared.where("left <> right").withColumn("_piece", F.monotonically_increasing_id()), "pieces-united")
     middles = bare.select(*[F.col(b).alias(f"_{b}") for b in by], "_piece", "owners", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
     held = shapes.points_in_shapes(middles, rows, ["_poly", *by], step, boundary=False)

@@ -93,3 +93,12 @@ def test_what_lines_leave_of_lines(spark):
     assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-6 for i in want)
     none = linework.line_difference(spark.createDataFrame(new, "id int, " + SEGMENT), spark.createDataFrame([], SEGMENT), 6.0)
     assert none.count() == len(new)
+
+
+def test_repeated_shapes_are_worked_once(spark, monkeypatch):
+    rows = [(1, 0, 0, 2), (1, 1, 1, 2)] * 20 + [(2, 0, 0, 1)] * 30
+    seen = []
+    noded = linework.noded
+    monkeypatch.setattr(linework, "noded", lambda sides, *more: seen.append(sides.count()) or noded(sides, *more))
+    got = measured(linework.outline(squares(spark, rows, False), ["g"], 7.0))
+    assert seen == [12] and {g: (round(a, 9), round(n, 9)) for g, (a, n) in got.items()} == {1: (7.0, 12.0), 2: (1.0, 4.0)}
