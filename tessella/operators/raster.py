@@ -119,16 +119,56 @@ def forward(x: np.ndarray, layers: list[dict]) -> np.ndarray:
     return x[..., 0, :, :]
 
 
+def banded(layer: dict, width: int) -> np.ndarray:
+    """A convolution's matrix for each row of its kernel: from all channels and columns of an image's row of ``width`` to those of a new row, the edge repeated outwards."""
+    weight, d = layer["weight"], layer["dilation"]
+    n_out, n_in, k, _ = weight.shape
+    out = np.zeros((k, n_in, width, n_out, width))
+    for b in range(k):
+        for v in range(width):
+            out[:, :, min(max(v + b * d - d * (k - 1) // 2, 0), width - 1), :, v] += weight[:, :, :, b].transpose(2, 1, 0)
+    return out.reshape(k, n_in * width, n_out * width)
+
+
+def patch_logits(x: np.ndarray, layers: list[dict], matrices: list[np.ndarray]) -> np.ndarray:
+    """What ``forward`` gives for a batch of small patches (patch, channels, height, width), with one product of matrices for each row of a kernel.
+
+    Rows of all patches stand together, so the rows that a kernel's row meets are one block. ``matrices`` are ``banded`` for the patches' width.
+    """
+    n, _, h, w = x.shape
+    x = np.ascontiguousarray(x.transpose(2, 0, 1, 3)).reshape(h, n, -1)
+    for i, (layer, matrix) in enumerate(zip(layers, matrices)):
+        k, d = len(matrix), layer["dilation"]
+        pad = d * (k - 1) // 2
+        wide = x[np.clip(np.arange(-pad, h + pad), 0, h - 1)]
+        out, part = np.zeros((h * n, matrix.shape[2])), np.empty((h * n, matrix.shape[2]))
+        for a in range(k):
+            np.matmul(wide[a * d : a * d + h].reshape(h * n, -1), matrix[a], out=part)
+            out += part
+        y = out.reshape(h, n, -1, w)
+        y += layer["bias"][:, None]
+        if i < len(layers) - 1:
+            mean, var = y.mean(axis=(0, 3), keepdims=True), y.var(axis=(0, 3), keepdims=True)
+            factor = layer.get("scale", np.ones(y.shape[2]))[:, None] / np.sqrt(var + 1e-5)
+            y -= mean
+            y *= factor
+            y += layer.get("shift", np.zeros(y.shape[2]))[:, None]
+            np.maximum(y, 0.01 * y, out=y)
+        x = y.reshape(h, n, -1)
+    return x.reshape(h, n, w).transpose(1, 0, 2)
+
+
 def tile_logits(image: np.ndarray, anchors: np.ndarray, layers: list[dict], window: int, batch: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums of logits and numbers of patches for each cell of an image (channels, height, width).
 
     A patch of ``window`` cells is anchored at each of ``anchors`` (row, col of its upper left corner); ``batch`` of them are worked at once.
     """
     sums, counts = np.zeros(image.shape[1:]), np.zeros(image.shape[1:], dtype=np.int64)
+    matrices = [banded(layer, window) for layer in layers]
     views = np.lib.stride_tricks.sliding_window_view(image, (window, window), axis=(1, 2))
     for at in range(0, len(anchors), batch):
         some = anchors[at : at + batch]
-        logits = forward(np.ascontiguousarray(views[:, some[:, 0], some[:, 1]].swapaxes(0, 1)), layers)
+        logits = patch_logits(views[:, some[:, 0], some[:, 1]].swapaxes(0, 1), layers, matrices)
         for (r, k), logit in zip(some.tolist(), logits):
             sums[r : r + window, k : k + window] += logit
             counts[r : r + window, k : k + window] += 1

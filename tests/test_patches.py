@@ -78,3 +78,14 @@ def test_moves_are_bilinear():
                 assert abs(got[i, j] - want) < 1e-6
     turned = (raster.resampling(side, 90, 0, 0) @ patch.ravel()).reshape(side, side)
     assert np.allclose(turned, np.rot90(patch))
+
+
+def test_patches_by_matrices_are_those_of_the_net():
+    rng = np.random.default_rng(9)
+    layers = raster.network(2, seed=3)
+    layers[0] |= {"scale": rng.normal(size=4), "shift": rng.normal(size=4)}
+    for side in (3, 18):
+        x = rng.normal(size=(5, 2, side, side))
+        x[0] = 0.0
+        got = raster.patch_logits(x, layers, [raster.banded(layer, side) for layer in layers])
+        assert got.shape == (5, side, side) and np.allclose(got, raster.forward(x, layers), rtol=0, atol=1e-10)
