@@ -7,7 +7,7 @@ from tessella.operators import geometry, linework, raster, shapes
 from tessella.operators.models import draw_summary, draw_sums, weights_sql
 from tessella.plans.registry import query
 from tessella.plans.spatial import STEP, _P, _R, _points, _raster
-from tessella.session import settle
+from tessella.session import settle, spread
 from tessella.sources import features
 
 c = F.col
@@ -53,8 +53,8 @@ def _ring(cx, cy, a, b):
     return F.array(corner(cx - a, cy), corner(cx, cy - b), corner(cx + a, cy), corner(cx, cy + b))
 
 
-def _shapes(t):
-    at = t.part.select(c("p_partkey").alias("poly"), ((c("p_partkey") * 31) % 3001).cast("double").alias("cx"), ((c("p_partkey") * 47) % 2003).cast("double").alias("cy"), (c("p_size") * 2).cast("double").alias("r"))
+def _shapes(t, part=None):
+    at = (t.part if part is None else part).select(c("p_partkey").alias("poly"), ((c("p_partkey") * 31) % 3001).cast("double").alias("cx"), ((c("p_partkey") * 47) % 2003).cast("double").alias("cy"), (c("p_size") * 2).cast("double").alias("r"))
     ring = lambda x, r: _ring(x, c("cy"), r, r)
     return at.select("poly", F.array(F.array(ring(c("cx"), c("r")), ring(c("cx"), c("r") / 2)), F.array(ring(c("cx") + 3 * c("r"), c("r") / 4))).alias("parts"))
 
@@ -92,7 +92,7 @@ def shape_overlay_area(t):
 @query("with " + _DIAMOND + " select poly, 'MultiPolygon' as kind, 2 as n_parts, 3 as n_rings, 9 + 2 * 9 + 3 * (4 + 5 * 16) as n_bytes, round(2 * r * r - r * r / 2 + r * r / 8, 3) as area from d")
 def shape_wkb_round_trip(t):
     # shapes written as well-known binary and read again
-    told = features.shapes_to_wkb(_shapes(t).withColumn("kind", F.lit("MultiPolygon"))).select("poly", "wkb")
+    told = features.shapes_to_wkb(_shapes(t, spread(t.part)).withColumn("kind", F.lit("MultiPolygon"))).select("poly", "wkb")
     back = features.parse_wkb_shapes(told, "wkb")
     return back.select("poly", "kind", F.size("parts").alias("n_parts"), F.size(F.flatten("parts")).alias("n_rings"), F.length("wkb").alias("n_bytes"), F.round(shapes.area(c("parts")), 3).alias("area"))
 

@@ -10,6 +10,7 @@ import struct
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,16 +126,138 @@ def binary_of(points: list[dict]) -> bytes:
     return binary_of_shape({"kind": "Polygon", "parts": [[points]]})
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where each list begins and ends (from 0 on), and what they hold one after the other."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    return at - at[0], column.values.slice(at[0], at[-1] - at[0])
+
+
+def _at(begin: np.ndarray, size: int) -> np.ndarray:
+    """Places of ``size`` bytes from each of ``begin`` on."""
+    return begin[:, None] + np.arange(size)
+
+
+def _words(values: np.ndarray) -> np.ndarray:
+    return values.astype("<u4")[:, None].view(np.uint8)
+
+
+def _behind(sizes: np.ndarray) -> np.ndarray:
+    """0 and the running sums of ``sizes``."""
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _polygons_to_wkb(shapes: pa.Array) -> pa.Array | None:
+    """Shapes without nulls in well-known binary, if all are polygons or several of them and all rings have corners."""
+    kind, parts = shapes.flatten()
+    kinds = set(kind.unique().to_pylist())
+    if parts.null_count or not kinds <= {"Polygon", "MultiPolygon"}:
+        return None
+    part_at, rings = _lists(parts)
+    if rings.null_count:
+        return None
+    ring_at, points_of = _lists(rings)
+    if points_of.null_count:
+        return None
+    point_at, points = _lists(points_of)
+    n_points = np.diff(point_at)
+    x, y = (v for v in points.flatten())
+    if points.null_count or x.null_count or y.null_count or (n_points == 0).any():
+        return None
+    n_parts = np.diff(part_at)
+    multi = (n_parts != 1) | np.array([k == "MultiPolygon" for k in kind.to_pylist()], dtype=bool)
+    # sizes and places from the rings up to the shapes
+    part_size = 9 + np.diff(_behind(4 + 16 * (n_points + 1))[ring_at])
+    row_end = np.cumsum(np.diff(_behind(part_size)[part_at]) + 9 * multi)
+    if len(row_end) and row_end[-1] >= 2**31:
+        return None
+    part_row = np.repeat(np.arange(len(n_parts)), n_parts)
+    part_begin = _behind(part_size)[:-1] + 9 * np.cumsum(multi)[part_row]
+    ring_part = np.repeat(np.arange(len(part_size)), np.diff(ring_at))
+    ring_begin = _behind(4 + 16 * (n_points + 1))[:-1] + 9 * (ring_part + 1) + 9 * np.cumsum(multi)[part_row][ring_part]
+    out = np.zeros(row_end[-1] if len(row_end) else 0, dtype=np.uint8)
+    row_begin = _behind(np.diff(_behind(part_size)[part_at]) + 9 * multi)[:-1]
+    for begin, code, n in ((row_begin[multi], 6, n_parts[multi]), (part_begin, 3, np.diff(ring_at))):
+        out[begin] = 1
+        out[_at(begin + 1, 4)] = _words(np.full(len(begin), code))
+        out[_at(begin + 5, 4)] = _words(n)
+    out[_at(ring_begin, 4)] = _words(n_points + 1)
+    places = np.stack([x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)], axis=1).astype("<f8").view(np.uint8).reshape(-1, 16)
+    ring = np.repeat(np.arange(len(n_points)), n_points)
+    out[_at(ring_begin[ring] + 4 + 16 * (np.arange(len(ring)) - point_at[ring]), 16)] = places
+    out[_at(ring_begin + 4 + 16 * n_points, 16)] = places[point_at[:-1]]
+    offsets = np.concatenate([[0], row_end]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n_parts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _polygons_of_wkb(column: pa.Array) -> pa.Array | None:
+    """Shapes of binaries without nulls, if all are polygons or several of them in the plain form (low bytes first, two dimensions, no reference system)."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if not len(column) or (np.diff(offsets) < 9).any():
+        return None
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
+    end = offsets[1:]
+    number = lambda at: np.ascontiguousarray(data[_at(at, 4)]).view("<u4").ravel().astype(np.int64)
+    code = number(offsets[:-1] + 1)
+    if (data[offsets[:-1]] != 1).any() or not np.isin(code, (3, 6)).all():
+        return None
+    multi = code == 6
+    at = offsets[:-1] + 9 * multi
+    n_parts = np.where(multi, number(offsets[:-1] + 5), 1)
+    n_rings, found = [], []
+    for p in range(int(n_parts.max())):  # a step for each number of a part and of a ring, all shapes at once
+        rows = np.flatnonzero(n_parts > p)
+        if (at[rows] + 9 > end[rows]).any() or (data[at[rows]] != 1).any() or (number(at[rows] + 1) != 3).any():
+            return None
+        rings = number(at[rows] + 5)
+        at[rows] += 9
+        n_rings.append((rows, np.full(len(rows), p), rings))
+        for r in range(int(rings.max(initial=0))):
+            some = rows[rings > r]
+            if (at[some] + 4 > end[some]).any():
+                return None
+            n = number(at[some])
+            found.append((some, np.full(len(some), p), np.full(len(some), r), at[some] + 4, n))
+            at[some] += 4 + 16 * n
+            if (at[some] > end[some]).any():
+                return None
+    row, part, rings = (np.concatenate(v) for v in zip(*n_rings)) if n_rings else np.zeros((3, 0), np.int64)
+    rings = rings[np.lexsort((part, row))]
+    row, part, ring, begin, n = (np.concatenate(v) for v in zip(*found)) if found else np.zeros((5, 0), np.int64)
+    order = np.lexsort((ring, part, row))
+    begin, n = begin[order], np.maximum(n[order] - 1, 0)  # without the repeated last corner
+    which = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(which)) - _behind(n)[which]
+    places = np.ascontiguousarray(data[_at(begin[which] + 16 * step, 16)]).view("<f8").reshape(-1, 2)
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(places[:, k])) for k in (0, 1)], ["x", "y"])
+    nested = points
+    for sizes in (n, rings, n_parts):
+        nested = pa.ListArray.from_arrays(pa.array(_behind(sizes).astype(np.int32)), nested)
+    kinds = pa.array(["Polygon", "MultiPolygon"]).take(pa.array(multi.astype(np.int32)))
+    return pa.StructArray.from_arrays([kinds, nested.cast(_PARTS)], ["kind", "parts"])
+
+
+#: What turns many values at once, where they are of the commonest forms.
+_AT_ONCE = {"binary_of_shape": _polygons_to_wkb, "shape_of": _polygons_of_wkb}
+
+
+def converted_column(column: pa.Array, arrow: pa.DataType, name: str) -> pa.Array:
+    """Each value turned by the function of this name: all at once if that can be, else one by one; nulls stay."""
+    valid = column.is_valid()
+    if name in _AT_ONCE and (made := _AT_ONCE[name](column.filter(valid))) is not None:
+        there = valid.to_numpy(zero_copy_only=False)
+        return made.take(pa.array(np.cumsum(there) - 1, mask=~there)) if column.null_count else made
+    convert = globals()[name]
+    return pa.array([None if v is None else convert(v) for v in column.to_pylist()], arrow)
+
+
 def _converted(df: DataFrame, column: str, result: str, kind: str, arrow: pa.DataType, name: str) -> DataFrame:
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessella.sources import features as own
 
-        convert = getattr(own, name)
         for batch in batches:
-            values = [None if v is None else convert(v) for v in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], [*batch.schema.names, result])
+            yield pa.RecordBatch.from_arrays([*batch.columns, own.converted_column(batch.column(column), arrow, name)], [*batch.schema.names, result])
 
     return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", {result} {kind}")
 

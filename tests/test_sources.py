@@ -144,3 +144,29 @@ def test_the_newest_of_several_files(spark, tmp_path):
         for path in (tmp_path / n).glob("*.parquet"):
             os.utime(path, (stamp, stamp))
     assert [r["name"] for r in readers.newest(spark, str(tmp_path / "*")).collect()] == ["c"]
+
+
+def test_shapes_at_once_are_those_one_by_one():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    ring = lambda: [{"x": float(x), "y": float(y)} for x, y in rng.normal(size=(rng.integers(1, 7), 2))]
+    shapes = [None, {"kind": "MultiPolygon", "parts": []}, {"kind": "Polygon", "parts": [[]]}]
+    shapes += [{"kind": "Polygon" if i % 3 else "MultiPolygon", "parts": [[ring() for _ in range(rng.integers(0, 4))] for _ in range(rng.integers(1, 4))]} for i in range(60)]
+    shapes = [shapes[i] for i in rng.permutation(len(shapes))] + [None]
+    kind = pa.struct([("kind", pa.string()), ("parts", features._PARTS)])
+    for some in (shapes, shapes[:1], [None], []):
+        column = pa.array([None, *some], kind).slice(1)
+        told = features.converted_column(column, pa.binary(), "binary_of_shape")
+        assert told.to_pylist() == [s and features.binary_of_shape(s) for s in some]
+        back = features.converted_column(told, kind, "shape_of")
+        assert back.type == kind and back.to_pylist() == [b and features.shape_of(b) for b in told.to_pylist()]
+    made = features._polygons_to_wkb(pa.array([s for s in shapes if s], kind))
+    assert made is not None and features._polygons_of_wkb(made) is not None
+    point = features.binary_of_shape({"kind": "Point", "parts": [[[{"x": 1.0, "y": 2.0}]]]})
+    high = bytes([0]) + struct.pack(">II", 3, 1) + struct.pack(">I", 2) + struct.pack(">4d", 0, 1, 0, 1)
+    mixed = pa.array([point, made[0].as_py(), high], pa.binary())
+    assert features.converted_column(mixed, kind, "shape_of").to_pylist() == [features.shape_of(b) for b in mixed.to_pylist()]
+    with pytest.raises(struct.error):
+        features.converted_column(pa.array([made[1].as_py()[:-3] if len(made[1].as_py()) > 12 else b"\x01\x06\x00\x00\x00\x01\x00\x00\x00"], pa.binary()), kind, "shape_of")
