@@ -35,51 +35,45 @@ COUNTED = "enai"
 _BLANK = " \t\n\x0b\f\r"
 
 
-def segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of one of the ``parts`` of a line of ``length``; the last ones are the longer ones."""
-    base = F.floor(length / parts).cast("int")
-    longer = F.greatest(F.lit(0), F.lit(number - parts) + (length - base * parts))
-    size = base + F.when(F.lit(number - parts) + (length - base * parts) >= 0, 1).otherwise(0)
-    return (base * number + longer).cast("int"), size.cast("int")
-
-
-def with_segments(lines: DataFrame, chars: str, edits: int) -> DataFrame:
-    """``lines`` with start and size of each segment, for thresholds of 1 to ``edits`` and lines 0 to as many shorter, each worked out once."""
-    out = []
-    for e in range(1, edits + 1):
-        for shorter in range(e + 1):
-            for i in range(e + 1):
-                start, size = segment(F.col(chars) - shorter, i, e + 1)
-                out += [opaque(start).alias(f"start_{e}_{shorter}_{i}"), opaque(size).alias(f"size_{e}_{shorter}_{i}")]
-    return lines.select("*", *out)
-
-
-def keys_of(line: Column, length: Column, edits: int) -> list[Column]:
-    """Every key of a line from ``with_segments``: its own segments (odd), and those of lines 0 to ``edits`` shorter where they might stand in it (even).
+def specs(edits: int) -> Column:
+    """What makes the keys of a threshold: for each its number of segments, how much shorter the line is whose segment it is, which segment, and by how
+    much that may be shifted. Own segments are marked ``mine``.
 
     Lines have several times ``edits`` letters, so no place falls before their start.
     """
     out = []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
-            start, size = F.col(f"start_{edits}_{shorter}_{i}"), F.col(f"size_{edits}_{shorter}_{i}")
             low = max(-i, shorter - (edits - i))
             high = min(i, shorter + (edits - i))
             for shift in range(low, high + 1):
-                key = F.xxhash64(F.lit(edits * 16 + i), length - shorter, F.substring(line, start + (shift + 1), size))
-                out.append(key.bitwiseOR(F.lit(1)) if shorter == 0 and shift == 0 else key.bitwiseAND(F.lit(-2)))
-    return out
+                values = {"parts": edits + 1, "shorter": shorter, "i": i, "shift": shift, "mine": int(shorter == 0 and shift == 0)}
+                out.append(F.struct(*[F.lit(v).alias(n) for n, v in values.items()]))
+    return F.array(*out)
 
 
-def all_keys(line: Column, length: Column, edits: int, per_edit: int) -> Column:
-    """The keys of each threshold that the line can have together with another."""
-    parts = []
-    for e in range(1, edits + 1):
-        fits = length >= per_edit * e
-        if e < edits:  # a longer line of a pair may have e letters more
-            fits = fits & (length < per_edit * (e + 1) + e)
-        parts.append(F.when(fits, F.array(*keys_of(line, length, e))).otherwise(F.array().cast("array<bigint>")))
-    return F.concat(*parts)
+def with_keys(lines: DataFrame, line: str, chars: str, edits: int, per_edit: int) -> DataFrame:
+    """Columns h1 and ``key``: a row for each key of each threshold that a line can have together with another.
+
+    Keys are of a line's own segments (odd), and of those of lines 0 to ``edits`` shorter where they might stand in it (even). The last segments of a line
+    are the longer ones. The kinds of keys are rows, so that one short expression makes them all: written out side by side they
+    come to a method too large for the JVM to compile.
+    """
+    length = F.col(chars)
+    wanted = F.when(length < per_edit, F.array_except(specs(1), specs(1)))
+    for e in range(1, edits):  # a longer line of a pair may have e letters more
+        wanted = wanted.when(length < per_edit * (e + 1), specs(e)).when(length < per_edit * (e + 1) + e, F.concat(specs(e), specs(e + 1)))
+    # letters of one byte each are cut by their place; any others are counted from the line's start. The hashes are the same
+    plain = F.when(F.octet_length(line) == length, F.col(line).cast("binary"))
+    rows = lines.withColumn("_raw", opaque(plain)).select("h1", line, chars, "_raw", F.inline(wanted.otherwise(specs(edits))))
+    rows = rows.withColumn("_of", opaque(length - F.col("shorter")))
+    rows = rows.withColumn("_base", opaque(F.expr("_of div parts").cast("int")))
+    rows = rows.withColumn("_past", opaque(F.col("i") - F.col("parts") + F.col("_of") - F.col("_base") * F.col("parts")))
+    start = F.col("_base") * F.col("i") + F.greatest(F.lit(0), F.col("_past")) + F.col("shift") + 1
+    rows = rows.withColumn("_start", opaque(start)).withColumn("_size", opaque(F.col("_base") + (F.col("_past") >= 0).cast("int")))
+    of = lambda x: F.xxhash64((F.col("parts") - 1) * 16 + F.col("i"), "_of", F.substring(x, F.col("_start"), F.col("_size")))
+    key = opaque(F.when(F.col("_raw").isNotNull(), of("_raw")).otherwise(of(line)))
+    return rows.withColumn("_key", key).select("h1", F.when(F.col("mine") == 1, F.col("_key").bitwiseOR(F.lit(1))).otherwise(F.col("_key").bitwiseAND(F.lit(-2))).alias("key"))
 
 
 def within(a: Column, b: Column, edits: int, allowed: Column) -> Column:
@@ -158,7 +152,7 @@ def unlike_middles(pairs: DataFrame) -> DataFrame:
 def _lines(texts: DataFrame) -> DataFrame:
     """One row per line that has a word, with its place and hashes."""
     parts = texts.select("doc_id", "k1", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return parts.where(F.btrim("line", F.lit(_BLANK)) != "").select(
+    return parts.where(F.ltrim("line", F.lit(_BLANK)) != "").select(
         "doc_id", "k1", "place", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
     )
 
@@ -215,7 +209,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int, per_edit: int) ->
 def _near(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
     """Lines (h1, h2) that are alike with one whose first copy stands before theirs."""
     long = lines.withColumn("chars", opaque(F.length("line"))).where(F.col("chars") >= per_edit)
-    keyed = settle(with_segments(long, "chars", edits).select("h1", F.explode(all_keys(F.col("line"), F.col("chars"), edits, per_edit)).alias("key")), "line-keys", plain=True)
+    keyed = settle(with_keys(long, "line", "chars", edits, per_edit), "line-keys", plain=True)
     rows = keyed.select("h1", F.shiftright("key", 1).alias("key"), F.col("key").bitwiseAND(F.lit(1)).alias("mine"))
     # lines that share a key are told from the keys alone
     often = rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("mine").alias("indexed"))

@@ -63,3 +63,19 @@ def test_short_lines(spark):
     rows = [(1, "a" * 14), (2, "a" * 13 + "b"), (3, "c" * 29), (4, "c" * 28 + "d"), (5, "c" * 27 + "ef"), (6, "c" * 30), (7, "q" * 30), (8, "q" * 28)]
     got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0, 6: 1, 7: 0, 8: 0}
+
+
+def test_keys_are_made_by_methods_that_the_jvm_compiles(spark, tmp_path):
+    import re
+
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a" * n + x,) for n in range(15, 70) for x in ("", "é")], "line string")
+    df.select("line", F.xxhash64("line").alias("h1")).withColumn("chars", F.length("line")).write.parquet(f"{tmp_path}/lines")
+    keyed = lines.with_keys(spark.read.parquet(f"{tmp_path}/lines"), "line", "chars", 2, 15)
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    code = debug.codegenString(keyed._jdf.queryExecution().executedPlan())
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+    # 4 keys of one threshold, 12 of the other
+    want = sum(4 * (15 <= n < 31) + 12 * (n >= 30) for n in [*range(15, 70), *range(16, 71)])
+    assert keyed.count() == want
