@@ -64,8 +64,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without byte strings of 400 bytes that occur elsewhere; a letter that a cut divides goes too."""
-    return _with_text(docs, substrings.remove_repeats(docs, length=400, with_text=True, carry=_others(docs)), "kept")
+    """Texts without repetitions of 400 bytes, or of 50 words and 200 bytes, that occur elsewhere; a letter that a cut divides goes too."""
+    return _with_text(docs, substrings.remove_repeats(docs, length=400, with_text=True, carry=_others(docs), words=50), "kept")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

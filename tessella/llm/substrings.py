@@ -23,6 +23,9 @@ all documents hold costs one row per task until its places are known.
 ``n_shared`` counts the anchors of a text that occur elsewhere too. Every string of 2 * ``gram`` bytes holds an anchor, so it also shows
 passages too short to be removed, of 280 bytes or more for certain and of 140 at least.
 
+Where words count too (``words`` of ``remove_repeats``), all this is done for strings of ``WORD_BYTES`` bytes a word. Of the maximal runs of
+bytes that they cover, those go that hold so many whole words, or ``length`` bytes; so every repetition of ``length`` bytes goes as well.
+
 Defined results: null and empty texts have 0 bytes and nothing to remove; texts shorter than ``length`` are
 left alone; rows equal in id and text are two texts, each a repetition of the other; a row's null id stays null;
 other columns play no part.
@@ -44,6 +47,8 @@ from tessella.llm.words import mixed, slices
 from tessella.session import discard, settle, ship
 
 GRAM = 140
+#: Bytes of a word, with the space behind it, in the shortest repetitions that are looked for where words count.
+WORD_BYTES = 4
 #: Ranges of distances to an anchor that are ruled out together; contexts sorted together.
 CELLS, TOGETHER = 4, 2048
 SLICE, PIECE = 1 << 19, 1 << 22
@@ -339,14 +344,23 @@ def spans_of(starts: list[int], length: int) -> list[tuple[int, int]]:
     return united([(s, s + length) for s in starts])
 
 
-def _cut(joined: DataFrame, with_text: bool, carried: str | None = None) -> DataFrame:
-    """Texts without their ``spans``; ``wrong`` counts the claims whose bytes aren't the text's."""
+def whole_words(data: bytes, low: int, high: int) -> int:
+    """Words (bytes other than ASCII's white space) that lie in data[low:high] with both ends."""
+    words = data[low:high].split()
+    cut_first = low > 0 and bool(data[low - 1 : low].strip()) and bool(data[low : low + 1].strip())
+    cut_last = high < len(data) and bool(data[high : high + 1].strip()) and bool(data[high - 1 : high].strip())
+    return max(0, len(words) - cut_first - cut_last)
+
+
+def _cut(joined: DataFrame, with_text: bool, carried: str | None = None, length: int = 0, words: int | None = None) -> DataFrame:
+    """Texts without their ``spans``, with ``words`` only those of ``length`` bytes or ``words`` words; ``wrong`` counts the claims whose bytes aren't the text's."""
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared bigint, wrong bigint"
     schema += ", k1 bigint, kept string" if with_text else ""
     schema += f", carried {carried}" if carried else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessella.llm.substrings import united as union
+        from tessella.llm.substrings import whole_words as held
 
         for batch in slices(batches, "text", 1 << 20):
             rows, kept = [], []
@@ -354,6 +368,8 @@ def _cut(joined: DataFrame, with_text: bool, carried: str | None = None) -> Data
                 raw = (text or "").encode()
                 wrong = sum(raw[low : low + len(c["bytes"])] != c["bytes"] for c in claims or [] for low in c["lows"])
                 found = union([(s["low"], s["high"]) for s in spans or []])
+                if words is not None:
+                    found = [(low, high) for low, high in found if high - low >= length or held(raw, low, high) >= words]
                 parts, at = [], 0
                 for low, high in found:
                     parts.append(raw[at:low])
@@ -426,19 +442,21 @@ def found_spans(texts: DataFrame, length: int, which: int) -> tuple[DataFrame, D
 
 def remove_repeats(
     docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_shared: bool = False,
-    carry: Column | None = None,
+    carry: Column | None = None, words: int | None = None,
 ) -> DataFrame:
     """What is left of every text: sizes, number of removed runs and a digest; with ``with_text`` the text and its key k1, with
-    ``with_shared`` n_shared. ``carry``, a column over ``docs``, comes along as ``carried``."""
+    ``with_shared`` n_shared. ``carry``, a column over ``docs``, comes along as ``carried``. With ``words``, shorter repetitions that hold
+    so many words go too."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = [F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("k1"), text.alias("text")]
     texts = docs.select(*own)
     whole = texts if carry is None else docs.select(*own, carry.alias("carried"))
     carried = None if carry is None else whole.schema["carried"].dataType.simpleString()
+    least = length if words is None else min(length, WORD_BYTES * words)
     which = 0
     while True:
-        spans, claims, shared, used = found_spans(texts, length, which)
+        spans, claims, shared, used = found_spans(texts, least, which)
         quoted = settle(_quoted(texts, claims), "quoted")
         met = claims.join(
             quoted,
@@ -455,7 +473,7 @@ def remove_repeats(
         joined = whole.join(
             by_text.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("k1") == F.col("s1")), "left"
         ).select("doc_id", "k1", "text", "spans", "claims", F.coalesce("n_shared", F.lit(0)).cast("bigint").alias("n_shared"), *(["carried"] if carried else []))
-        result = settle(_cut(joined, with_text, carried), "cut")
+        result = settle(_cut(joined, with_text, carried, length, words), "cut")
         discard(claims, quoted, shared, *used)
         wrong = result.agg(F.sum("wrong")).first()[0]
         if not wrong:

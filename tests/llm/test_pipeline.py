@@ -134,6 +134,20 @@ def test_suffix_dedup(stages):
     assert all(want[i][0] == 0 for i in gone) and sum(len(d["text"]) for d in after) < sum(len(d["text"]) for d in before)
 
 
+def test_suffix_dedup_takes_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    passage, short = said(rng, 55), said(rng, 40)
+    assert 200 <= len(short) and len(passage) < 400
+    texts = [said(rng, 60) + f" {p} " + said(rng, 60) for p in (passage, passage, short, short)] + [said(rng, 120)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    assert passage not in got[0] and passage not in got[1]
+    assert all(len(got[i]) > 600 and texts[i].startswith(got[i][:300]) and texts[i].endswith(got[i][-300:]) for i in (0, 1))
+    assert all(got[i] == texts[i] for i in (2, 3, 4))
+
+
 def test_packing(stages):
     before, after = stages[4]
     coder = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))

@@ -1,6 +1,7 @@
 """Suffix sorting and the removal of repeated strings against plain versions, with unlike strings that hash alike."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -101,3 +102,36 @@ def test_strings_alike_under_any_polynomial_modulo_a_power_of_two(spark):
     pre, post = ("".join(rng.choice(list("abcdefghijklmnop"), 200)) for _ in range(2))
     rows = [(k, pre + bytes((48 + np.maximum(s * d, 0)).astype(np.uint8)).decode("latin1") + post) for k, s in ((1, 1), (2, -1))]
     assert all(n == 0 for _, _, n, _, _ in found(spark, rows, 400))
+
+
+def test_shorter_repetitions_of_many_words(spark):
+    rng = np.random.default_rng(6)
+    said = lambda n, size: " ".join("".join(rng.choice(list("abcdefghijklmnop"), size)) for _ in range(n))
+    many, few, long, one = said(13, 5), said(11, 6), said(7, 20), said(12, 6)
+    rows = [(k, "\n".join([said(20, 6), *some, said(9, 6)])) for k, some in enumerate([[many], [few], [long, many], [few], [one], [long], [few + said(1, 40), one]])]
+    rows += [(90, None), (91, "x" * 300), (92, "xy" + many), (93, many + "xy"), (94, "\u00e9" * 100 + " " + one), (None, rows[0][1][:40])]
+
+    def plain_words(length, words):
+        raw = [(i, (t or "").encode()) for i, t in rows]
+        seen = Counter(b[k : k + 4 * words] for _, b in raw for k in range(len(b) - 4 * words + 1))
+        out = {}
+        for i, b in raw:
+            spans = substrings.spans_of([k for k in range(len(b) - 4 * words + 1) if seen[b[k : k + 4 * words]] > 1], 4 * words)
+            whole = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)]
+            spans = [(x, y) for x, y in spans if y - x >= length or sum(x <= w and z <= y for w, z in whole) >= words]
+            out[i] = b"".join(b[x:y] for x, y in zip([0, *(y for _, y in spans)], [*(x for x, _ in spans), len(b)]))
+        return out
+
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(df, length=120, words=12, with_text=True).collect()}
+    want = plain_words(120, 12)
+    assert {i: r["kept_sha256"] for i, r in got.items()} == {i: hashlib.sha256(b).hexdigest() for i, b in want.items()}
+    assert many not in got[0]["kept"] and long not in got[2]["kept"] and few in got[1]["kept"] and one not in got[4]["kept"]
+
+
+def test_whole_words():
+    data = b" ab  cd ef\n"
+    for low in range(len(data) + 1):
+        for high in range(low, len(data) + 1):
+            want = sum(low <= m.start() and m.end() <= high for m in re.finditer(rb"[^\x20\x09-\x0d]+", data))
+            assert substrings.whole_words(data, low, high) == want
