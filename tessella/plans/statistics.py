@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import estimators, grid
 from tessella.operators.describe import exact_quantiles
-from tessella.operators.matching import effects_by_distance, matched_once, nearest_score, settings_compared
+from tessella.operators.matching import effects_around, matched_once, nearest_score, settings_compared
 from tessella.plans.registry import query
 
 c = F.col
@@ -154,11 +154,10 @@ _RINGS = """places as (select s_suppkey as s, cast((s_suppkey * 6151) % 3001 as
  select m.bin, any_value(n) as n, round(any_value(m1 - m0), 5) as tau, round(sqrt(sum(u * u)), 5) as se from m join u on m.bin = u.bin where n1 > 0 and n0 > 0 group by 1""")
 def effect_by_distance_errors(t):
     # customers in rings around suppliers, of which every fourth is treated
-    seen = t.customer.select(c("c_custkey").alias("id"), ((c("c_custkey") * 7919) % 3001).cast("double").alias("x"), ((c("c_custkey") * 104729) % 2003).cast("double").alias("y"))
-    at = t.supplier.select(c("s_suppkey").alias("other_id"), ((c("s_suppkey") * 6151) % 3001).cast("double").alias("ox"), ((c("s_suppkey") * 3079) % 2003).cast("double").alias("oy"))
-    pairs = grid.within_radius(seen, at, 300.0).select(c("id").alias("i"), c("other_id").alias("s"), c("dist").alias("d"))
-    places = t.supplier.select(c("s_suppkey").alias("s"), (c("s_suppkey") % 4 == 0).alias("treated"), (c("s_suppkey") % 7 / 10 + 0.1).alias("p"))
-    found = effects_by_distance(pairs, places, t.customer.select(c("c_custkey").alias("i"), c("c_acctbal").alias("y")), 50.0)
+    key, site = c("c_custkey"), c("s_suppkey")
+    seen = t.customer.select(key.alias("i"), ((key * 7919) % 3001).cast("double").alias("x"), ((key * 104729) % 2003).cast("double").alias("y"), c("c_acctbal").alias("v"))
+    places = t.supplier.select(((site * 6151) % 3001).cast("double").alias("ox"), ((site * 3079) % 2003).cast("double").alias("oy"), (site % 4 == 0).alias("treated"), (site % 7 / 10 + 0.1).alias("p"))
+    found = effects_around(seen, places, 300.0, 50.0)
     return found.select("bin", "n", F.round("tau", 5).alias("tau"), F.round("se", 5).alias("se"))
 
 
